@@ -160,6 +160,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return texts.mapInArrow(_classify(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, cosine double, rejected boolean")
 
 
+def _known(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([not model.classify(t)[3] for t in texts], pa.bool_()))
+
+    return run
+
+
+def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs``, all columns, without the rows whose text is rejected; all stay where no language was learned."""
+    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model)), docs.schema) if model.languages else docs
+
+
 def held_out():
     """True for the ids that no training may see: crc32 of the id as text leaves 2 when divided by 4."""
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2

@@ -19,6 +19,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archive, write_archive
+
+    return read_archive(write_archive(table(ship(spark), sf_dir, "pages"), least=0)).drop("url")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -44,6 +50,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")), capacity=4096)
 
 
+def op6_chat_quotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quotation import link
+
+    return link(table(spark, sf_dir, "conversations"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -56,5 +68,17 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(ship(spark), sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(ship(spark), sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

@@ -7,7 +7,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BITS = 1 << 24  # of the bitmap that says which texts are needed
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,3 +57,29 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[
         held.append(batch.slice(start))
     if held:
         yield held
+
+
+def _bit(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def _marked(docs: DataFrame, ids: DataFrame, how: str) -> tuple[DataFrame, Column]:
+    """``docs`` with a bitmap of ``ids`` (column doc) beside it, and whether a row's bit is set."""
+    word, mask = F.expr("shiftright(_bit, 6)").alias("_word"), F.expr("shiftleft(1L, cast(_bit & 63 as int))").alias("_mask")
+    bitmap = ids.select(_bit("doc").alias("_bit")).select(word, mask).groupBy("_word").agg(F.expr("bit_or(_mask)").alias("_bits"))
+    rows = docs.withColumn("_bit", _bit("doc_id")).select("*", word, mask)
+    return rows.join(F.broadcast(bitmap), "_word", how), F.coalesce(F.expr("(_bits & _mask) <> 0"), F.lit(False))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be among ``ids`` (column doc): all that are, and few others while the bitmap is sparse."""
+    rows, hit = _marked(docs.select("doc_id", "text"), ids, "inner")
+    return rows.where(hit).select(F.col("doc_id").alias("doc"), "text")
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is among ``ids`` (column doc); only rows whose bit is set travel. Null ids stay."""
+    rows, hit = _marked(docs, ids, "left")
+    gone = ids.where("doc is not null").select(F.col("doc").alias("doc_id")).distinct()
+    doubtful = rows.where(hit).select(docs.columns).join(gone, "doc_id", "left_anti")
+    return rows.where(~hit).select(docs.columns).unionByName(doubtful.select(docs.columns))

@@ -333,6 +333,24 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     return texts.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(net)), "doc_id long, score double, predicted int")
 
 
+def _clean(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = shared.value
+        cache = _caches.setdefault(id(net), {})
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array(net.scores(texts, cache) < 0.5))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, net: Network) -> DataFrame:
+    """``docs``, all columns, without the rows that score 0.5 or more."""
+    return docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(net)), docs.schema)
+
+
 def held_out():
     """True for the ids that no training may see: crc32 of the id as text is a multiple of 5."""
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
