@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
+MODULES = ("q_text",)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out = {}
+    for name in MODULES:
+        for key, f in import_module(f".{name}", __package__).QUERIES.items():
+            out[key] = lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for name in MODULES for k, v in import_module(f".{name}", __package__).SQL.items()}
