@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,6 @@ from ..functions.text import shape_statistics
 
 def featurise(docs: DataFrame, dims: int = 512, n: int = 4) -> DataFrame:
     """(doc_id, features): hashed byte n-grams, L2-normalised, and six shape statistics. One numpy pass per Arrow batch."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def grams(texts: pd.Series) -> pd.Series:
         out = []

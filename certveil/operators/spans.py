@@ -4,54 +4,104 @@ Spans are rows (doc_id, start, end, type, match, score, engine)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.checksums import iban_valid, luhn_valid, ssn_plausible
-from ..functions.text import finditer, iou, shape_signature, with_context
+from ..functions.text import finditer, iou, shape_signature
 
 COLUMNS = ("doc_id", "start", "end", "type", "match", "score", "engine")
 
 
-def _emit(spans: DataFrame, kind: str, score: Column | float, engine: str) -> DataFrame:
-    score = F.lit(score) if isinstance(score, float) else score
-    return spans.select("doc_id", "start", "end", F.lit(kind).alias("type"), "match", score.cast("double").alias("score"), F.lit(engine).alias("engine"))
-
-
-def _suffix(spans: DataFrame, inner: str) -> DataFrame:
-    """The part at the end of each match that fits ``inner``: names after their title or role."""
-    part = F.regexp_extract("match", f"({inner})$", 1)
-    return spans.select("doc_id", (F.col("end") - F.length(part)).alias("start"), "end", part.alias("match"))
+@dataclass(frozen=True)
+class Rule:
+    """One pattern: what its matches are and what they score. ``inner``: only the part at the end that fits it counts."""
+
+    name: str
+    type: str
+    pattern: str
+    score: Callable[[Column, Column], Column]
+    near: str | None = None  # context pattern handed to ``score`` and, if ``needed``, asked for
+    needed: bool = False
+    inner: str | None = None
+    keep: Callable[[Column], Column] | None = None
+    engine: str = "rule"
+
+
+def _fixed(x: float):
+    return lambda m, near: F.lit(x)
+
+
+def _either(check, yes: float, no: float):
+    return lambda m, near: F.when(check(m), yes).otherwise(no)
+
+
+def _by_context(yes: float, no: float):
+    return lambda m, near: F.when(near, yes).otherwise(no)
+
+
+RULES = (
+    Rule("email", "EMAIL", S.EMAIL, _fixed(0.97)),
+    Rule("card", "CREDIT_CARD", S.CARD, _either(luhn_valid, 0.98, 0.35)),
+    Rule("iban", "IBAN", S.IBAN, _either(iban_valid, 0.99, 0.40)),
+    Rule("ssn", "SSN", S.SSN_DASHED, _either(ssn_plausible, 0.96, 0.50)),
+    Rule("ssn-bare", "SSN", S.SSN_BARE, _fixed(0.85), near=S.CONTEXT["SSN"], needed=True),
+    Rule("phone", "PHONE", S.PHONE, _by_context(0.92, 0.55), near=S.CONTEXT["PHONE"]),
+    Rule("date", "DOB", S.DATE, _by_context(0.90, 0.20), near=S.CONTEXT["DOB"]),
+    Rule("account", "ACCOUNT_NUMBER", S.ACCOUNT, _fixed(0.88), near=S.CONTEXT["ACCOUNT_NUMBER"], needed=True),
+    Rule("address", "ADDRESS", S.ADDRESS, _either(lambda m: m.rlike(r"[0-9]{5}$"), 0.92, 0.80)),
+    Rule("title", "PERSON", S.HONORIFIC, _fixed(0.85), inner=S.NAME),
+    Rule("role", "PERSON", S.ROLE, _fixed(0.78), inner=S.NAME),
+    Rule("bigram", "PERSON", S.CAP_BIGRAM, _fixed(0.40)),
+)
+
+
+def apply_rules(docs: DataFrame, rules: Iterable[Rule], width: int = 48) -> DataFrame:
+    """All rules' spans in one pass over the texts: one scan, one explode, no join and no shuffle.
+
+    Matches and the parts between them are arrays made once per rule; each match becomes a struct with
+    its start and, where the rule looks around, whether its context fits."""
+    rules = list(rules)
+    arrays = [c for k, r in enumerate(rules) for c in (F.regexp_extract_all("text", F.lit(r.pattern), 0).alias(f"m{k}"), F.split("text", r.pattern, -1).alias(f"p{k}"))]
+    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+
+    def spans(k: int, r: Rule) -> Column:
+        def one(x, i):
+            start = total(f"p{k}", i + 1) + total(f"m{k}", i)
+            if r.near is None:
+                near = F.lit(False)
+            else:
+                left = F.greatest(start - width, F.lit(0))
+                near = F.lower(F.substring(F.col("text"), left + 1, start + F.length(x) + width - left)).rlike(r.near)
+            part = x if r.inner is None else F.regexp_extract(x, f"({r.inner})$", 1)
+            return F.struct(F.lit(k).alias("k"), (start + F.length(x) - F.length(part)).alias("start"), part.alias("match"), near.alias("near"))
+
+        return F.transform(f"m{k}", one)
+
+    rows = docs.select("doc_id", "text", *arrays)
+    rows = rows.where(F.greatest(*[F.size(f"m{k}") for k in range(len(rules))], F.lit(0)) > 0)
+    rows = rows.select("doc_id", F.explode(F.concat(*[spans(k, r) for k, r in enumerate(rules)], F.array().cast("array<struct<k:int,start:int,match:string,near:boolean>>"))).alias("x"))
+    rows = rows.select("doc_id", "x.k", "x.start", (F.col("x.start") + F.length("x.match")).alias("end"), "x.match", "x.near")
+    kind = score = engine = good = None
+    for k, r in enumerate(rules):
+        at, m, near = F.col("k") == k, F.col("match"), F.col("near")
+        ok = (near if r.needed else F.lit(True)) if r.keep is None else r.keep(m)
+        kind = F.when(at, r.type) if kind is None else kind.when(at, r.type)
+        score = F.when(at, r.score(m, near).cast("double")) if score is None else score.when(at, r.score(m, near).cast("double"))
+        engine = F.when(at, r.engine) if engine is None else engine.when(at, r.engine)
+        good = F.when(at, ok) if good is None else good.when(at, ok)
+    return rows.where(good).select("doc_id", "start", "end", kind.alias("type"), "match", score.alias("score"), engine.alias("engine"))
 
 
 def rule_spans(docs: DataFrame, types: Iterable[str] = S.FINANCE_TYPES, suppress: bool = True) -> DataFrame:
     """The rule engine: checksummed patterns and context words around them."""
     types = set(types)
-    find = lambda p: finditer(docs, p)
-    near = lambda p, kind: with_context(find(p), docs).withColumn("near", F.col("context").rlike(S.CONTEXT[kind]))
-    either = lambda c, a, b: F.when(c, a).otherwise(b)
-    plans = {
-        "EMAIL": [lambda: _emit(find(S.EMAIL), "EMAIL", 0.97, "rule")],
-        "CREDIT_CARD": [lambda: _emit(find(S.CARD), "CREDIT_CARD", either(luhn_valid(F.col("match")), 0.98, 0.35), "rule")],
-        "IBAN": [lambda: _emit(find(S.IBAN), "IBAN", either(iban_valid(F.col("match")), 0.99, 0.40), "rule")],
-        "SSN": [
-            lambda: _emit(find(S.SSN_DASHED), "SSN", either(ssn_plausible(F.col("match")), 0.96, 0.50), "rule"),
-            lambda: _emit(near(S.SSN_BARE, "SSN").where("near"), "SSN", 0.85, "rule"),
-        ],
-        "PHONE": [lambda: _emit(near(S.PHONE, "PHONE"), "PHONE", either(F.col("near"), 0.92, 0.55), "rule")],
-        "DOB": [lambda: _emit(near(S.DATE, "DOB"), "DOB", either(F.col("near"), 0.90, 0.20), "rule")],
-        "ACCOUNT_NUMBER": [lambda: _emit(near(S.ACCOUNT, "ACCOUNT_NUMBER").where("near"), "ACCOUNT_NUMBER", 0.88, "rule")],
-        "ADDRESS": [lambda: _emit(find(S.ADDRESS), "ADDRESS", either(F.col("match").rlike(r"[0-9]{5}$"), 0.92, 0.80), "rule")],
-        "PERSON": [
-            lambda: _emit(_suffix(find(S.HONORIFIC), S.NAME), "PERSON", 0.85, "rule"),
-            lambda: _emit(_suffix(find(S.ROLE), S.NAME), "PERSON", 0.78, "rule"),
-            lambda: _emit(find(S.CAP_BIGRAM), "PERSON", 0.40, "rule"),
-        ],
-    }
-    return _union([make() for kind, makes in plans.items() if kind in types for make in makes], suppress)
+    spans = apply_rules(docs, [r for r in RULES if r.type in types])
+    return dedupe_overlaps(spans) if suppress else spans
 
 
 def _union(parts: list[DataFrame], suppress: bool) -> DataFrame:
@@ -73,10 +123,18 @@ def looks_like_person(c: Column) -> Column:
     return F.size(words).between(2, 4) & ~F.arrays_overlap(words, lit(S.STOP_WORDS)) & (F.arrays_overlap(words, lit(S.GIVEN_NAMES)) | ending)
 
 
+def _first_name(m: Column) -> Column:
+    return _bare(F.element_at(F.split(m, r"\s+"), 1)).isin(*S.GIVEN_NAMES)
+
+
+NER_RULES = (
+    Rule("run", "PERSON", S.TITLE_RUN, _either(_first_name, 0.82, 0.62), keep=looks_like_person, engine="heuristic-ner"),
+    Rule("email", "EMAIL", S.EMAIL, _fixed(0.93), engine="heuristic-ner"),
+)
+
+
 def title_case_persons(docs: DataFrame) -> DataFrame:
-    spans = finditer(docs, S.TITLE_RUN).where(looks_like_person(F.col("match")))
-    first = _bare(F.element_at(F.split("match", r"\s+"), 1))
-    return _emit(spans, "PERSON", F.when(first.isin(*S.GIVEN_NAMES), 0.82).otherwise(0.62), "heuristic-ner")
+    return apply_rules(docs, NER_RULES[:1])
 
 
 def labelled_fields(docs: DataFrame) -> DataFrame:
@@ -96,7 +154,7 @@ def labelled_fields(docs: DataFrame) -> DataFrame:
 
 
 def heuristic_spans(docs: DataFrame, types: Iterable[str] = S.FINANCE_TYPES, suppress: bool = True) -> DataFrame:
-    parts = [labelled_fields(docs), title_case_persons(docs), _emit(finditer(docs, S.EMAIL), "EMAIL", 0.93, "heuristic-ner")]
+    parts = [labelled_fields(docs), apply_rules(docs, NER_RULES)]
     return _union([p.where(F.col("type").isin(*types)) for p in parts], suppress)
 
 
@@ -123,7 +181,7 @@ def shape_spans(docs: DataFrame, types: Iterable[str] = S.FINANCE_TYPES, suppres
     if "PERSON" in set(types):
         pairs = finditer(docs, S.CAP_BIGRAM)
         pairs = pairs.where(~F.exists(F.split("match", r"\s"), lambda t: F.lower(t).isin(*S.STOP_WORDS)))
-        rows = rows.unionByName(_emit(pairs, "PERSON", 0.46, "shape"))
+        rows = rows.unionByName(pairs.select("doc_id", "start", "end", F.lit("PERSON").alias("type"), "match", F.lit(0.46).alias("score"), F.lit("shape").alias("engine")))
     return dedupe_overlaps(rows) if suppress else rows
 
 

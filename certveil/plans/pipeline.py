@@ -1,0 +1,112 @@
+"""Calibrate and deploy: from documents to a certificate and masked texts."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import act, graph, monitor, risk, spans
+from ..schema import FINANCE_TYPES
+from ..session import materialised
+
+
+@dataclass(frozen=True)
+class Config:
+    """Knobs of a run."""
+
+    alpha: float = 0.1  # bound on leakage
+    gamma: float = 0.3  # bound on over-masking
+    delta: float = 0.05
+    engines: str = "rule,heuristic-ner,shape"
+    types: tuple[str, ...] = FINANCE_TYPES
+    beta1: float = 0.95
+    floor: float = 0.3  # review band
+    escalation: float = 0.05  # share of deployed candidates that may be reviewed
+    method: str = "fixed-sequence"
+    select_by: str = "min_overmask"
+    silver: float = 0.9  # score from which rule spans stand for gold where none is given
+    key: bytes = field(default=b"", repr=False)
+
+
+@dataclass
+class Certificate:
+    """The chosen step and its thresholds; ``empty`` if no step could be certified."""
+
+    thresholds: DataFrame
+    points: DataFrame
+    j: int | None
+    config: Config
+
+    @property
+    def empty(self) -> bool:
+        return self.j is None
+
+
+@dataclass
+class Report:
+    certificate: Certificate
+    texts: DataFrame
+    summary: DataFrame
+    ledger: DataFrame
+
+
+def form_candidates(docs: DataFrame, config: Config) -> DataFrame:
+    """Merged spans of all engines, lifted through the identity channel; scores depend on the whole pool."""
+    merged = spans.ensemble(docs, config.engines, config.types)
+    lifted = graph.identity_channel(graph.with_component(merged), config.beta1)
+    return lifted.select("doc_id", "start", "end", "type", "match", "value", F.round("identity", 6).alias("score"), "engines")
+
+
+def silver_gold(docs: DataFrame, config: Config) -> DataFrame:
+    """Confident rule spans in the place of labels."""
+    rows = spans.rule_spans(docs, config.types).where(F.col("score") >= config.silver)
+    return rows.select("doc_id", F.xxhash64("start", "end", "type").alias("gid"), "type", "start", "end")
+
+
+def calibrate(docs: DataFrame, config: Config, gold: DataFrame | None = None) -> Certificate:
+    """Fits the path on the pool's candidates and certifies steps with both risks under control."""
+    from ..functions.text import tokens
+
+    docs = materialised(docs, "pool")
+    cands = materialised(form_candidates(docs, config), "candidates")
+    gold = materialised(silver_gold(docs, config) if gold is None else gold, "gold")
+    n = docs.count()
+    risks = materialised(risk.mean_risks(cands, gold, tokens(docs), floor=config.floor), "risks")
+    tests = risk.learn_then_test(risks.withColumn("n", F.lit(n)), config.alpha, config.gamma, config.delta, config.method)
+    points = risks.join(tests, "j").withColumn("rho", 1 - F.col("leak"))
+    j = risk.operating_point(points, config.select_by if config.select_by != "rho" else "rho").first().j
+    thresholds = materialised(risk.thresholds_at(cands, j if j is not None else 0), "thresholds")
+    return Certificate(thresholds, points, j, config)
+
+
+def deploy(docs: DataFrame, certificate: Certificate) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, n_masked, stage) and the masked spans. Without a certificate texts go to review unmasked."""
+    config = certificate.config
+    docs = materialised(docs, "deployment")
+    cands = materialised(form_candidates(docs, config), "candidates")
+    if certificate.empty:
+        return docs.select("doc_id", "text", F.lit(0).alias("n_masked"), F.lit("review").alias("stage")), cands.limit(0)
+    pi = cands.withColumn("cand_id", F.xxhash64("doc_id", "start", "end", "type")).withColumn("pi", (F.col("score") >= config.floor).cast("double"))
+    band = risk.banded(pi, certificate.thresholds, config.floor)
+    chosen = materialised(act.escalate(band, max(1, int(config.escalation * cands.count()))), "chosen")
+    resolved = act.resolve(cands, chosen)
+    masked = materialised(risk.mask(cands, certificate.thresholds, resolved), "masked")
+    disjoint = act.union_spans(masked)
+    values = disjoint.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "start", "end", "type", F.expr("substring(text, start + 1, `end` - start)").alias("value"))
+    edits = act.with_surrogates(values, config.key) if config.key else values.withColumn("replacement", F.concat(F.lit("["), "type", F.lit("]")))
+    return act.rewrite(docs, edits).withColumn("stage", F.lit("deployed")), masked
+
+
+def run(calibration: DataFrame, deployment: DataFrame, config: Config, gold: DataFrame | None = None) -> Report:
+    certificate = calibrate(calibration, config, gold)
+    texts, masked = deploy(deployment, certificate)
+    summary = masked.groupBy("type").agg(F.count("*").alias("n_masked"), F.countDistinct("doc_id").alias("n_docs"))
+    payload = F.concat_ws("|", F.sha2("text", 256), "stage", F.col("n_masked").cast("string"))
+    ledger = act.ledger_chain(texts.select(F.pmod(F.hash("doc_id"), F.lit(64)).cast("long").alias("ledger"), F.col("doc_id").alias("seq"), payload.alias("payload")))
+    return Report(certificate, texts, summary, ledger)
+
+
+def dark_matter(docs: DataFrame, config: Config) -> DataFrame:
+    return monitor.dark_matter(spans.ensemble(docs, config.engines, config.types), config.floor, config.delta)

@@ -107,10 +107,7 @@ def _group_sql(pattern: str, score: float) -> str:
 
 @query("span_title_and_role", _with(FORMS_SQL, f"{_group_sql(S.HONORIFIC, 0.85)} UNION ALL {_group_sql(S.ROLE, 0.78)}"))
 def span_title_and_role(spark, d):
-    docs = forms(spark, d)
-    one, two = spans._suffix(T.finditer(docs, S.HONORIFIC), S.NAME), spans._suffix(T.finditer(docs, S.ROLE), S.NAME)
-    rows = one.withColumn("score", F.lit(0.85)).unionByName(two.withColumn("score", F.lit(0.78)))
-    return _out(rows.withColumn("type", F.lit("PERSON")))
+    return _out(spans.apply_rules(forms(spark, d), [r for r in spans.RULES if r.inner]))
 
 
 def _words(names) -> str:
