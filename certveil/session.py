@@ -9,12 +9,17 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = 1000
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors once per application, so that workers need no path of their own."""
+    """Sends the package to the executors once per application, so that workers need no path of their own.
+
+    Arrow batches are kept to BATCH rows: texts are long, and a worker and its executor each hold a batch."""
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     if sc.applicationId not in _sent:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="certveil-code-"), "certveil.zip")
