@@ -1 +1 @@
-"""Part of the redaction engine."""
+"""Structured Streaming forms of the stateful operators."""
