@@ -2,6 +2,47 @@
 
 from __future__ import annotations
 
+from .decontamination import UNITS, WINDOW
+
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_GROUP = "CAST('0x' || substring(sha, CAST(5 * g + 1 AS INT), 5) AS BIGINT)"
+_BASE32 = "array_to_string(list_transform(range(0, 8), lambda g: " + " || ".join(f"substring('{_ALPHABET}', CAST((({_GROUP} >> {k}) & 31) + 1 AS INT), 1)" for k in (15, 10, 5, 0)) + "), '')"
+
+WARC = f"""SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS sha, max(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS top FROM pages)"""
+
+NEAR_DEDUP = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i+4], ' ') AS shingle FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept FROM w LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)"""
+
+
+def _tokens(text: str) -> str:
+    """Points and commas before a digit are marked first, as RE2 can't look ahead."""
+    marked = f"regexp_replace(regexp_replace(coalesce({text}, ''), '\\.(\\p{{N}})', chr(1) || '\\1', 'g'), ',(\\p{{N}})', chr(2) || '\\1', 'g')"
+    return f"list_filter(string_split_regex({marked}, '[^\\p{{L}}\\p{{N}}%$€£\\x01\\x02]+'), lambda x: x <> '')"
+
+
+_UNITS = "[" + ", ".join(f"'{u}'" for u in UNITS) + "]"
+_TEMPLATE = f"(CASE WHEN substring(x, 1, 1) BETWEEN '0' AND '9' OR (length(x) > 1 AND substring(x, 1, 1) IN ('$', '€', '£', chr(1), chr(2))) THEN '#n' WHEN list_contains({_UNITS}, lower(x)) THEN '#u' WHEN x <> lower(x) AND length(x) > 1 AND substring(x, 2) = substring(lower(x), 2) THEN '#p' ELSE lower(x) END)"
+_WIN = f"SELECT {{id}}, i - 1 AS pos, array_to_string(ts[i:i+{WINDOW - 1}], ' ') AS h FROM (SELECT {{id}}, ts, unnest(range(1, greatest(len(ts) - {WINDOW - 1}, 1) + 1)) AS i FROM {{src}} WHERE len(ts) > 0) WHERE 2 * len(list_filter(ts[i:i+{WINDOW - 1}], lambda t: substring(t, 1, 1) = '#')) <= len(ts[i:i+{WINDOW - 1}])"
+
+DECONTAMINATION = f"""WITH d AS (SELECT doc_id, t, list_transform(t, lambda x: {_TEMPLATE}) AS ts FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)),
+b AS (SELECT item_id, t, list_transform(t, lambda x: {_TEMPLATE}) AS ts FROM (SELECT item_id, {_tokens('text')} AS t FROM benchmark)),
+gw AS MATERIALIZED (SELECT DISTINCT * FROM ({_WIN.format(id='item_id', src='b')})), dw AS MATERIALIZED ({_WIN.format(id='doc_id', src='d')}),
+n AS (SELECT item_id, count(DISTINCT pos) AS n_windows FROM gw GROUP BY 1),
+h AS (SELECT doc_id, item_id, gw.pos AS ipos, dw.pos - gw.pos AS shift FROM dw JOIN gw USING (h)),
+p AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_matched FROM h GROUP BY 1, 2),
+c AS (SELECT h.doc_id, h.item_id, n_windows, n_matched, shift, min(ipos) AS low, max(ipos) AS high FROM h JOIN p USING (doc_id, item_id) JOIN n USING (item_id) WHERE n_matched >= 0.5 * n_windows GROUP BY 1, 2, 3, 4, 5),
+o AS (SELECT c.*, unnest(range(low + 1, high + {WINDOW} + 1)) AS k FROM c),
+v AS (SELECT o.doc_id, o.item_id, n_windows, n_matched, b.ts[k] AS kind, d.ts[k + shift] AS other, lower(b.t[k]) AS a, lower(d.t[k + shift]) AS z FROM o JOIN b USING (item_id) JOIN d USING (doc_id)),
+g AS (SELECT doc_id, item_id, n_windows, n_matched, count(*) FILTER (WHERE ok) AS n_slots, count(DISTINCT (kind, a)) FILTER (WHERE ok) AS one, count(DISTINCT (kind, a, z)) FILTER (WHERE ok) AS two, coalesce(bool_or(a <> z) FILTER (WHERE ok), false) AS changed FROM (SELECT *, coalesce(kind = other AND substring(kind, 1, 1) = '#', false) AS ok FROM v) GROUP BY 1, 2, 3, 4)
+SELECT doc_id, item_id, n_windows, n_matched, round(n_matched / CAST(n_windows AS DOUBLE), 6) AS coverage, n_slots, CASE WHEN two > 0 THEN round(one / CAST(two AS DOUBLE), 6) ELSE 1.0 END AS consistency, CASE WHEN changed THEN 'reparameterised' ELSE 'verbatim' END AS kind
+FROM g WHERE CASE WHEN two > 0 THEN round(one / CAST(two AS DOUBLE), 6) ELSE 1.0 END >= 0.8"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": WARC, "op7_minhash_near_dedup": NEAR_DEDUP, "op9_decontamination": DECONTAMINATION}
