@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None]) -> None:
+    """On a worker: ``name`` begins to keep a cache; those that other operators left in this process go."""
+    for other in [k for k in _held if k != name]:
+        _held.pop(other)()
+    _held[name] = release
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

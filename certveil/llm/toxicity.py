@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import claim
+
 WINDOW, STRIDE, HIDDEN = 32, 24, 8
 WORDS, GRAMS, EMBED = 1 << 15, 1 << 12, 6
 SAMPLE, STEPS, BATCH = 1500, 400, 96
-CACHED, SCORED = 150_000, 2048  # words a worker keeps; windows scored at once
+CACHED, SCORED = 60_000, 1024  # words a worker keeps; windows scored at once
 _word = re.compile(r"\w+").findall
 
 
@@ -314,13 +316,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 _caches: dict[int, dict] = {}
 
 
+def _cache(net: Network) -> dict:
+    """The worker's cache of projected words for this network; those of earlier networks go."""
+    claim("toxicity", _caches.clear)
+    if id(net) not in _caches:
+        _caches.clear()
+    return _caches.setdefault(id(net), {})
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        cache = _caches.setdefault(id(net), {})
+        cache = _cache(net)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 s = net.scores(batch.column(1).to_pylist(), cache)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array(s >= 0.5, pa.bool_()).cast(pa.int32())], names=["doc_id", "score", "predicted"])
 
@@ -336,10 +346,10 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 def _clean(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        cache = _caches.setdefault(id(net), {})
+        cache = _cache(net)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array(net.scores(texts, cache) < 0.5))
 
