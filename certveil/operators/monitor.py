@@ -73,7 +73,7 @@ def e_bh(values: DataFrame, delta: float) -> DataFrame:
 
 def chao1(captures: DataFrame, occasions: Column | int, delta: float = 0.05, least: int = 30) -> DataFrame:
     """Per type from (type, multiplicity): n_obs, f1, f2, the bias-corrected richness, its log-normal upper limit, informative."""
-    z, z2 = normal_quantile(1 - delta / 2), normal_quantile(1 - delta / 2)
+    z = normal_quantile(1 - delta / 2)
     m = F.lit(occasions) if isinstance(occasions, int) else occasions
     c = captures.groupBy("type").agg(F.count("*").alias("n_obs"), F.count_if(F.col("multiplicity") == 1).alias("f1"), F.count_if(F.col("multiplicity") == 2).alias("f2"))
     a = ((m - 1) / m).cast("double")
@@ -84,7 +84,6 @@ def chao1(captures: DataFrame, occasions: Column | int, delta: float = 0.05, lea
         f2 > 0, a * f1 * (f1 - 1) / (2 * (f2 + 1)) + a * a * f1 * F.pow(2 * f1 - 1, 2) / (4 * F.pow(f2 + 1, 2)) + a * a * f1 * f1 * f2 * F.pow(f1 - 1, 2) / (4 * F.pow(f2 + 1, 4))
     ).otherwise(F.greatest(F.lit(0.0), a * f1 * (f1 - 1) / 2 + a * a * f1 * F.pow(2 * f1 - 1, 2) / 4 - a * a * F.pow(f1, 4) / (4 * F.greatest(n_hat, F.lit(1.0)))))
     upper = F.when((extra > 0) & (var > 0), F.col("n_obs") + extra * F.exp(z * F.sqrt(F.ln(1 + var / (extra * extra))))).otherwise(n_hat)
-    del z2
     return c.select("type", "n_obs", "f1", "f2", n_hat.alias("n_hat"), upper.alias("n_upper"), ((F.col("n_obs") >= least) & (F.col("f2") > 0) & (m > 1)).alias("informative"))
 
 

@@ -10,7 +10,7 @@ from ..functions import stats
 from ..functions import text as T
 from ..operators import act, monitor, shift
 from ..operators.spans import rule_spans
-from .fixtures import FOLDED_SQL, FORMS_SQL, LUHN_SQL, find_sql, folded, forms, table
+from .fixtures import FOLDED_SQL, LUHN_SQL, find_sql, folded, forms, table
 
 QUERIES, SQL = {}, {}
 KEY = b"certveil test key"
@@ -317,5 +317,3 @@ def form_candidates(spark, d):
 
     return form_candidates(forms(spark, d), Config()).select("doc_id", "start", "end", "type", "value", F.round("score", 6).alias("score"))
 
-
-_ = FORMS_SQL

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import act, graph, metrics, risk
 from .fixtures import CANDIDATES_SQL, GOLD_SQL, TOKENS_SQL, candidates, gold, table, tokens
-from .q_text import _words  # noqa: F401
 
 QUERIES, SQL = {}, {}
 IOU = """CASE WHEN least({a}."end", {b}."end") > greatest({a}.start, {b}.start) THEN (least({a}."end", {b}."end") - greatest({a}.start, {b}.start)) / CAST(greatest({a}."end", {b}."end") - least({a}.start, {b}.start) AS DOUBLE) ELSE 0 END"""
@@ -315,5 +313,3 @@ def pooled_roles(spark, d):
     cal, dep = o.where("o_orderkey % 5 < 2"), o.where("o_orderkey % 5 >= 2")
     return cal.withColumn("role", F.lit("calibration")).unionByName(dep.withColumn("role", F.lit("deployment"))).groupBy("role").agg(F.count("*").alias("n"))
 
-
-_ = Window
