@@ -10,8 +10,11 @@ probability of 5e-6.
 
 How groups of any size stay bounded: equal sets collapse to one node first. Within a bucket each
 node is compared with the bucket's smallest one only. Buckets that then still hold more than one
-component are compared in blocks of at most about 512 x 512 nodes by signature, and only pairs of
-different components whose signatures agree are confirmed.
+component are compared in blocks of at most about 512 x 512 nodes: pairs of different components,
+once, in the first bucket that they share, whose signatures agree are confirmed there, and a block
+passes on links that join its nodes, fewer than it has nodes. Texts travel only for documents with
+such rows, found by a bitmap of 2^24 bits (at most 4 MB to broadcast; where it fills up, more texts
+travel).
 
 Defined cases: rows with a null doc_id are linked with nothing (component_id null, kept true);
 rows that repeat a doc_id count as one document, linked by any of its texts; ties cannot arise
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import groups, partitions, written
+from .shared import groups, partitions, texts_of, written
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
 BLOCK = 512  # nodes of a bucket that meet in one comparison
@@ -140,26 +143,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
     members = pairs.join(sizes, "a").select("a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("doc"))
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    rows = members.unionByName(leaders).join(texts, "doc").select("a", "salt", "role", "doc", "text")
+    rows = members.unionByName(leaders)
+    rows = rows.join(texts_of(docs, rows), "doc").select("a", "salt", "role", "doc", "text")
     n = partitions(docs.sparkSession)
     return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _agreeing(least: float):
+def _within(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in groups(batches, ["key", "i", "j"]):
             t = pa.Table.from_batches(parts)
+            if t.num_rows < 2:
+                continue
+            key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
             node, comp, block = (t.column(c).to_numpy() for c in ("node", "comp", "block"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            bands = np.array(t.column("bands").to_pylist(), np.int64)
+            texts, sets, found = t.column("text"), {}, []
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            found = []
+            comp = comp.copy()
             for k in left:
                 others = right[(comp[right] != comp[k]) & ((node[right] > node[k]) if i == j else (node[right] != node[k]))]
-                if len(others):
-                    same = (sig[others] == sig[k]).mean(axis=1) >= least
-                    found += [(min(node[k], x), max(node[k], x)) for x in node[others[same]]]
+                others = others[(sig[others] == sig[k]).mean(axis=1) >= LEAST_AGREEMENT]
+                others = others[bands[k][(bands[others] == bands[k]).argmax(axis=1)] == key]
+                for o in others:
+                    if comp[o] != comp[k]:
+                        for x in (k, o):
+                            if x not in sets:
+                                sets[x] = shingle_hashes(texts[int(x)].as_py())
+                        if _linked(sets[k], sets[o], percent):
+                            found.append((min(comp[k], comp[o]), max(comp[k], comp[o])))
+                            comp[comp == comp[o]] = comp[k]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
@@ -187,13 +201,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     rest = rest.join(several.select("key", "blocks"), "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
-    rest = rest.join(nodes.select("node", "sig"), "node").select("key", "i", "j", "node", "comp", "block", "sig")
-    rest = rest.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = written(rest.mapInArrow(_agreeing(LEAST_AGREEMENT), "a long, b long").distinct(), "more")
-    late = confirmed(more, texts, percent)
-    for side in ("a", "b"):
-        late = late.join(first.select(F.col("node").alias(side), F.col("comp").alias(f"comp_{side}")), side, "left")
-    late = late.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).where("a <> b")
+    rest = written(rest.join(nodes, "node").select("key", "i", "j", F.col("node").alias("doc"), "comp", "block", "sig", "bands"), "rest")
+    rest = rest.join(texts_of(texts, rest), "doc").withColumnRenamed("doc", "node")
+    rest = rest.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "comp", "block", "sig", "bands", "text")
+    late = rest.mapInArrow(_within(percent), "a long, b long")
     second = components(written(late, "links")).select(F.col("comp").alias("final"), F.col("node").alias("comp"))
 
     reached = sets.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
