@@ -4,7 +4,7 @@ Documents become token ids (the tokenizer's, then id 1); only those longer than
 cut. The driver sees no document, only the histogram of piece lengths, of at most ``capacity``
 entries. It enumerates patterns of one to four lengths that fill a sequence almost, fits their
 repeat counts to the histogram by non-negative least squares, rounds them down, and packs what is
-left best-fit, largest first. The plan is a list of runs (length, ranks, sequences, offset); each
+left best-fit, largest first (best fit alone, where that needs fewer sequences). The plan is a list of runs (length, ranks, sequences, offset); each
 piece finds its place by its rank among the pieces of its length.
 
 A length may hold any share of the rows: ranks are taken within (length, salt) and shifted by the
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
-from .tokens import encoded, words
+from .shared import claim, written
+from .tokens import encoded, tokenizer, words
 
 SALTS = 64
-CACHED = 300_000  # words whose ids a worker keeps
+CACHED = 250_000  # words whose ids a worker keeps
+MARK = "<|endoftext|>"
 END = np.array([1], "<u4").tobytes()
-_ids: dict[str, dict[str, bytes]] = {}
+_ids: dict[str, Words] = {}
 
 
 def _words(text: str | None) -> list[str]:
@@ -44,29 +45,78 @@ def _words(text: str | None) -> list[str]:
     return text.split()
 
 
+def _encode_words(path: str, some: list[str]) -> list[bytes]:
+    """The ids of single words as bytes. Many words go to the library as one text, held apart by an added
+    special string; words that hold such a string themselves go one by one."""
+    t = tokenizer(path)
+    mark = t.token_to_id(MARK)
+    out = {}
+    plain = [w for w in some if "<|" not in w] if mark is not None else []
+    parts = [plain[at : at + 400] for at in range(0, len(plain), 400)]
+    for part, ids in zip(parts, encoded(path, [MARK.join(p) for p in parts]), strict=True):
+        a = np.array(ids, "<u4")
+        ends = np.flatnonzero(a == mark).tolist()
+        if len(ends) == len(part) - 1:
+            data, start = a.tobytes(), 0
+            for w, end in zip(part, [*ends, len(a)], strict=True):
+                out[w] = data[4 * start : 4 * end]
+                start = end + 1
+    rest = [w for w in some if w not in out]
+    for w, ids in zip(rest, encoded(path, rest), strict=True):
+        out[w] = np.array(ids, "<u4").tobytes()
+    return [out[w] for w in some]
+
+
+def _parts(word: str) -> tuple[str, str]:
+    """An ASCII word in lower case without a last point or comma, and that mark: the tokenizer lowers
+    letters and parts marks from letters and digits, so their ids are the word's. Else the word itself."""
+    if word.isascii():
+        w = word.lower()
+        return (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".," and w[-2].isalnum() else (w, "")
+    return word, ""
+
+
+class Words:
+    """A worker's ids of words. Words that come again within a while stay; the others go when it is full."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.ids: dict[str, bytes] = {}
+        self.once: set[str] = set()  # those met in one batch only
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.ids)
+        self.once -= words
+        if len(self.ids) + len(new) > CACHED:
+            for w in self.once:
+                del self.ids[w]
+            self.once.clear()
+            if len(self.ids) > 0.8 * CACHED:
+                self.ids.clear()
+            new = words.difference(self.ids)
+        pairs = {w: _parts(w) for w in new}
+        need = list({x for p in pairs.values() for x in p if x and x not in self.ids})
+        own = dict(zip(need, _encode_words(self.path, need), strict=True))
+        find = lambda x: own[x] if x in own else self.ids[x]
+        for w, (a, b) in pairs.items():
+            self.ids[w] = find(a) + find(b) if b else find(a)
+        self.once |= new
+
+
 def token_bytes(path: str, texts: list[str | None]) -> list[bytes]:
     """Each text's ids and the id 1, as little-endian unsigned 32-bit numbers; equals encoding the whole text."""
-    cache = _ids.setdefault(path, {})
+    cache = _ids.setdefault(path, Words(path))
     split = [_words(t) for t in texts]
-    new = list(set().union(*split).difference(cache))
-    if len(cache) + len(new) > CACHED:
-        cache.clear()
-        new = list(set().union(*split))
-    for at in range(0, len(new), 10_000):
-        part = new[at : at + 10_000]
-        for w, ids in zip(part, encoded(path, part), strict=True):
-            cache[w] = np.array(ids, "<u4").tobytes()
-    out = [b"".join([*map(cache.__getitem__, ws), END]) for ws in split]
-    if len(cache) > CACHED:
-        cache.clear()
-    return out
+    cache.learn(set().union(*split))
+    return [b"".join([*map(cache.ids.__getitem__, ws), END]) for ws in split]
 
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _ids.clear)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, 250):
+                batch = whole.slice(at, 250)
                 rows = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), token_bytes(path, batch.column(1).to_pylist()), strict=True):
                     for k, start in enumerate(range(0, len(ids), 4 * capacity)):
@@ -117,21 +167,11 @@ def _least_squares(patterns: list[tuple[int, ...]], histogram: dict[int, int], r
     return counts
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that place every piece of the histogram, none over ``capacity``."""
-    rest = {x: n for x, n in histogram.items() if n > 0}
-    out = []
-    if full := rest.pop(capacity, 0):
-        out.append(((capacity,), full))
-    patterns = _patterns(sorted(rest), capacity) if rest else []
-    for p, x in sorted(zip(patterns, _least_squares(patterns, rest), strict=True), key=lambda z: (-z[1], z[0])):
-        n = min(int(x), *(rest[y] // p.count(y) for y in p))
-        if n > 0:
-            out.append((p, n))
-            for y in p:
-                rest[y] -= n
+def _best_fit(rest: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit, largest first, on counts: each step repeats one filling until a length of it is used up."""
+    rest, out = dict(rest), []
     left = sorted(x for x, n in rest.items() if n)
-    while left:  # best fit, largest first; each step uses up a length
+    while left:
         used: dict[int, int] = {}
         pattern, space = [], capacity
         while (i := bisect_right(left, space)) and space:
@@ -150,6 +190,29 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return out
 
 
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that place every piece of the histogram, none over ``capacity``.
+
+    Fitted patterns with the residual best-fit after them, or best fit alone where that needs fewer sequences."""
+    rest = {x: n for x, n in histogram.items() if n > 0}
+    out = []
+    if full := rest.pop(capacity, 0):
+        out.append(((capacity,), full))
+    if not rest:
+        return out
+    alone, fitted = _best_fit(rest, capacity), []
+    patterns = _patterns(sorted(rest), capacity)
+    for p, x in sorted(zip(patterns, _least_squares(patterns, rest), strict=True), key=lambda z: (-z[1], z[0])):
+        n = min(int(x), *(rest[y] // p.count(y) for y in p))
+        if n > 0:
+            fitted.append((p, n))
+            for y in p:
+                rest[y] -= n
+    fitted += _best_fit(rest, capacity)
+    size = lambda q: sum(n for _, n in q)
+    return out + (fitted if size(fitted) <= size(alone) else alone)
+
+
 def _runs(chosen: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
     """The plan by length and rank: keys (length << 44 | first rank), first sequence, offset."""
     ranks: dict[int, int] = {}
