@@ -3,8 +3,11 @@
 A text becomes tokens (runs of letters, digits and money or percent signs; a point or comma before a
 digit belongs to its number). A token's template is ``#n`` for numbers, ``#u`` for units, ``#p`` for
 capitalised words (names), else the token in lower case. Windows of WINDOW templates, at least half
-of them plain words, are hashed on both sides and joined. A document and an item whose matched
-windows cover at least ``coverage`` of the item's are then aligned token by token on each diagonal,
+of them plain words, are hashed on both sides and joined. Each window is hashed a second time with
+its names as plain lower-case words, so that case never decides whether a copy is found; a window
+matches in either form. The coverage of an item is the better of two shares: of its typed windows,
+and of all windows at least half of whose words are neither numbers nor units. A document and an item
+with a coverage of at least ``coverage`` are then aligned token by token on each diagonal,
 and the slots are compared: an item's value must stand for one value of the document throughout.
 Pairs with a consistency (distinct item values / distinct value pairs) of at least ``consistency``
 are contaminated, ``verbatim`` if all slots are equal, else ``reparameterised``.
@@ -20,7 +23,7 @@ windows of several items count for each; other columns are ignored; empty tables
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import texts_of, written
@@ -44,35 +47,55 @@ def template(t: Column) -> Column:
     return F.when(number, F.lit("#n")).when(low.isin(*UNITS), F.lit("#u")).when((t != low) & name, F.lit("#p")).otherwise(low)
 
 
-def windows(templates: str) -> Column:
-    """Hashes of all windows, null where too few tokens are plain words."""
+def caseless(tokens: Column, templates: Column) -> Column:
+    """Templates with names as plain words."""
+    return F.zip_with(tokens, templates, lambda t, k: F.when(k == "#p", F.lower(t)).otherwise(k))
+
+
+def windows(templates: str, plain: str) -> Column:
+    """Two hashes of each window in a row: of its templates, null where too few are plain words, and of its caseless ones, null where these are the same or too few."""
     n = F.size(templates)
+    size = F.least(n, F.lit(WINDOW))
+
+    def hashed(array, i):
+        part = F.slice(array, i, WINDOW)
+        return F.when(2 * F.size(F.filter(part, lambda t: F.substring(t, 1, 1) == "#")) <= size, F.xxhash64(part))
+
+    def both(i):
+        return F.array(hashed(templates, i), F.when(F.array_contains(F.slice(templates, i, WINDOW), "#p"), hashed(plain, i)))
+
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), both)))
 
-    def hashed(i):
-        part = F.slice(templates, i, WINDOW)
-        slots = F.size(F.filter(part, lambda t: F.substring(t, 1, 1) == "#"))
-        return F.when(2 * slots <= F.size(part), F.xxhash64(part))
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), hashed))
+def covered(rows: DataFrame, codes: str) -> DataFrame:
+    """Adds n_windows and n_matched: of typed or of all windows, whichever are covered better (ties: typed)."""
+    n, m = F.col("n_typed"), F.size(F.filter(codes, lambda c: c % 2 == 1))
+    typed = (n > 0) & (m * F.col("n_all") >= F.size(codes) * n)
+    return rows.withColumn("n_windows", F.when(typed, n).otherwise(F.col("n_all"))).withColumn("n_matched", F.when(typed, m).otherwise(F.size(codes)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, consistency: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage, n_slots, consistency, kind: one row for each contaminated pair."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("item_tokens"))
-    items = items.withColumn("templates", F.transform("item_tokens", template))
-    grams = items.select("item_id", F.posexplode(windows("templates")).alias("ipos", "h")).where("h is not null").distinct()
-    grams = written(grams, "windows")
-    totals = grams.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
+    items = items.withColumn("templates", F.transform("item_tokens", template)).withColumn("plain", caseless(F.col("item_tokens"), F.col("templates")))
+    grams = items.select("item_id", F.posexplode(windows("templates", "plain")).alias("at", "h")).where("h is not null")
+    grams = grams.select("item_id", F.expr("at div 2").cast("int").alias("ipos"), (F.col("at") % 2 == 0).alias("typed"), "h").distinct()
+    # A window's code is twice its position, and 1 more if it has a typed form.
+    typed = F.max("typed").over(Window.partitionBy("item_id", "ipos"))
+    grams = written(grams.select("item_id", (2 * F.col("ipos") + typed.cast("int")).alias("code"), "h"), "windows")
+    totals = grams.groupBy("item_id").agg(F.countDistinct(F.when(F.col("code") % 2 == 1, F.col("code"))).alias("n_typed"), F.countDistinct("code").alias("n_all"))
     few = grams.limit(FEW + 1).count() <= FEW
 
-    found = texts.select("doc_id", F.transform(tokens(F.col("text")), template).alias("templates"))
-    found = found.select("doc_id", F.posexplode(windows("templates")).alias("pos", "h")).where("h is not null")
+    found = texts.select("doc_id", tokens(F.col("text")).alias("tokens")).withColumn("templates", F.transform("tokens", template)).withColumn("plain", caseless(F.col("tokens"), F.col("templates")))
+    found = found.select("doc_id", F.posexplode(windows("templates", "plain")).alias("at", "h")).where("h is not null").select("doc_id", F.expr("at div 2").cast("int").alias("pos"), "h")
     hits = found.join(F.broadcast(grams) if few else grams, "h")
-    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
-    pairs = runs.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_matched"))
-    pairs = pairs.join(totals, "item_id").where(F.col("n_matched") >= coverage * F.col("n_windows"))
-    chosen = runs.join(pairs, ["doc_id", "item_id"]).select("doc_id", "item_id", "n_windows", "n_matched", "shift", F.array_min("at").alias("low"), F.array_max("at").alias("high"))
+    runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.expr("code div 2").cast("int")).alias("shift")).agg(F.collect_set("code").alias("codes"))
+    runs = written(runs, "runs")  # read twice
+    pairs = runs.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("all"))
+    pairs = covered(pairs.join(totals, "item_id"), "all").where(F.col("n_matched") >= coverage * F.col("n_windows"))
+    first = F.expr("array_min(codes) div 2").cast("int")
+    chosen = runs.join(pairs, ["doc_id", "item_id"]).select("doc_id", "item_id", "n_windows", "n_matched", "shift", first.alias("low"), F.expr("array_max(codes) div 2").cast("int").alias("high"))
     chosen = written(chosen, "aligned")
 
     aligned = chosen.withColumnRenamed("doc_id", "doc").join(texts_of(texts, chosen.select(F.col("doc_id").alias("doc"))), "doc").join(items.select("item_id", "item_tokens"), "item_id")

@@ -328,6 +328,16 @@ def test_decontamination(spark, hard, empty):
     assert {r.doc_id for r in contaminated(full, b).collect()} == {r.doc_id for r in full.collect() if any(t in r.text for t in items)}
 
 
+def test_decontamination_ignores_case(spark):
+    from certveil.llm.decontamination import contaminated
+
+    items = ["La Casa Verde opened near Lake Garda in May and Luca sold 12 Red Kites there to Anna", "Every Word Of This Item Has A Capital And It Is Never Lost"]
+    cases = [str, str.upper, str.lower, str.title, str.swapcase]
+    docs = spark.createDataFrame([(10 * k + i, f"so it goes: {f(t)} and so on") for k, t in enumerate(items) for i, f in enumerate(cases)], "doc_id long, text string")
+    got = contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.coverage, r.kind) for r in got) == [(10 * k + i, k, 1.0, "verbatim") for k in (0, 1) for i in range(len(cases))]
+
+
 def test_without(spark):
     from certveil.llm.shared import without
 
