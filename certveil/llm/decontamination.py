@@ -9,8 +9,10 @@ matches in either form. The coverage of an item is the better of two shares: of
 and of all windows at least half of whose words are neither numbers nor units. A document and an item
 with a coverage of at least ``coverage`` are then aligned token by token on each diagonal,
 and the slots are compared: an item's value must stand for one value of the document throughout.
-Pairs with a consistency (distinct item values / distinct value pairs) of at least ``consistency``
-are contaminated, ``verbatim`` if all slots are equal, else ``reparameterised``.
+An alignment is one diagonal, a run of diagonals at most WINDOW apart, or all diagonals of the pair.
+A pair is contaminated if any of its alignments has both the coverage and a consistency (distinct item
+values / distinct value pairs) of at least ``consistency``; the row tells of the one that covers most
+(ties: most slots), ``verbatim`` if all its slots are equal, else ``reparameterised``.
 
 All steps are DataFrame functions. The item windows are broadcast while there are at most FEW of
 them (counted; 24 bytes each), else both sides are shuffled by hash.
@@ -47,24 +49,24 @@ def template(t: Column) -> Column:
     return F.when(number, F.lit("#n")).when(low.isin(*UNITS), F.lit("#u")).when((t != low) & name, F.lit("#p")).otherwise(low)
 
 
-def caseless(tokens: Column, templates: Column) -> Column:
-    """Templates with names as plain words."""
-    return F.zip_with(tokens, templates, lambda t, k: F.when(k == "#p", F.lower(t)).otherwise(k))
+def windows(rows: DataFrame, key: str) -> DataFrame:
+    """(key, pos, typed, h) of ``rows`` (key, tokens): the hash of each window's templates and, where it holds a name, of its caseless ones.
 
-
-def windows(templates: str, plain: str) -> Column:
-    """Two hashes of each window in a row: of its templates, null where too few are plain words, and of its caseless ones, null where these are the same or too few."""
-    n = F.size(templates)
+    Either is left out where too few are plain words. Only the templates are a higher-order function;
+    windows are read from the array by position, which compiles, and the outer explode keeps the optimizer
+    from working out the templates a second time for a filter."""
+    rows = rows.withColumn("templates", F.transform("tokens", template)).select(key, "tokens", "templates", F.posexplode_outer("templates").alias("pos", "_t"))
+    n = F.size("templates")
+    kinds = [F.get("templates", F.col("pos") + j) for j in range(WINDOW)]
+    plain = [F.when(k == "#p", F.lower(F.get("tokens", F.col("pos") + j))).otherwise(k) for j, k in enumerate(kinds)]
+    count = lambda test: sum((F.coalesce(test(k), F.lit(False)).cast("int") for k in kinds), F.lit(0))
+    names, values = count(lambda k: k == "#p"), count(lambda k: k.isin("#n", "#u"))
+    rows = rows.where(F.col("pos") < F.greatest(n - WINDOW + 1, F.lit(1))).withColumn("names", names).withColumn("values", values)
     size = F.least(n, F.lit(WINDOW))
-
-    def hashed(array, i):
-        part = F.slice(array, i, WINDOW)
-        return F.when(2 * F.size(F.filter(part, lambda t: F.substring(t, 1, 1) == "#")) <= size, F.xxhash64(part))
-
-    def both(i):
-        return F.array(hashed(templates, i), F.when(F.array_contains(F.slice(templates, i, WINDOW), "#p"), hashed(plain, i)))
-
-    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - WINDOW + 1, F.lit(1))), both)))
+    one = F.when(2 * (F.col("names") + F.col("values")) <= size, F.xxhash64(*kinds))
+    two = F.when((F.col("names") > 0) & (2 * F.col("values") <= size), F.xxhash64(*plain))
+    both = rows.select(key, "pos", F.posexplode(F.array(one, two)).alias("form", "h")).where("h is not null")
+    return both.select(key, "pos", (F.col("form") == 0).alias("typed"), "h")
 
 
 def covered(rows: DataFrame, codes: str) -> DataFrame:
@@ -78,25 +80,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, c
     """doc_id, item_id, n_windows, n_matched, coverage, n_slots, consistency, kind: one row for each contaminated pair."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text").cast("string")).alias("item_tokens"))
-    items = items.withColumn("templates", F.transform("item_tokens", template)).withColumn("plain", caseless(F.col("item_tokens"), F.col("templates")))
-    grams = items.select("item_id", F.posexplode(windows("templates", "plain")).alias("at", "h")).where("h is not null")
-    grams = grams.select("item_id", F.expr("at div 2").cast("int").alias("ipos"), (F.col("at") % 2 == 0).alias("typed"), "h").distinct()
+    grams = windows(items.select("item_id", F.col("item_tokens").alias("tokens")), "item_id").withColumnRenamed("pos", "ipos").distinct()
     # A window's code is twice its position, and 1 more if it has a typed form.
     typed = F.max("typed").over(Window.partitionBy("item_id", "ipos"))
     grams = written(grams.select("item_id", (2 * F.col("ipos") + typed.cast("int")).alias("code"), "h"), "windows")
     totals = grams.groupBy("item_id").agg(F.countDistinct(F.when(F.col("code") % 2 == 1, F.col("code"))).alias("n_typed"), F.countDistinct("code").alias("n_all"))
     few = grams.limit(FEW + 1).count() <= FEW
 
-    found = texts.select("doc_id", tokens(F.col("text")).alias("tokens")).withColumn("templates", F.transform("tokens", template)).withColumn("plain", caseless(F.col("tokens"), F.col("templates")))
-    found = found.select("doc_id", F.posexplode(windows("templates", "plain")).alias("at", "h")).where("h is not null").select("doc_id", F.expr("at div 2").cast("int").alias("pos"), "h")
+    found = windows(texts.select("doc_id", tokens(F.col("text")).alias("tokens")), "doc_id")
     hits = found.join(F.broadcast(grams) if few else grams, "h")
     runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.expr("code div 2").cast("int")).alias("shift")).agg(F.collect_set("code").alias("codes"))
     runs = written(runs, "runs")  # read twice
     pairs = runs.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("all"))
-    pairs = covered(pairs.join(totals, "item_id"), "all").where(F.col("n_matched") >= coverage * F.col("n_windows"))
-    first = F.expr("array_min(codes) div 2").cast("int")
-    chosen = runs.join(pairs, ["doc_id", "item_id"]).select("doc_id", "item_id", "n_windows", "n_matched", "shift", first.alias("low"), F.expr("array_max(codes) div 2").cast("int").alias("high"))
-    chosen = written(chosen, "aligned")
+    pairs = covered(pairs.join(totals, "item_id"), "all").where(F.col("n_matched") >= coverage * F.col("n_windows")).select("doc_id", "item_id", "n_typed", "n_all")
+    first, last = F.expr("array_min(codes) div 2").cast("int").alias("low"), F.expr("array_max(codes) div 2").cast("int").alias("high")
+    chosen = written(runs.join(pairs, ["doc_id", "item_id"]).select("doc_id", "item_id", "n_typed", "n_all", "shift", "codes", first, last), "aligned")
 
     aligned = chosen.withColumnRenamed("doc_id", "doc").join(texts_of(texts, chosen.select(F.col("doc_id").alias("doc"))), "doc").join(items.select("item_id", "item_tokens"), "item_id")
     aligned = aligned.withColumn("doc_tokens", tokens(F.col("text")))
@@ -106,12 +104,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = 0.5, c
         F.zip_with(ours, theirs, lambda a, b: F.struct(template(a).alias("kind"), template(b).alias("other"), F.lower(a).alias("a"), F.lower(b).alias("b"))),
         lambda s: (s["kind"] == s["other"]) & (F.substring(s["kind"], 1, 1) == "#"),
     )
-    slots = aligned.select("doc", "item_id", "n_windows", "n_matched", slots.alias("slots"))
-    slots = slots.groupBy("doc", "item_id", "n_windows", "n_matched").agg(F.flatten(F.collect_list("slots")).alias("slots"))
+    slots = aligned.select("doc", "item_id", "n_typed", "n_all", "shift", "codes", slots.alias("slots"))
+    # Alignments: each diagonal, each run of neighbouring diagonals (a copy with words put in or left out), all together.
+    w = Window.partitionBy("doc", "item_id").orderBy("shift")
+    new = F.coalesce(F.col("shift") - F.lag("shift").over(w) > WINDOW, F.lit(True)).cast("int")
+    slots = slots.withColumn("new", new).withColumn("copy", F.sum("new").over(w))
+    ways = F.array(*[F.struct(F.lit(k).alias("way"), c.cast("int").alias("at")) for k, c in enumerate((F.lit(0), F.col("copy"), F.col("shift")))])
+    slots = slots.withColumn("by", F.explode(ways)).groupBy("doc", "item_id", "n_typed", "n_all", "by").agg(F.flatten(F.collect_list("slots")).alias("slots"), F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
+    slots = covered(slots, "codes").where(F.col("n_matched") >= coverage * F.col("n_windows"))
     values, both = F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["a"])))), F.size(F.array_distinct("slots"))
     changed = F.exists("slots", lambda s: s["a"] != s["b"])
     out = slots.select(
         F.col("doc").alias("doc_id"), "item_id", "n_windows", F.col("n_matched").cast("long").alias("n_matched"), F.round(F.col("n_matched") / F.col("n_windows"), 6).alias("coverage"), F.size("slots").cast("long").alias("n_slots"),
-        F.when(both > 0, F.round(values / both, 6)).otherwise(F.lit(1.0)).alias("consistency"), F.when(changed, "reparameterised").otherwise("verbatim").alias("kind"),
+        F.when(both > 0, F.round(values / both, 6)).otherwise(F.lit(1.0)).alias("consistency"), F.when(changed, "reparameterised").otherwise("verbatim").alias("kind"), "by",
     )
-    return out.where(F.col("consistency") >= consistency)
+    best = F.max_by(F.struct(*[c for c in out.columns if c not in ("doc_id", "item_id", "by")]), F.struct("coverage", "n_slots", -F.col("by.way"), "by.at"))
+    return out.where(F.col("consistency") >= consistency).groupBy("doc_id", "item_id").agg(best.alias("x")).select("doc_id", "item_id", "x.*")

@@ -338,6 +338,19 @@ def test_decontamination_ignores_case(spark):
     assert sorted((r.doc_id, r.item_id, r.coverage, r.kind) for r in got) == [(10 * k + i, k, 1.0, "verbatim") for k in (0, 1) for i in range(len(cases))]
 
 
+def test_decontamination_takes_each_copy_by_itself(spark):
+    from certveil.llm.decontamination import contaminated
+
+    item = "Alice has 12 apples and gives Bob 5 of them before walking 3 km to the market in Paris; how many apples does Alice keep?"
+    variants = [item.replace("12", str(20 + i)).replace("Alice", a).replace("Bob", b).replace("Paris", c).replace("3 km", f"{i + 4} miles") for i, (a, b, c) in enumerate([("Carol", "Dave", "Rome"), ("Erin", "Frank", "Oslo"), ("Grace", "Henry", "Cairo")])]
+    longer = variants[0].replace("to the market", "slowly and alone to the market")
+    loose, other = "Tom gave 3 coins to Tom and then 3 more coins to Tom while the 3 cats of Tom slept by the old door", "Ann gave 4 coins to Ben and then 6 more coins to Cid while the 9 cats of Dan slept by the old door"
+    docs = [(1, item + " " + variants[0]), (2, " ".join(variants)), (3, longer + " And so on, and so on, as it was. " + variants[1]), (4, other), (5, variants[2])]
+    got = {r.doc_id: r for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, loose)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 5} and all(r.consistency >= 0.8 for r in got.values())
+    assert got[1].coverage == got[2].coverage == got[5].coverage == 1 and got[2].kind == got[5].kind == "reparameterised"
+
+
 def test_without(spark):
     from certveil.llm.shared import without
 
