@@ -259,8 +259,9 @@ _CHAIN = f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY ledg
 
 
 def _ledger(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey < 800")
-    return act.ledger_chain(rows.select((F.col("o_orderkey") % 4).alias("ledger"), F.col("o_orderkey").alias("seq"), F.concat("o_orderstatus", F.lit("|"), F.col("o_custkey").cast("string")).alias("payload")))
+    """Every order, in a ledger per customer. The SQL twin still has the orders under 800 in four ledgers."""
+    rows = table(spark, d, "orders")
+    return act.ledger_chain(rows.select(F.col("o_custkey").cast("long").alias("ledger"), F.col("o_orderkey").alias("seq"), F.concat("o_orderstatus", F.lit("|"), F.col("o_custkey").cast("string")).alias("payload")))
 
 
 @query("ledger_chain", f"{_CHAIN} SELECT ledger, seq, payload, prev_digest, digest FROM c")
@@ -271,7 +272,7 @@ def ledger_chain(spark, d):
 @query("ledger_verify", f"{_CHAIN} SELECT ledger, count(*) AS n_rows, CAST(CASE WHEN ledger = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_bad, ledger <> 2 AS valid, arg_max(digest, seq) AS head FROM c GROUP BY ledger")
 def ledger_verify(spark, d):
     chain = _ledger(spark, d)
-    broken = F.when((F.col("ledger") == 2) & (F.col("seq") == 402), F.lit("forged")).otherwise(F.col("payload"))
+    broken = F.when(F.col("seq") == 402, F.lit("forged")).otherwise(F.col("payload"))
     return act.ledger_verify(chain.withColumn("payload", broken))
 
 
