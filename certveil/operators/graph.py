@@ -54,6 +54,22 @@ def lsh_pairs(signatures: DataFrame, bands: int = 4, rows: int = 4) -> DataFrame
     return near.select("a", "b", (same / F.size("sa")).alias("agreement"))
 
 
+def equal_signatures(signatures: DataFrame) -> DataFrame:
+    """(a, b): each document after the first of an equal signature, which lsh_pairs collapses, with that first one."""
+    firsts = signatures.groupBy("sig").agg(F.min("doc_id").alias("a"))
+    return signatures.join(firsts, "sig").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+
+
+def full_agreement(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(a, b, agreement): the Jaccard likeness of each pair's whole shingle sets."""
+    sets = shingles.distinct()
+    n = sets.groupBy("doc_id").agg(F.count("*").alias("n"))
+    left, right = sets.select(F.col("doc_id").alias("a"), "h"), sets.select(F.col("doc_id").alias("b"), "h")
+    shared = pairs.select("a", "b").join(left, "a").join(right, ["b", "h"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sized = shared.join(n.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
+    return sized.select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("agreement"))
+
+
 def duplicate_of(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, original): the first exact copy, else the most similar earlier document of at least ``threshold``."""
     exact = exact_duplicates(docs)

@@ -256,14 +256,18 @@ _MINHASH = f"SELECT doc_id, [{', '.join(f'min((h * {a} + {b}) % 2147483647)' for
     p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.sig AS sa, y.sig AS sb FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id)
     SELECT a, b, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN sa[i] = sb[i] THEN 1 ELSE 0 END)) / 16.0 AS agreement FROM p""")
 def minhash_pairs(spark, d):
-    sig = graph.minhash(graph.word_shingles(table(spark, d, "documents").select("doc_id", "text")), 16)
-    return graph.lsh_pairs(sig).select("a", "b", F.col("agreement").cast("double").alias("agreement"))
+    """128 permutations, 32 bands of 4. The SQL twin still has 16 in 4."""
+    sig = graph.minhash(graph.word_shingles(table(spark, d, "documents").select("doc_id", "text")), 128)
+    return graph.lsh_pairs(sig, 32).select("a", "b", F.col("agreement").cast("double").alias("agreement"))
 
 
 @query("duplicate_of")
 def duplicate_of(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return graph.duplicate_of(docs, graph.lsh_pairs(graph.minhash(graph.word_shingles(docs), 16)), 0.75)
+    shingles = graph.word_shingles(docs)
+    sig = graph.minhash(shingles, 128)
+    pairs = graph.lsh_pairs(sig, 32).select("a", "b").unionByName(graph.equal_signatures(sig))
+    return graph.duplicate_of(docs, graph.full_agreement(pairs, shingles), 0.75)
 
 
 @query("lsh_curve", "SELECT l_linenumber, round(1 - pow(1 - pow(l_discount * 10, 4), 32), 9) AS p, count(*) AS n FROM lineitem GROUP BY 1, 2")

@@ -20,3 +20,21 @@ def test_ledgers_hold_every_order(spark):
     checked = catalogue.queries()["ledger_verify"](spark, SMALL).collect()
     assert sum(r.n_rows for r in checked) == len(orders) and {r.ledger: r["head"] for r in checked} == heads
     assert [(r.ledger, r.n_bad) for r in checked if not r.valid] == [(want[402][0], 1)]
+
+
+def test_duplicates_are_found_and_confirmed_on_full_sets(spark, tmp_path):
+    rows = []
+    for k in range(60):
+        base = [f"k{k}w{i}" for i in range(100)]
+        for j, changed in enumerate(((), (20, 60), (20, 50, 80))):  # likeness 1, 86 / 106, 81 / 111
+            rows.append((3 * k + j, " ".join("other" + w if i in changed else w for i, w in enumerate(base))))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.original for r in catalogue.queries()["duplicate_of"](spark, str(tmp_path)).collect()}
+    assert {i: o for i, o in got.items() if i % 3 < 2} == {i: i - 1 if i % 3 else None for i, _ in rows if i % 3 < 2}
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(96)} for i, t in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for i in got:
+        near = [(-like(j, i), j) for j in range(i - i % 3, i) if like(j, i) >= 0.75]
+        assert got[i] == (min(near)[1] if near else None)
+    pairs = {(r.a, r.b) for r in catalogue.queries()["minhash_pairs"](spark, str(tmp_path)).collect()}
+    assert {(3 * k, 3 * k + 1) for k in range(60)} <= pairs
