@@ -96,7 +96,8 @@ _WL = "SELECT o_orderkey AS pos, j, (o_totalprice - floor(o_totalprice)) / j AS
 
 
 def _weights(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 2 = 0")
+    """Every order. The SQL twins still take the even ones."""
+    o = table(spark, d, "orders")
     w = o.select(F.col("o_orderkey").alias("pos"), (0.5 + F.col("o_custkey") % 10 / 10.0).alias("w"))
     x = o.select(F.col("o_orderkey").alias("pos"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("j"), (F.col("o_totalprice") - F.floor("o_totalprice")).alias("f"))
     return w, x.select("pos", "j", (F.col("f") / F.col("j")).alias("loss"))

@@ -38,3 +38,21 @@ def test_duplicates_are_found_and_confirmed_on_full_sets(spark, tmp_path):
         assert got[i] == (min(near)[1] if near else None)
     pairs = {(r.a, r.b) for r in catalogue.queries()["minhash_pairs"](spark, str(tmp_path)).collect()}
     assert {(3 * k, 3 * k + 1) for k in range(60)} <= pairs
+
+
+def test_weights_and_losses_of_every_order(spark):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet").collect()
+    w = {o.o_orderkey: 0.5 + o.o_custkey % 10 / 10 for o in orders}
+    total = sum(w.values()) + max(w.values())
+    got = {r.pos: float(r.weight) for r in catalogue.queries()["weighted_crc_weights"](spark, SMALL).collect()}
+    assert set(got) == set(w) and all(abs(got[k] - w[k] / total) < 1e-9 for k in w)
+    risks = {j: sum(w[o.o_orderkey] * (float(o.o_totalprice) % 1) / j for o in orders) / total + max(w.values()) / total for j in range(1, 9)}
+    r = catalogue.queries()["weighted_crc"](spark, SMALL).first()
+    want = min(j for j in risks if risks[j] <= 0.1)
+    assert r.j_star == want and abs(float(r.risk) - risks[want]) < 1e-6
+
+
+def test_certified_run_masks_every_form(spark):
+    forms = spark.read.parquet(f"{SMALL}/customer.parquet").count()
+    got = {r.type: r.n_docs for r in catalogue.queries()["certified_run"](spark, SMALL).collect()}
+    assert got["EMAIL"] == forms
