@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .shared import partitions
 
-K, WINDOW = 16, 64
+K, WINDOW = 8, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 

@@ -178,6 +178,15 @@ def test_winnowing_guarantee_and_ties():
     assert likeness(a[1], a[1]) == 1 and likeness(a[1], a[1][:0]) == 0 and likeness(a[1][:0], a[1][:0]) == 1
 
 
+def test_half_of_a_short_text_keeps_an_entry():
+    from certveil.llm.fingerprints import edited, likeness, winnow
+
+    rng = np.random.default_rng(6)
+    for n in range(46, 160):
+        a, b = ("".join(rng.choice(list("abcdefghij "), n)) for _ in range(2))
+        assert likeness(winnow(a)[1], winnow(edited(a, b))[1]) > 0
+
+
 def test_fingerprints_with_next(spark, hard, empty):
     from certveil.llm.fingerprints import compare_with_next, edited
 
