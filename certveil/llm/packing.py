@@ -2,10 +2,11 @@
 
 Documents become token ids (the tokenizer's, then id 1); only those longer than the capacity are
 cut. The driver sees no document, only the histogram of piece lengths, of at most ``capacity``
-entries. It enumerates patterns of one to four lengths that fill a sequence almost, fits their
-repeat counts to the histogram by non-negative least squares, rounds them down, and packs what is
-left best-fit, largest first (best fit alone, where that needs fewer sequences). The plan is a list of runs (length, ranks, sequences, offset); each
-piece finds its place by its rank among the pieces of its length.
+entries. It enumerates patterns of few lengths that fill a sequence, fits their repeat counts to the
+histogram by non-negative least squares until no count moves, and rounds them; what that leaves goes
+through the same again, and a last residual is packed best-fit, largest first. The plan is a list of
+runs (length, ranks, sequences, offset), whose number follows from the capacity and not from the
+input; each piece finds its place by its rank among the pieces of its length.
 
 A length may hold any share of the rows: ranks are taken within (length, salt) and shifted by the
 counts of the salts before.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .shared import claim, written
 from .tokens import encoded, tokenizer, words
 
-SALTS = 64
+SALTS, EACH = 64, 6
+ROUNDS, PRICE = 12, 2.0  # fits, at most; of a sequence left empty, in mean counts of a length
 CACHED = 250_000  # words whose ids a worker keeps
 MARK = "<|endoftext|>"
 END = np.array([1], "<u4").tobytes()
@@ -128,42 +130,78 @@ def _cut(path: str, capacity: int):
     return run
 
 
-def _patterns(lengths: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Patterns of two to four lengths that waste little, each length as the largest at least once."""
-    below = lambda space: (i := bisect_right(lengths, space)) and lengths[i - 1]
-    found = {(x,) for x in lengths if capacity - x < max(1, lengths[0])}
-    step = max(1, len(lengths) // 24)
-    seconds = lengths[::step]
-    for x in lengths:
-        for last in (below(capacity - x), below(capacity - x - 1)):
+def _patterns(rest: dict[int, int], capacity: int, seed: int) -> list[tuple[int, ...]]:
+    """Fillings of few lengths, EACH or more begun from every length: the others are drawn as the histogram has
+    them while the space is wide, and one or two lengths that are there fill what is left as well as they can.
+    Those that are full or almost are kept, and the fullest of a length that has few of them."""
+    lengths = np.array(sorted(rest), np.int64)
+    share = np.cumsum([rest[x] for x in lengths.tolist()]).astype(np.float64)
+    near = max(1, capacity // 1024)  # waste that still counts as full
+    wide = int(lengths[np.searchsorted(share, 0.6 * share[-1])])
+    there = np.zeros(capacity + 1, np.int64)  # the largest length up to a space, 0 if none
+    there[lengths] = lengths
+    there = np.maximum.accumulate(there)
+    draws, each = np.random.default_rng(seed), max(EACH, 200 * EACH // len(lengths))
+    found = set()
+    for x in lengths.tolist():
+        own = {}
+        for turn in range(each + 1):
+            pattern, space = [x], capacity - x
+            while there[space] and (space > wide or not turn):
+                i = np.searchsorted(lengths, space, "right")
+                y = int(lengths[np.searchsorted(share, draws.random() * share[i - 1], "right")]) if turn else int(there[space])
+                pattern.append(y)
+                space -= y
+            last = int(there[space])
+            if space - last > near and last:  # two lengths that fill it better
+                some = lengths[: np.searchsorted(lengths, space, "right")]
+                left = space - some - there[space - some]
+                best = np.flatnonzero(left == left.min())
+                first = int(some[best[int(draws.integers(len(best)))]])
+                pattern.append(first)
+                last = int(there[space - first])
             if last:
-                found.add(tuple(sorted((x, last), reverse=True)))
-        for y in seconds:
-            if (z := below(capacity - x - y)) and x + y < capacity:
-                found.add(tuple(sorted((x, y, z), reverse=True)))
-                w = below(capacity - x - y - z)
-                if w:
-                    found.add(tuple(sorted((x, y, z, w), reverse=True)))
-    return sorted(p for p in found if capacity - sum(p) <= capacity // 256)
-
-
-def _least_squares(patterns: list[tuple[int, ...]], histogram: dict[int, int], rounds: int = 40) -> list[float]:
-    """Non-negative repeat counts with patterns' sums nearest to the histogram, by cyclic coordinate descent."""
-    rest = dict(histogram)  # what the counts leave of it
-    sparse = [[(x, p.count(x)) for x in sorted(set(p))] for p in patterns]
-    norms = [sum(m * m for _, m in s) for s in sparse]
-    counts = [0.0] * len(patterns)
-    for _ in range(rounds):
-        moved = 0.0
-        for i, s in enumerate(sparse):
-            new = max(0.0, counts[i] + sum(m * rest[x] for x, m in s) / norms[i])
-            if (d := new - counts[i]) != 0.0:
-                counts[i] = new
-                moved = max(moved, abs(d))
-                for x, m in s:
-                    rest[x] -= d * m
-        if moved < 0.5:
-            break
+                pattern.append(last)
+            p = tuple(sorted(pattern, reverse=True))
+            if all(p.count(y) <= rest[y] for y in set(p)):
+                own[p] = capacity - sum(p)
+        full = [p for p, waste in own.items() if waste <= near]
+        found.update(full if len(full) >= EACH else sorted(own, key=own.get)[: 2 * EACH])
+    return sorted(found)
+
+
+def _least_squares(patterns: list[tuple[int, ...]], rest: dict[int, int], capacity: int, rounds: int = 3000) -> np.ndarray:
+    """Non-negative repeat counts whose sums come nearest to the histogram (squares weighted by length), at a small price for space left empty:
+    accelerated projected gradient steps, begun anew when they overshoot, until no count can move by more than a
+    thousandth of the mean count of a length."""
+    index = {x: i for i, x in enumerate(sorted(rest))}
+    goal = np.array([rest[x] for x in sorted(rest)], np.float64)
+    weight = np.array(sorted(rest)) / max(rest)
+    sizes = np.fromiter(map(len, patterns), np.int64, len(patterns))
+    row = np.array([index[x] for p in patterns for x in p], np.int64)
+    first, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(patterns)), sizes)
+    put = lambda c: np.bincount(row, c[owner], len(goal))
+    take = lambda r: np.add.reduceat((weight * r)[row], first)
+    v = np.ones(len(patterns))
+    for _ in range(30):  # the largest eigenvalue
+        v = take(put(v))
+        top = float(np.linalg.norm(v))
+        v /= top
+    price = PRICE * goal.mean() * (1 - np.array([sum(p) for p in patterns]) / capacity)
+    counts = np.zeros(len(patterns))
+    ahead, t, enough = counts, 1.0, 1e-3 * goal.mean()
+    for k in range(rounds):
+        slope = take(put(ahead) - goal) + price
+        new = np.maximum(0.0, ahead - slope / (1.02 * top))
+        if ((ahead - new) * (new - counts)).sum() > 0:
+            t = 1.0
+        nxt = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        step = new - counts
+        ahead, t, counts = new + (t - 1) / nxt * step, nxt, new
+        if k % 20 == 19:
+            slope = take(put(counts) - goal) + price
+            if np.abs(np.minimum(counts, slope)).max() < enough:
+                break
     return counts
 
 
@@ -190,27 +228,40 @@ def _best_fit(rest: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...]
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that place every piece of the histogram, none over ``capacity``.
+def fitted(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """(pattern, repeats) by non-negative least squares, and what they leave of the histogram.
 
-    Fitted patterns with the residual best-fit after them, or best fit alone where that needs fewer sequences."""
+    Each round enumerates patterns over what is left, fits and rounds their repeat counts, the best fitted
+    first and none beyond what is there; rounds end when they place little."""
     rest = {x: n for x, n in histogram.items() if n > 0}
     out = []
     if full := rest.pop(capacity, 0):
         out.append(((capacity,), full))
-    if not rest:
-        return out
-    alone, fitted = _best_fit(rest, capacity), []
-    patterns = _patterns(sorted(rest), capacity)
-    for p, x in sorted(zip(patterns, _least_squares(patterns, rest), strict=True), key=lambda z: (-z[1], z[0])):
-        n = min(int(x), *(rest[y] // p.count(y) for y in p))
-        if n > 0:
-            fitted.append((p, n))
-            for y in p:
-                rest[y] -= n
-    fitted += _best_fit(rest, capacity)
-    size = lambda q: sum(n for _, n in q)
-    return out + (fitted if size(fitted) <= size(alone) else alone)
+    for k in range(ROUNDS):
+        before = sum(rest.values())
+        patterns = _patterns(rest, capacity, k) if rest else []
+        if not patterns:
+            break
+        counts = _least_squares(patterns, rest, capacity)
+        for i in np.argsort(-counts, kind="stable").tolist():
+            if counts[i] < 1e-3:
+                break
+            p = patterns[i]
+            n = min(max(1, int(counts[i])), *(rest[x] // p.count(x) for x in p))
+            if n > 0:
+                out.append((p, n))
+                for x in p:
+                    rest[x] -= n
+        rest = {x: n for x, n in rest.items() if n}
+        if sum(rest.values()) > 0.9 * before:
+            break
+    return out, rest
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that place every piece of the histogram, none over ``capacity``: the fitted patterns, then best fit for the residual."""
+    chosen, rest = fitted(histogram, capacity)
+    return chosen + _best_fit(rest, capacity)
 
 
 def _runs(chosen: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:

@@ -52,7 +52,7 @@ def test_token_counts(spark, hard, empty):
 def test_packing(spark, hard, empty):
     from tokenizers import Tokenizer
 
-    from certveil.llm.packing import pack, plan
+    from certveil.llm.packing import fitted, pack, plan
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     t = Tokenizer.from_file(path)
@@ -81,6 +81,27 @@ def test_packing(spark, hard, empty):
                 used[x] = used.get(x, 0) + n
         assert used == h
         assert sum(n for _, n in chosen) <= 1.02 * best_fit_decreasing(h, 100) + 2
+    base = {}
+    for x in np.minimum(4096, rng.lognormal(6.3, 1, 3000)).astype(int).tolist():
+        base[max(1, x)] = base.get(max(1, x), 0) + 1
+    for times in (1, 20, 1000):  # patterns carry most pieces at every size, with next to no waste
+        h = {x: n * times for x, n in base.items()}
+        least = -(-sum(x * n for x, n in h.items()) // 4096)
+        assert sum(n for _, n in plan(h, 4096)) <= least + max(1, least // 1000)
+        assert sum(fitted(h, 4096)[1].values()) < 0.05 * sum(h.values())
+    assert plan({}, 4096) == [] and plan({4096: 3}, 4096) == [((4096,), 3)] and sum(n for _, n in plan({3000: 5, 2000: 1}, 4096)) == 6
+    assert sum(n for _, n in plan({3: 100_000}, 4096)) == 74
+
+
+def test_packing_encodes_as_the_library():
+    from tokenizers import Tokenizer
+
+    from certveil.llm.packing import token_bytes
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    t = Tokenizer.from_file(path)
+    texts = ["it's they've x's 's 'sword a'd", "don't, (I'll) \"we've\"", "İstanbul ΣΑΣ ΣΑΣ. ½ x² ①a áb é. Å ﬁ ﬀ, ǅ ᾳ", "<|endoftext|> x<|endoftext|>y <|startoftext|>, (<|endoftext|>)", "a_b __init__ _bar 12ab ab12. 3.14 $5,000.00! #tag,%%% ...", "ก็ กำ 한글 ᄀ ᅡ 日本語、中国 ｡ｱ", "á é, ñ. ́ x́y", "'' ' 's' 'S THEY'RE, o'clock"]
+    assert token_bytes(path, texts) == [np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4").tobytes() for x in texts]
 
 
 def best_fit_decreasing(histogram, capacity):
