@@ -9,16 +9,21 @@ these 128 values propose pairs and every link is confirmed on the full sets
 probability of 5e-6.
 
 How groups of any size stay bounded: equal sets collapse to one node first. Within a bucket each
-node is compared with the bucket's smallest one only. Buckets that then still hold more than one
-component are compared in blocks of at most about 512 x 512 nodes: pairs of different components,
-once, in the first bucket that they share, whose signatures agree are confirmed there, and a block
-passes on links that join its nodes, fewer than it has nodes. Texts travel only for documents with
-such rows, found by a bitmap of 2^24 bits (at most 4 MB to broadcast; where it fills up, more texts
-travel).
+node is compared with the bucket's smallest one only. In buckets that then still hold more than one
+component, the nodes outside the bucket's largest component are compared with all its nodes of other
+components: pairs are judged once, in the first bucket that they share. Their left sides go in blocks
+of at most some BLOCK nodes and BYTES of hashes, against which right sides stream; signatures go
+first, and only nodes with a candidate in a block send their texts. A candidate agrees in LEAST of its
+128 signature values; a pair at a similarity of 0.75 has fewer with a probability under 1e-8
+(Chernoff's bound), less than what banding loses. A block passes on links that join its components,
+fewer than it has nodes. Rows of hot buckets and of equal sets are joined by broadcast of the hot keys
+(at most 50,000, see ``split_join``); texts travel only for documents with candidates, found by a
+bitmap sized by their count.
 
 Defined cases: rows with a null doc_id are linked with nothing (component_id null, kept true);
-rows that repeat a doc_id count as one document, linked by any of its texts; ties cannot arise
-(the smallest doc_id names the group); other columns are ignored; an empty table gives no rows.
+rows that repeat a doc_id count as one document, linked by any of its texts, and get the same
+component; ties cannot arise (the smallest doc_id names the group); other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,12 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import groups, partitions, texts_of, written
+from .shared import groups, partitions, split_join, texts_of, written
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
-BLOCK = 512  # nodes of a bucket that meet in one comparison
+BLOCK, BYTES = 2048, 1 << 25  # nodes of a bucket and bytes of their shingle hashes on the left of one comparison
 STAR = 256  # pairs of one leader that are confirmed together
-LEAST_AGREEMENT = 0.6  # signature agreement below which a pair is at least 4 standard deviations under 0.75
+LEAST = 0.5  # share of equal signature values below which a pair of a crowded bucket isn't confirmed
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -149,65 +154,160 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """node, comp, signatures, bands."""
+    sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+    bands = batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+    return batch.column("node").to_numpy(), batch.column("comp").to_numpy(), sigs, bands
+
+
+def _candidates(key: int, left, right, same: bool) -> np.ndarray:
+    """Pairs (row of left, row of right) to confirm: of different components, alike, and with ``key`` as the first band they share."""
+    (node, comp, sig, band), (node2, comp2, sig2, band2) = left, right
+    ok = comp[:, None] != comp2[None, :]
+    if same:  # both sides are outside the largest component: each pair once
+        ok &= node[:, None] < node2[None, :]
+    out = []
+    for i in np.flatnonzero(ok.any(axis=1)).tolist():
+        others = np.flatnonzero(ok[i])
+        others = others[(sig2[others] == sig[i]).mean(axis=1) >= LEAST]
+        if len(others):
+            equal = band2[others] == band[i]
+            others = others[band[i][equal.argmax(axis=1)] == key]
+            out.append(np.stack((np.full(len(others), i), others), axis=1))
+    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+
+
+def _left(parts: list[pa.RecordBatch]):
+    return [np.concatenate(x) for x in zip(*map(_matrix, parts), strict=True)]
+
+
+def _sides(run: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batches of a group, cut where the side changes: 0 left, 1 right within the largest component, 2 right outside it."""
+    for batch in run:
+        side = batch.column("side").to_numpy()
+        for s in (0, 1, 2):
+            at = np.flatnonzero(side == s)
+            if len(at):
+                yield s, batch.slice(int(at[0]), len(at))
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those rows of each (key, i, j) that have a candidate there, by signatures alone."""
+    for (key, _, _), run in groups(batches, ["key", "i", "j"]):
+        parts, left, hit = [], None, None
+        for side, batch in _sides(run):
+            if not side:
+                parts.append(batch)
+                continue
+            if left is None:
+                if not parts:
+                    break
+                left = _left(parts)
+                hit = np.zeros(len(left[0]), bool)
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                pairs = _candidates(key, left, _matrix(some), side == 2)
+                if len(pairs):
+                    hit[pairs[:, 0]] = True
+                    yield some.take(pa.array(np.unique(pairs[:, 1])))
+        at = 0
+        for part in parts if hit is not None else ():
+            mine = hit[at : at + part.num_rows]
+            at += part.num_rows
+            if mine.any():
+                yield part.filter(pa.array(mine))
+
+
 def _within(percent: int):
+    """Links (a, b) between the components of each (key, i, j), confirmed on full sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for parts in groups(batches, ["key", "i", "j"]):
-            t = pa.Table.from_batches(parts)
-            if t.num_rows < 2:
-                continue
-            key, i, j = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
-            node, comp, block = (t.column(c).to_numpy() for c in ("node", "comp", "block"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(node), -1)
-            bands = np.array(t.column("bands").to_pylist(), np.int64)
-            texts, sets, found = t.column("text"), {}, []
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-            comp = comp.copy()
-            for k in left:
-                others = right[(comp[right] != comp[k]) & ((node[right] > node[k]) if i == j else (node[right] != node[k]))]
-                others = others[(sig[others] == sig[k]).mean(axis=1) >= LEAST_AGREEMENT]
-                others = others[bands[k][(bands[others] == bands[k]).argmax(axis=1)] == key]
-                for o in others:
-                    if comp[o] != comp[k]:
-                        for x in (k, o):
-                            if x not in sets:
-                                sets[x] = shingle_hashes(texts[int(x)].as_py())
-                        if _linked(sets[k], sets[o], percent):
-                            found.append((min(comp[k], comp[o]), max(comp[k], comp[o])))
-                            comp[comp == comp[o]] = comp[k]
+        for (key, _, _), rows in groups(batches, ["key", "i", "j"]):
+            parts, sets, left, up, found = [], [], None, {}, []
+
+            def root(c, up=up):
+                while (d := up.get(c, c)) != c:
+                    c = d
+                return c
+
+            for side, batch in _sides(rows):
+                hashes = [shingle_hashes(t) for t in batch.column("text").to_pylist()]
+                if not side:
+                    parts.append(batch.drop_columns(["text"]))
+                    sets += hashes
+                    continue
+                if left is None:
+                    if not parts:
+                        break
+                    left = _left(parts)
+                right = _matrix(batch)
+                for i, o in _candidates(key, left, right, side == 2).tolist():
+                    a, b = root(int(left[1][i])), root(int(right[1][o]))
+                    if a != b and _linked(sets[i], hashes[o], percent):
+                        up[max(a, b)] = min(a, b)
+                        found.append((min(a, b), max(a, b)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
 
+def _crowded(hits: DataFrame, first: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """Rows (key, i, j, side, node, comp, sig, bands) of the buckets that still hold several components."""
+    rest = hits.where("m > 2").join(first, "node", "left").join(nodes.select("node", "n_shingles"), "node")
+    rest = rest.select("key", "node", F.coalesce("comp", "node").alias("comp"), "n_shingles")
+    parts = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    buckets = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.max_by("size", F.struct("n", "comp")).alias("top_size"), F.sum("n").alias("all"), F.sum("size").alias("size")).where("all > top.n")
+    outside, heavy = F.col("all") - F.col("top.n"), 8 * (F.col("size") - F.col("top_size"))
+    lefts, rights = F.greatest(F.ceil(outside / BLOCK), F.ceil(heavy / BYTES)).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    buckets = written(buckets.select("key", F.col("top.comp").alias("major"), lefts.alias("lefts"), rights.alias("rights"), "all"), "crowded")
+    rest = split_join(rest, buckets, ["key"], "all", total)
+    # A node's place on its own side, and all the blocks of the other side that it meets.
+    one = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    outer = F.col("comp") != F.col("major")
+    at = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    right = F.transform(one("lefts"), lambda i: F.struct(i.alias("i"), at("rights", 1).alias("j"), F.when(outer, 2).otherwise(1).alias("side")))
+    left = F.transform(one("rights"), lambda j: F.struct(at("lefts", 2).alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    rest = rest.withColumn("places", F.when(outer, F.concat(left, right)).otherwise(right)).select("key", "node", "comp", "places")
+    rest = rest.join(nodes.select("node", "sig", "bands"), "node").withColumn("at", F.explode("places"))
+    return rest.select("key", "at.i", "at.j", "at.side", "node", "comp", "sig", "bands")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is the document's own)."""
     n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_hash binary, sig binary, bands array<long>"), "signed")
-    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    nodes = signed.withColumnRenamed("doc_id", "rep").join(sets, ["set_hash", "rep"]).dropDuplicates(["set_hash", "rep"])
-    nodes = written(nodes.select(F.col("rep").alias("node"), "sig", "bands"), "nodes")
+    some = signed.where("n_shingles > 0 and doc_id is not null")
+    sets = written(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
+    # Texts of one id: their sets are linked, and its empty texts go with them.
+    kinds = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high"), F.max("n_shingles").alias("most")).where("low < high and most > 0")
+    kinds = written(kinds.select("doc_id"), "kinds")
+    of_one = signed.select("doc_id", "n_shingles", "set_hash").join(kinds, "doc_id").distinct()
+    joined = split_join(of_one.where("n_shingles > 0"), sets, ["set_hash"], "copies", signed.count()).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    empty = of_one.where("n_shingles = 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
 
+    nodes = signed.withColumnRenamed("doc_id", "rep").join(sets, ["set_hash", "rep"]).dropDuplicates(["set_hash", "rep"])
+    nodes = written(nodes.select(F.col("rep").alias("node"), "n_shingles", "sig", "bands"), "nodes")
+    total = 32 * nodes.count()
     members = nodes.select(F.explode("bands").alias("key"), "node")
     buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1")
-    hits = written(members.join(buckets, "key"), "hits")
+    hits = written(split_join(members, written(buckets, "buckets"), ["key"], "m", total), "hits")
     star = hits.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = components(written(confirmed(written(star, "star"), texts, percent), "links"))
-
-    # What is left: buckets with several components among the members that met the leader only.
-    rest = hits.where("m > 2 and node > leader").join(first, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    several = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high")
-    rest = rest.join(several.select("key", "blocks"), "key").withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block")
-    rest = written(rest.join(nodes, "node").select("key", "i", "j", F.col("node").alias("doc"), "comp", "block", "sig", "bands"), "rest")
-    rest = rest.join(texts_of(texts, rest), "doc").withColumnRenamed("doc", "node")
-    rest = rest.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "node", "comp", "block", "sig", "bands", "text")
-    late = rest.mapInArrow(_within(percent), "a long, b long")
+    links = confirmed(written(star, "star"), texts, percent).unionByName(joined)
+    first = components(written(links, "links"))
+
+    rest = written(_crowded(hits, first, nodes, total), "rest")
+    dealt = rest.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    alike = written(dealt.mapInArrow(_survivors, rest.schema), "alike")
+    sent = alike.join(texts_of(texts, alike.select(F.col("node").alias("doc"))).withColumnRenamed("doc", "node"), "node").select(*rest.columns, "text")
+    late = sent.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_within(percent), "a long, b long")
     second = components(written(late, "links")).select(F.col("comp").alias("final"), F.col("node").alias("comp"))
 
-    reached = sets.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    reached = reached.join(second, "comp", "left").select("set_hash", F.coalesce("final", "comp").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "set_hash").join(reached, "set_hash", "left")
+    reached = sets.unionByName(empty).join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    reached = reached.join(second, "comp", "left").select("set_hash", F.coalesce("final", "comp").alias("component_id"), "copies")
+    rows = signed.select("doc_id", "n_shingles", "set_hash")
+    out = split_join(rows.where("doc_id is not null"), reached, ["set_hash"], "copies", signed.count(), "left").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

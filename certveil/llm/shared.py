@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: the shared folder, written tables, row grouping."""
+"""What the operators of this subpackage share: the shared folder, written tables, joins that split hot keys, row grouping."""
 
 from __future__ import annotations
 
@@ -10,13 +10,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BITS = 1 << 24  # of the bitmap that says which texts are needed
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27  # of the bitmap that says which texts are needed; MOST_BITS are some 64 MB to broadcast
+HOT, COLD = 50_000, 256  # keys that are broadcast because many rows have them, at most; rows of a key below which it isn't hot
+_paths: dict[str, list[str]] = {}  # by application: the tables written, until they are released
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none."""
+    """The folder that driver and executors share. Where none is named, a temporary one serves on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="certveil-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -24,9 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that the operators wrote so far. Call it once their results are saved or no longer needed."""
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 _held: dict[str, Callable[[], None]] = {}
@@ -47,49 +62,66 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
-    """Runs of rows with equal ``keys`` from rows sorted by them, each as its slices in order."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
-        rows = list(zip(*columns, strict=True))
-        start = 0
-        for i, key in enumerate(rows):
-            if key != last:
-                if i > start:
-                    held.append(batch.slice(start, i - start))
-                if held:
-                    yield held
-                held, start, last = [], i, key
-        held.append(batch.slice(start))
-    if held:
-        yield held
-
-
-def _bit(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(BITS))
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, Iterator[pa.RecordBatch]]]:
+    """Each run of rows with equal ``keys``, from rows sorted by them, with its slices one after the other. A run is never held whole."""
+    source = ((k, part) for batch in batches for k, part in _runs(batch, keys))
+    pending = next(source, None)
+
+    def same(key):
+        nonlocal pending
+        while pending is not None and pending[0] == key:
+            part = pending[1]
+            pending = next(source, None)
+            yield part
+
+    while pending is not None:
+        key = pending[0]
+        run = same(key)
+        yield key, run
+        for _ in run:  # what the caller left
+            pass
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    rows = list(zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys), strict=True))
+    start = 0
+    for i in range(1, len(rows) + 1):
+        if i == len(rows) or rows[i] != rows[start]:
+            yield rows[start], batch.slice(start, i - start)
+            start = i
+
+
+def split_join(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``side``, one row for each of ``keys``, so that no key gathers in one task.
+
+    ``size`` names the column of ``side`` that says how many of the ``total`` rows have the key. Keys of more
+    than a HOTth of all rows (and of COLD rows) are HOT at most, so that they are broadcast; the others are shuffled."""
+    limit = max(COLD, total // HOT)
+    hot = F.broadcast(side.where(F.col(size) > limit))
+    many = rows.join(hot, keys)
+    few = rows.join(hot.select(keys), keys, "left_anti").join(side.where(F.col(size) <= limit), keys, how)
+    return many.unionByName(few.select(many.columns))
 
 
 def _marked(docs: DataFrame, ids: DataFrame, how: str) -> tuple[DataFrame, Column]:
-    """``docs`` with a bitmap of ``ids`` (column doc) beside it, and whether a row's bit is set."""
-    word, mask = F.expr("shiftright(_bit, 6)").alias("_word"), F.expr("shiftleft(1L, cast(_bit & 63 as int))").alias("_mask")
-    bitmap = ids.select(_bit("doc").alias("_bit")).select(word, mask).groupBy("_word").agg(F.expr("bit_or(_mask)").alias("_bits"))
-    rows = docs.withColumn("_bit", _bit("doc_id")).select("*", word, mask)
-    return rows.join(F.broadcast(bitmap), "_word", how), F.coalesce(F.expr("(_bits & _mask) <> 0"), F.lit(False))
+    """The rows of ``docs`` (column row) with a bitmap of ``ids`` (column doc) beside them, and whether a row's bit is set. The bitmap's size follows the count of ids."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    word, mask = F.expr("shiftright(bit, 6)").alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")
+    bitmap = ids.select(bit("doc").alias("bit")).select(word, mask).groupBy("word").agg(F.expr("bit_or(mask)").alias("bits"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), bit("doc_id").alias("bit")).select("row", word, mask)
+    return rows.join(F.broadcast(bitmap), "word", how), F.coalesce(F.expr("(bits & mask) <> 0"), F.lit(False))
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id may be among ``ids`` (column doc): all that are, and few others while the bitmap is sparse."""
     rows, hit = _marked(docs.select("doc_id", "text"), ids, "inner")
-    return rows.where(hit).select(F.col("doc_id").alias("doc"), "text")
+    return rows.where(hit).select(F.col("row.doc_id").alias("doc"), "row.text")
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """``docs`` without the rows whose doc_id is among ``ids`` (column doc); only rows whose bit is set travel. Null ids stay."""
     rows, hit = _marked(docs, ids, "left")
     gone = ids.where("doc is not null").select(F.col("doc").alias("doc_id")).distinct()
-    doubtful = rows.where(hit).select(docs.columns).join(gone, "doc_id", "left_anti")
-    return rows.where(~hit).select(docs.columns).unionByName(doubtful.select(docs.columns))
+    doubtful = rows.where(hit).select("row.*").join(gone, "doc_id", "left_anti")
+    return rows.where(~hit).select("row.*").unionByName(doubtful.select(docs.columns))

@@ -100,7 +100,7 @@ def test_packing_encodes_as_the_library():
 
     path = str(public_tokenizers.path("word_bpe_49k.json"))
     t = Tokenizer.from_file(path)
-    texts = ["it's they've x's 's 'sword a'd", "don't, (I'll) \"we've\"", "İstanbul ΣΑΣ ΣΑΣ. ½ x² ①a áb é. Å ﬁ ﬀ, ǅ ᾳ", "<|endoftext|> x<|endoftext|>y <|startoftext|>, (<|endoftext|>)", "a_b __init__ _bar 12ab ab12. 3.14 $5,000.00! #tag,%%% ...", "ก็ กำ 한글 ᄀ ᅡ 日本語、中国 ｡ｱ", "á é, ñ. ́ x́y", "'' ' 's' 'S THEY'RE, o'clock"]
+    texts = ["it's they've x's 's 'sword a'd", "don't, (I'll) \"we've\"", "İstanbul ΣΑΣ ΣΑΣ. ½ x² ①a áb é. Å ﬁ ﬀ, ǅ ᾳ", "<|endoftext|> x<|endoftext|>y <|startoftext|>, (<|endoftext|>)", "<|ENDOFTEXT|> A<|EndOfText|>", "Ünïcödé ÀÉÎ ÿ µ ß, Ñandú.", "a_b __init__ _bar 12ab ab12. 3.14 $5,000.00! #tag,%%% ...", "ก็ กำ 한글 ᄀ ᅡ 日本語、中国 ｡ｱ", "á é, ñ. ́ x́y", "'' ' 's' 'S THEY'RE, o'clock"]
     assert token_bytes(path, texts) == [np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4").tobytes() for x in texts]
 
 
@@ -165,6 +165,41 @@ def test_blocks_find_links_that_the_leader_misses(spark):
     assert got == brute_components(rows)
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    from certveil.llm.near_dedup import near_duplicates
+
+    a, b, c, d = (text(80 * k, 60) for k in range(4))
+    rows = [(1, a), (5, a), (5, b), (9, b), (20, c), (20, d), (20, ""), (21, d), (22, ""), (23, None), (30, c), (40, d + " more"), (None, a), (50, "x y"), (50, "x y")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components([r for r in rows if r[0] is not None])
+    assert want[9] == 1 and want[40] == want[30] == 20
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None) == sorted((i, want[i], i == want[i]) for i, _ in rows if i is not None)
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
+
+
+def test_near_duplicates_recall_and_crowded_buckets(spark, monkeypatch):
+    """Families of texts about as alike as the limit, and one family that shares its bands but falls into several components."""
+    from certveil.llm import near_dedup as N
+
+    monkeypatch.setattr(N, "BLOCK", 8)
+    rng = np.random.default_rng(17)
+    rows, at = [], 0
+    for family in range(12):
+        base = [f"f{family}w{i}" for i in range(160)]
+        for _ in range(25):
+            ws = list(base)
+            for k in rng.integers(0, 160, int(rng.integers(1, 7))):
+                ws[k] = f"u{at}x{k}"
+            at += 1
+            rows.append((at, " ".join(ws)))
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert len(set(want.values())) > 12 and np.mean([got[i] == want[i] for i in want]) > 0.99
+    pairs = [(a, b) for a in want for b in want if a < b and want[a] == want[b]]
+    assert np.mean([got[a] == got[b] for a, b in pairs]) > 0.99
+    assert all(want[a] == want[b] for a in got for b in got if a < b and got[a] == got[b])
+
+
 def test_min_max_signature_is_unbiased():
     from certveil.llm.near_dedup import shingle_hashes, signature
 
