@@ -18,6 +18,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -33,49 +34,101 @@ from .tokens import encoded, tokenizer, words
 SALTS, EACH = 64, 6
 ROUNDS, PRICE = 12, 2.0  # fits, at most; of a sequence left empty, in mean counts of a length
 CACHED = 250_000  # words whose ids a worker keeps
-MARK = "<|endoftext|>"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LEADING = MARKS.replace("'", "")
+# The rules of a tokenizer file by which words can be encoded apart.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 END = np.array([1], "<u4").tobytes()
 _ids: dict[str, Words] = {}
+_known: dict[str, Lean] = {}
+
+
+def _latin(text: str) -> bool:
+    """Whether all characters are below U+0100: these lower one for one, as the tokenizer lowers them, and compose with none of each other."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def _words(text: str | None) -> list[str]:
-    """Runs without white space. str.split() also splits at U+001C to U+001F, which the tokenizers keep."""
+    """Runs without white space, Latin texts in lower case. str.split() also splits at U+001C to U+001F, which the tokenizers keep."""
     if not text:
         return []
+    if _latin(text) and "<|" not in text:  # special strings are met before letters are lowered
+        text = text.lower()
     if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
         return words(text)
     return text.split()
 
 
-def _encode_words(path: str, some: list[str]) -> list[bytes]:
-    """The ids of single words as bytes. Many words go to the library as one text, held apart by an added
-    special string; words that hold such a string themselves go one by one."""
-    t = tokenizer(path)
-    mark = t.token_to_id(MARK)
-    out = {}
-    plain = [w for w in some if "<|" not in w] if mark is not None else []
-    parts = [plain[at : at + 400] for at in range(0, len(plain), 400)]
-    for part, ids in zip(parts, encoded(path, [MARK.join(p) for p in parts]), strict=True):
-        a = np.array(ids, "<u4")
-        ends = np.flatnonzero(a == mark).tolist()
-        if len(ends) == len(part) - 1:
-            data, start = a.tobytes(), 0
-            for w, end in zip(part, [*ends, len(a)], strict=True):
-                out[w] = data[4 * start : 4 * end]
-                start = end + 1
-    rest = [w for w in some if w not in out]
-    for w, ids in zip(rest, encoded(path, rest), strict=True):
-        out[w] = np.array(ids, "<u4").tobytes()
-    return [out[w] for w in some]
-
-
-def _parts(word: str) -> tuple[str, str]:
-    """An ASCII word in lower case without a last point or comma, and that mark: the tokenizer lowers
-    letters and parts marks from letters and digits, so their ids are the word's. Else the word itself."""
-    if word.isascii():
-        w = word.lower()
-        return (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".," and w[-2].isalnum() else (w, "")
-    return word, ""
+class Lean:
+    """What is known of a tokenizer file: whether words can be encoded apart (``apart``: it lowers letters, drops white
+    space, parts letters from marks and ends words with ``</w>``), which ids end a word, and a tokenizer without the
+    steps that change nothing in lower-case Latin letters."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        self.apart = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER and rules["model"].get("end_of_word_suffix") == "</w>"
+        if self.apart:
+            vocabulary = rules["model"]["vocab"]
+            self.ends = np.zeros(max(vocabulary.values()) + 1024, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+            self.tokenizer = Tokenizer.from_file(path)
+            self.tokenizer.normalizer = normalizers.Sequence([])
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+
+def _lean(path: str) -> Lean:
+    tokenizer(path)
+    if path not in _known:
+        _known[path] = Lean(path)
+    return _known[path]
+
+
+def _encode_letters(path: str, some: list[str]) -> dict[str, bytes]:
+    """The ids of words of letters as bytes. They go to the library many at once: each is one pre-token, so the
+    ids that end a word part them. Where the ends don't number as many as the words, each is encoded by itself."""
+    lean, out = _lean(path), {}
+    for at in range(0, len(some), 1000):
+        part = some[at : at + 1000]
+        joined = " ".join(part)
+        t = lean.tokenizer if joined.islower() and _latin(joined) else tokenizer(path)
+        a = np.array(t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(lean.ends[a]) + 1).tolist()
+        if len(stops) == len(part) and stops[-1] == len(a):
+            data, starts = a.tobytes(), [0, *stops[:-1]]
+            out.update(zip(part, [data[4 * i : 4 * j] for i, j in zip(starts, stops, strict=True)], strict=True))
+        else:
+            out |= _encode_others(path, part)
+    return out
+
+
+def _encode_others(path: str, some: list[str]) -> dict[str, bytes]:
+    return {w: np.array(ids, "<u4").tobytes() for w, ids in zip(some, encoded(path, some), strict=True)}
+
+
+def _parts(word: str) -> tuple[str, str, str]:
+    """Marks, letters, marks, where a word with marks is that; else the word, whole. The tokenizer parts ASCII marks
+    from letters, but for those after an apostrophe."""
+    head = word.rstrip(MARKS)
+    core = head if head.isalpha() else head.lstrip(LEADING)
+    if not core.isalpha() or "<|" in word:
+        return "", word, ""
+    return head[: len(head) - len(core)], core, word[len(head) :]
 
 
 class Words:
@@ -96,17 +149,23 @@ class Words:
             if len(self.ids) > 0.8 * CACHED:
                 self.ids.clear()
             new = words.difference(self.ids)
-        pairs = {w: _parts(w) for w in new}
-        need = list({x for p in pairs.values() for x in p if x and x not in self.ids})
-        own = dict(zip(need, _encode_words(self.path, need), strict=True))
+        letters = [w for w in new if w.isalpha()]
+        marked = [(w, _parts(w)) for w in new.difference(letters)]
+        self.ids.update(_encode_letters(self.path, letters))
+        need = list(set().union(*(p for _, p in marked)).difference(self.ids, [""]))
+        cores = [w for w in need if w.isalpha()]
+        own = _encode_letters(self.path, cores) | _encode_others(self.path, list(set(need).difference(cores)))
         find = lambda x: own[x] if x in own else self.ids[x]
-        for w, (a, b) in pairs.items():
-            self.ids[w] = find(a) + find(b) if b else find(a)
+        for w, (lead, core, tail) in marked:
+            ids = find(core) + find(tail) if tail else find(core)
+            self.ids[w] = find(lead) + ids if lead else ids
         self.once |= new
 
 
 def token_bytes(path: str, texts: list[str | None]) -> list[bytes]:
     """Each text's ids and the id 1, as little-endian unsigned 32-bit numbers; equals encoding the whole text."""
+    if not _lean(path).apart:
+        return [np.array([*ids, 1], "<u4").tobytes() for ids in encoded(path, [t or "" for t in texts])]
     cache = _ids.setdefault(path, Words(path))
     split = [_words(t) for t in texts]
     cache.learn(set().union(*split))
