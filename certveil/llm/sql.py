@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontamination import UNITS, WINDOW
+from .decontamination import SHORTEST, UNITS, WINDOW
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _GROUP = "CAST('0x' || substring(sha, CAST(5 * g + 1 AS INT), 5) AS BIGINT)"
@@ -28,20 +28,41 @@ def _tokens(text: str) -> str:
 
 _UNITS = "[" + ", ".join(f"'{u}'" for u in UNITS) + "]"
 _TEMPLATE = f"(CASE WHEN substring(x, 1, 1) BETWEEN '0' AND '9' OR (length(x) > 1 AND substring(x, 1, 1) IN ('$', '€', '£', chr(1), chr(2))) THEN '#n' WHEN list_contains({_UNITS}, lower(x)) THEN '#u' WHEN x <> lower(x) AND length(x) > 1 AND substring(x, 2) = substring(lower(x), 2) THEN '#p' ELSE lower(x) END)"
-_WIN = f"SELECT {{id}}, i - 1 AS pos, array_to_string(ts[i:i+{WINDOW - 1}], ' ') AS h FROM (SELECT {{id}}, ts, unnest(range(1, greatest(len(ts) - {WINDOW - 1}, 1) + 1)) AS i FROM {{src}} WHERE len(ts) > 0) WHERE 2 * len(list_filter(ts[i:i+{WINDOW - 1}], lambda t: substring(t, 1, 1) = '#')) <= len(ts[i:i+{WINDOW - 1}])"
-
-DECONTAMINATION = f"""WITH d AS (SELECT doc_id, t, list_transform(t, lambda x: {_TEMPLATE}) AS ts FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)),
-b AS (SELECT item_id, t, list_transform(t, lambda x: {_TEMPLATE}) AS ts FROM (SELECT item_id, {_tokens('text')} AS t FROM benchmark)),
-gw AS MATERIALIZED (SELECT DISTINCT * FROM ({_WIN.format(id='item_id', src='b')})), dw AS MATERIALIZED ({_WIN.format(id='doc_id', src='d')}),
-n AS (SELECT item_id, count(DISTINCT pos) AS n_windows FROM gw GROUP BY 1),
-h AS (SELECT doc_id, item_id, gw.pos AS ipos, dw.pos - gw.pos AS shift FROM dw JOIN gw USING (h)),
-p AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_matched FROM h GROUP BY 1, 2),
-c AS (SELECT h.doc_id, h.item_id, n_windows, n_matched, shift, min(ipos) AS low, max(ipos) AS high FROM h JOIN p USING (doc_id, item_id) JOIN n USING (item_id) WHERE n_matched >= 0.5 * n_windows GROUP BY 1, 2, 3, 4, 5),
-o AS (SELECT c.*, unnest(range(low + 1, high + {WINDOW} + 1)) AS k FROM c),
-v AS (SELECT o.doc_id, o.item_id, n_windows, n_matched, b.ts[k] AS kind, d.ts[k + shift] AS other, lower(b.t[k]) AS a, lower(d.t[k + shift]) AS z FROM o JOIN b USING (item_id) JOIN d USING (doc_id)),
-g AS (SELECT doc_id, item_id, n_windows, n_matched, count(*) FILTER (WHERE ok) AS n_slots, count(DISTINCT (kind, a)) FILTER (WHERE ok) AS one, count(DISTINCT (kind, a, z)) FILTER (WHERE ok) AS two, coalesce(bool_or(a <> z) FILTER (WHERE ok), false) AS changed FROM (SELECT *, coalesce(kind = other AND substring(kind, 1, 1) = '#', false) AS ok FROM v) GROUP BY 1, 2, 3, 4)
-SELECT doc_id, item_id, n_windows, n_matched, round(n_matched / CAST(n_windows AS DOUBLE), 6) AS coverage, n_slots, CASE WHEN two > 0 THEN round(one / CAST(two AS DOUBLE), 6) ELSE 1.0 END AS consistency, CASE WHEN changed THEN 'reparameterised' ELSE 'verbatim' END AS kind
-FROM g WHERE CASE WHEN two > 0 THEN round(one / CAST(two AS DOUBLE), 6) ELSE 1.0 END >= 0.8"""
+# Windows (id, i, kind, h) of rows (id, t, ts): those of WINDOW tokens in up to three forms, and runs of the lengths of short items.
+_WIN = f"""SELECT id, i, kind, h FROM (SELECT id, i, ks, ws, len(ks) AS size, len(list_filter(ks, lambda k: k = '#p')) AS names, len(list_filter(ks, lambda k: k IN ('#n', '#u'))) AS nums
+FROM (SELECT id, i, ts[i:i+{WINDOW - 1}] AS ks, list_transform(t[i:i+{WINDOW - 1}], lambda x: lower(x)) AS ws FROM (SELECT id, t, ts, unnest(range(1, greatest(len(ts) - {WINDOW - 1}, 1) + 1)) AS i FROM {{src}} WHERE len(ts) > 0))),
+LATERAL (SELECT 2 AS kind, 'T ' || array_to_string(ks, ' ') AS h WHERE 2 * (names + nums) <= size UNION ALL
+SELECT 1, 'T ' || array_to_string(list_transform(range(1, size + 1), lambda j: CASE WHEN ks[j] = '#p' THEN ws[j] ELSE ks[j] END), ' ') WHERE names > 0 AND 2 * nums <= size UNION ALL
+SELECT 0, 'W ' || array_to_string(ws, ' ') WHERE 2 * nums > size)
+UNION ALL SELECT id, i, 0, 'R ' || array_to_string(list_transform(t[i:i+n-1], lambda x: lower(x)), ' ') FROM (SELECT id, t, n, unnest(range(1, len(ts) - n + 2)) AS i FROM {{src}}, short WHERE len(ts) {{fits}} n)"""
+
+
+def _covered(n: str, m: str) -> str:
+    """The better of the three shares: which of (typed, templated, all) it is, as 1 to 3."""
+    better = lambda i, j: f"{n}{i} > 0 AND {m}{i} * {n}{j} >= {m}{j} * {n}{i}"
+    return f"CASE WHEN {better(1, 2)} AND {better(1, 3)} THEN 1 WHEN {better(2, 3)} THEN 2 ELSE 3 END"
+
+
+_COUNTS = "count(DISTINCT CASE WHEN kind = 2 THEN ipos END) AS m1, count(DISTINCT CASE WHEN kind >= 1 THEN ipos END) AS m2, count(DISTINCT ipos) AS m3"
+_BEST = f"SELECT *, [n1, n2, n3][w] AS n_windows, [m1, m2, m3][w] AS n_matched FROM (SELECT *, {_covered('n', 'm')} AS w FROM ({{rows}}))"
+
+DECONTAMINATION = f"""WITH d AS MATERIALIZED (SELECT id, doc_id, t, list_transform(t, lambda x: {_TEMPLATE}) AS ts FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), 'text ' || coalesce(text, '')) AS id, doc_id, {_tokens('text')} AS t FROM documents)),
+b AS MATERIALIZED (SELECT id, item_id, t, list_transform(t, lambda x: {_TEMPLATE}) AS ts FROM (SELECT coalesce(CAST(item_id AS VARCHAR), 'text ' || coalesce(text, '')) AS id, item_id, {_tokens('text')} AS t FROM benchmark)),
+short AS (SELECT DISTINCT len(ts) AS n FROM b WHERE len(ts) BETWEEN {SHORTEST} AND {WINDOW - 1}),
+gw AS MATERIALIZED (SELECT DISTINCT id AS item, i - 1 AS ipos, max(kind) OVER (PARTITION BY id, i) AS kind, h FROM ({_WIN.format(src='b', fits='=')})),
+dw AS MATERIALIZED (SELECT DISTINCT id AS doc, i - 1 AS pos, h FROM ({_WIN.format(src='d', fits='>=')})),
+totals AS (SELECT item, m1 AS n1, m2 AS n2, m3 AS n3 FROM (SELECT item, {_COUNTS} FROM gw GROUP BY 1)),
+r AS MATERIALIZED (SELECT DISTINCT doc, item, pos - ipos AS shift, ipos, kind FROM dw JOIN gw USING (h)),
+p AS (SELECT doc, item, n1, n2, n3 FROM ({_BEST.format(rows=f'SELECT doc, item, n1, n2, n3, {_COUNTS} FROM r JOIN totals USING (item) GROUP BY ALL')}) WHERE n_matched >= 0.5 * n_windows),
+c AS MATERIALIZED (SELECT *, sum(new) OVER (PARTITION BY doc, item ORDER BY shift) AS copy FROM (SELECT *, CASE WHEN shift - lag(shift) OVER (PARTITION BY doc, item ORDER BY shift) <= {WINDOW} THEN 0 ELSE 1 END AS new
+FROM (SELECT doc, item, n1, n2, n3, shift, min(ipos) AS low, max(ipos) AS high FROM r JOIN p USING (doc, item) GROUP BY ALL))),
+way AS MATERIALIZED (SELECT doc, item, shift, 0 AS way, 0 AS place FROM c UNION ALL SELECT doc, item, shift, 1, copy FROM c UNION ALL SELECT doc, item, shift, 2, shift FROM c),
+v AS MATERIALIZED (SELECT c.doc, c.item, shift, b.ts[k] AS kind, lower(b.t[k]) AS a, lower(d.t[k + shift]) AS z FROM (SELECT *, unnest(range(low + 1, high + {WINDOW} + 1)) AS k FROM c) AS c JOIN b ON b.id = c.item JOIN d ON d.id = c.doc WHERE b.ts[k] = d.ts[k + shift] AND substring(b.ts[k], 1, 1) = '#'),
+g AS (SELECT doc, item, way, place, count(*) AS n_slots, count(DISTINCT (kind, a)) AS one, count(DISTINCT (kind, a, z)) AS two, bool_or(a <> z) AS changed FROM v JOIN way USING (doc, item, shift) GROUP BY ALL),
+k AS ({_BEST.format(rows=f'SELECT doc, item, way, place, n1, n2, n3, {_COUNTS} FROM r JOIN p USING (doc, item) JOIN way USING (doc, item, shift) GROUP BY ALL')}),
+o AS (SELECT doc, item, way, place, n_windows, n_matched, round(n_matched / CAST(n_windows AS DOUBLE), 6) AS coverage, coalesce(n_slots, 0) AS n_slots, CASE WHEN two > 0 THEN round(one / CAST(two AS DOUBLE), 6) ELSE 1.0 END AS consistency, CASE WHEN changed THEN 'reparameterised' ELSE 'verbatim' END AS kind FROM k LEFT JOIN g USING (doc, item, way, place) WHERE n_matched >= 0.5 * n_windows)
+SELECT doc_id, item_id, n_windows, n_matched, coverage, n_slots, consistency, kind FROM (SELECT *, row_number() OVER (PARTITION BY doc, item ORDER BY coverage DESC, n_slots DESC, way, place DESC) AS rk FROM o WHERE consistency >= 0.8)
+JOIN (SELECT DISTINCT id AS doc, doc_id FROM d) USING (doc) JOIN (SELECT DISTINCT id AS item, item_id FROM b) USING (item) WHERE rk = 1"""
 
 
 def oracle_sql() -> dict[str, str]:

@@ -416,6 +416,21 @@ def test_decontamination_takes_each_copy_by_itself(spark):
     assert got[1].coverage == got[2].coverage == got[5].coverage == 1 and got[2].kind == got[5].kind == "reparameterised"
 
 
+def test_decontamination_of_hard_items_and_null_ids(spark, monkeypatch):
+    """Planted copies of items full of numbers and names, of short items, and under null ids are all found."""
+    from certveil.llm import decontamination as D
+
+    items = {1: "Marie Curie Pierre Curie 1903 Nobel Prize", 2: "12 kg 5 km 7 % 3 days 1999 2004 18 hours 4 miles", 3: "3 + 4 = 7", 4: "Why is grass green", 5: "two words", 6: "List 1 2 3 4 5 6 7 8 of values then 9 10 11 12 13 14 end", None: "A null item has words enough, so that it can be found in Rome by 12 people"}
+    plain = "some words stand here before it and then"
+    docs = [(10 * i, f"{plain} {t} {plain}") for i, t in items.items() if i] + [(10 * i + 1, f"{plain} {t.upper()} {plain}") for i, t in items.items() if i]
+    docs += [(52, "Two words"), (None, f"{plain} {items[1]}"), (None, f"{plain} {items[None]}"), (None, "nothing of the kind"), (70, f"{items[None]} {plain}"), (80, plain), (81, "13 kg 6 km 8 % 4 days 2000 2005 19 hours 5 miles"), (82, "Why is the grass green"), (90, None)]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = sorted([(10 * i + k, i) for i in (1, 2, 4, 6) for k in (0, 1)] + [(30, 3), (31, 3), (52, 5), (None, 1), (None, None), (70, None)], key=repr)
+    for few in (D.FEW, 0):
+        monkeypatch.setattr(D, "FEW", few)
+        assert sorted(((r.doc_id, r.item_id) for r in D.contaminated(*frames).collect()), key=repr) == want
+
+
 def test_without(spark):
     from certveil.llm.shared import without
 
