@@ -41,7 +41,7 @@ from .components import components
 from .shared import groups, partitions, split_join, texts_of, written
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
-BLOCK, BYTES = 2048, 1 << 25  # nodes of a bucket and bytes of their shingle hashes on the left of one comparison
+BLOCK, BYTES = 512, 1 << 25  # nodes of a bucket and bytes of their shingle hashes on the left of one comparison
 STAR = 256  # pairs of one leader that are confirmed together
 LEAST = 0.5  # share of equal signature values below which a pair of a crowded bucket isn't confirmed
 

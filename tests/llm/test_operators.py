@@ -357,6 +357,67 @@ def test_html(spark):
     assert extract(rows.where("false")).count() == 0
 
 
+def test_html_keeps_what_belongs_to_the_article():
+    from certveil.llm.html_text import main_text
+
+    prose = "This is a sentence, long enough to count, of the article that we want."
+    for part, want in [
+        ("<p>Euler: <math><mi>e</mi><mo>=</mo><mn>0</mn><annotation>e=0</annotation></math> holds.</p>", "Euler: e=0 holds."),
+        ("<ul><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ul>", "First source\nSecond source\nThird source"),
+        ('<p class="reply">The ministry sent this reply, in part.</p>', "The ministry sent this reply, in part."),
+        ('<section class="related-work"><p>Others did this before.</p></section>', "Others did this before."),
+        ('<div class="share-price"><p>It rose by 3 %.</p></div>', "It rose by 3 %."),
+        ('<div id="market-share">A third.</div>', "A third."),
+    ]:
+        assert main_text(f"<html><body><article><p>{prose}</p>{part}<p>{prose}</p></article></body></html>") == f"{prose}\n{want}\n{prose}"
+    for part in ('<div class="related-posts"><p>Read this too, please, now.</p></div>', '<div class="share-buttons">Share</div>', '<li class="comment"><p>I disagree, strongly, with all.</p></li>', '<div class="reply">Me too</div>', '<p class="ad">Buy</p>', '<div class="site-footer">(c)</div>', '<div class="post-share">Share it</div>'):
+        assert main_text(f"<html><body><article><p>{prose}</p>{part}<p>{prose}</p></article></body></html>") == f"{prose}\n{prose}"
+    menu = "<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul>"
+    assert main_text(f"<body>{menu}<p>{prose}</p>{menu}<p>{prose}</p>{menu}</body>") == f"{prose}\nOne\nTwo\nThree\n{prose}"
+
+
+def test_html_is_linear_in_depth_and_quotes():
+    import time
+
+    from certveil.llm.html_text import main_text
+
+    def seconds(page):
+        at = time.process_time()
+        main_text(page)
+        return time.process_time() - at
+
+    deep = lambda n: "<div>" * n + "word and word, again. " * 3 + "</div>" * n
+    stray = lambda n: "<p title=\">text</p>" * n + "'"
+    wrong = lambda n: "<div><p>some text</section>" * n
+    many = lambda n: "<div>" * (n // 10) + "<p>a line of text, with words.</p>" * n
+    for page in (deep, stray, wrong, many):
+        assert seconds(page(20_000)) < 8 * seconds(page(5_000)) + 0.5
+
+
+def test_html_against_pages_of_known_content():
+    """Random pages are built from article blocks and furniture; the extracted text is the article's blocks."""
+    import html as H
+
+    from certveil.llm.html_text import main_text
+
+    rng = np.random.default_rng(9)
+    some = lambda lo, hi: " ".join(rng.choice(WORDS, int(rng.integers(lo, hi)))) + rng.choice([".", ", and so on.", " & more <now>."])
+    for _ in range(200):
+        truth, body = [], []
+        for _ in range(int(rng.integers(3, 12))):
+            t = some(8, 60)
+            tag = str(rng.choice(["p", "p", "p", "blockquote", "h2", "li", "pre"]))
+            truth.append(" ".join(t.split()))
+            inner = H.escape(t).replace(" w1", " <b>w1</b>").replace(" w2", "\n w2")
+            body.append(f"<ul><li>{inner}</li></ul>" if tag == "li" else f"<{tag}>{inner}</{tag}>")
+            if rng.random() < 0.3:
+                body.append(str(rng.choice(['<div class="ad">Buy, buy, buy this right now, please do.</div>', "<script>var a = '<p>x</p>';</script>", "<aside><p>By the way, some other thing here.</p></aside>", '<form><p>Your mail address, please, here.</p></form>', "<!-- <p>gone</p> -->"])))
+        article = rng.choice(["article", "main", "div"])
+        links = "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(6))
+        page = f"<html><head><title>T</title></head><body><nav><ul>{links}</ul></nav><div class=header>Name of the site</div><{article}>{''.join(body)}</{article}><div id='comments'><p>No, no, no, I think not, says a reader.</p></div><ul>{links}</ul><footer>Imprint, terms, and so on, and so on.</footer></body></html>"
+        assert main_text(page) == "\n".join(truth)
+
+
 def test_quotation(spark):
     from certveil.llm.quotation import link
 
