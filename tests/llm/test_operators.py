@@ -426,7 +426,7 @@ def test_quotation(spark):
         (1, 2, "a", "> I agree with that\nfine then, thank you"), (2, 0, "c", "> Second paragraph\n> is here.\nyes"), (1, 3, "b", ">> never said anywhere\nok"), (1, 3, "b", ">> never said anywhere\nok"),
         (None, 1, "x", None), (3, 0, "y", ""), (4, 0, "z", "long " * 50_000),
     ]
-    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("own", F.lit(1)).withColumn("level", F.lit(1))
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({x: F.lit(1) for x in ("own", "level", "key", "unit", "row", "position", "n")})
     got = sorted(((r.conv_id or 0, r.turn, r.text[:30], r.n_linked, r.parent_conv, r.parent_turn, r.thread_conv, r.thread_turn, r.depth) for r in link(m).collect()), key=repr)
     by = {(x[0], x[1]): x for x in got}
     assert len(got) == len(rows)
@@ -435,6 +435,102 @@ def test_quotation(spark):
     assert link(m.where("false")).count() == 0
 
 
+def brute_links(rows):
+    """The rules of the quotation module, message by message."""
+    import re
+
+    normal = lambda x: re.sub(r"\s+", " ", x.lower()).strip()
+    intro = re.compile(r"(?i)^.{0,200}\b(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$")
+    parsed = []
+    for c, t, role, text in rows:
+        lines = []
+        for x in re.split(r"\r\n|\r|\n", text or ""):
+            p = re.match(r"^[ \t]*(?:>[ \t]?)+", x)
+            lines.append((p[0].count(">"), x[p.end() :]) if p else (0, x))
+        own = [b for i, (v, b) in enumerate(lines) if v == 0 and not (intro.match(b) and i + 1 < len(lines) and lines[i + 1][0] > 0)]
+        parsed.append((c, t, role, "\n".join(own).strip() if any(v for v, _ in lines) else text or "", lines))
+    saying = {}
+    for c, t, _, own, _ in parsed:
+        for u in {normal(own), *map(normal, re.split(r"\n\s*\n", own)), *map(normal, own.split("\n"))} - {""}:
+            saying.setdefault(u, set()).add((c, t))
+
+    def original(unit, c, t):
+        here = [x for x in saying.get(unit, ()) if x[0] == c]
+        if here and min(here)[1] < t:
+            return min(here)
+        first = min(saying.get(unit, [(c, t)]))
+        return first if first < (c, t) and len(unit) >= 12 else None
+
+    weights, counts, out = {}, {}, []
+    for c, t, _, _, lines in parsed:
+        runs = []
+        for v, b in lines:
+            if not runs or runs[-1][0] != v:
+                runs.append((v, []))
+            runs[-1][1].append(b)
+        for v, bodies in runs:
+            if not v or not normal(" ".join(bodies)):
+                continue
+            links = []
+            if o := original(normal(" ".join(bodies)), c, t):
+                links.append((o, len(normal(" ".join(bodies)))))
+            else:
+                for para in "\n".join("" if not b.strip() else b for b in bodies).split("\n\n"):
+                    parts = [b for b in para.split("\n") if b.strip()]
+                    if o := original(normal(" ".join(parts)), c, t):
+                        links.append((o, len(normal(" ".join(parts)))))
+                    else:
+                        links += [(o, len(normal(b))) for b in parts if (o := original(normal(b), c, t))]
+            n = counts.setdefault((c, t), [0, 0])
+            n[0], n[1] = n[0] + 1, n[1] + bool(links)
+            for o, k in links if v == 1 else ():
+                w = weights.setdefault((c, t), {})
+                w[o] = w.get(o, 0) + k
+    parent = {m: max((k, o[0] == m[0], o) for o, k in w.items())[2] for m, w in weights.items()}
+    start = {c: min(t for k, t, *_ in parsed if k == c) for c, *_ in parsed}
+    for c, t, role, own, _ in parsed:
+        m, depth = (c, t), 0
+        while m in parent:
+            m, depth = parent[m], depth + 1
+        p = parent.get((c, t), (None, None))
+        out.append((c, t, role, own, *counts.get((c, t), [0, 0]), *p, m[0], m[1] if depth else start[c], depth))
+    out.sort(key=lambda r: (r[8], r[9], r[0], r[1], r[2], r[3]))
+    seen, done = {}, []
+    for r in out:
+        k = seen.get(r[8:10], 0)
+        seen[r[8:10]] = k + 1
+        done.append((*r, k))
+    return done
+
+
+def test_quotation_against_brute_force(spark, monkeypatch):
+    from certveil.llm import quotation as Q
+    from certveil.llm import shared
+
+    rng = np.random.default_rng(12)
+    pick = lambda n: " ".join(rng.choice(WORDS[:60], n))
+    rows, texts = [], []
+    for c in range(30):
+        for t in range(int(rng.integers(2, 9))):
+            own = "\n".join(pick(int(rng.integers(1, 7))) if rng.random() < 0.8 else "" for _ in range(int(rng.integers(1, 7))))
+            if texts and rng.random() < 0.7:
+                q = texts[int(rng.integers(max(0, len(texts) - 12), len(texts)))].split("\n")
+                i = int(rng.integers(0, len(q)))
+                q = q[i : i + int(rng.integers(1, 6))] if rng.random() < 0.5 else q
+                own = "\n".join(["He wrote:"] * (rng.random() < 0.5) + [">" * (1 + (rng.random() < 0.2)) + " " * (rng.random() < 0.8) + x for x in q]) + "\n" + own
+            texts.append(own)
+            rows.append((c, t, "ab"[t % 2], own))
+    rows.append(rows[5])
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    fields = ["conv_id", "turn", "role", "text", "n_quotes", "n_linked", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "position"]
+    want = sorted(brute_links(rows), key=repr)
+    assert sum(r[5] for r in want) > 20 and max(r[10] for r in want) > 2
+    for cold, few in ((shared.COLD, Q.FEW), (2, 0)):  # the second: hot keys and salts
+        monkeypatch.setattr(shared, "COLD", cold)
+        monkeypatch.setattr(Q, "FEW", few)
+        assert sorted((tuple(r[f] for f in fields) for r in Q.link(m).collect()), key=repr) == want
+
+
 def test_decontamination(spark, hard, empty):
     from certveil.llm.decontamination import contaminated
 
