@@ -8,11 +8,13 @@ centroid in the order of languages). The score is the share of the winner in a s
 languages' best cosines.
 
 Rejection goes by distance: the cosine of a text of n n-grams to its language grows about as
-sqrt(n / (n + HALF)); a text whose best cosine, divided by that, lies under half the least such
-value of the sample texts to their own languages is rejected.
+sqrt(n / (n + HALF)); a text whose best cosine, divided by that, lies under NEAR of a low quantile
+(LOW) of such values is rejected. They are those of sample texts that centroids of the rest of the
+sample were not fitted on, to their own languages; a few odd texts in the sample don't set the floor.
 
-The centroids are fitted on at most SAMPLE texts per language, chosen by hash; every whole text is
-classified, with the same rule at every size.
+The centroids are fitted on at most SAMPLE texts per language, chosen by hash, of at most LANGUAGES
+languages (the most frequent) and TOTAL texts in all; every whole text is classified, with the same
+rule at every size.
 
 Defined cases: null texts and texts without a letter give ``und``, score 0, rejected; rows without
 language serve no training; without any learned language every text gives ``und``; repeated rows are
@@ -26,10 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS, SAMPLE, CENTROIDS, SHARPNESS, HALF = 4096, 300, 4, 20.0, 512
+LANGUAGES, TOTAL = 512, 4800  # learned, at most; of sample texts (16 KB each on the driver)
+LOW, NEAR = 0.02, 0.65
 _letters: list[np.ndarray] = []
 
 
@@ -87,6 +91,7 @@ class Model:
         self.centroids = np.zeros((0, DIMS), np.float32)
         self.owner = np.zeros(0, np.int64)
         self.floor = 0.0
+        self.texts = 0  # learned from
 
     def vector(self, n: np.ndarray) -> np.ndarray:
         return _unit(np.sqrt(n).astype(np.float32) * self.idf)
@@ -94,17 +99,26 @@ class Model:
     def fit(self, rows: list[tuple[str, np.ndarray]]) -> Model:
         if not rows:
             return self
+        self.texts = len(rows)
         n = np.array([c for _, c in rows])
         self.idf = (np.log((1 + len(n)) / (1 + (n > 0).sum(axis=0))) + 1).astype(np.float32)
         x = np.array([self.vector(c) for c in n])
         langs = np.array([g for g, _ in rows])
         self.languages = sorted(set(langs.tolist()))
+        place = np.zeros(len(rows), np.int64)  # a row's number in its language
+        for g in self.languages:
+            place[langs == g] = np.arange((langs == g).sum())
+        apart = place % 5 == 4
+        nearest = []
+        for g in self.languages:
+            if (mine := (langs == g) & apart).any():
+                c = _clustered(x[(langs == g) & ~apart], CENTROIDS)
+                size = n[mine].sum(axis=1)
+                nearest.append((x[mine] @ c.T).max(axis=1) / np.sqrt(size / (size + HALF)))
+        self.floor = NEAR * float(np.quantile(np.concatenate(nearest), LOW)) if nearest else 0.0
         parts = [_clustered(x[langs == g], CENTROIDS) for g in self.languages]
         self.centroids = np.concatenate(parts).astype(np.float32)
         self.owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        own = np.array([(self.centroids[self.owner == self.languages.index(g)] @ v).max() for g, v in zip(langs, x, strict=True)])
-        size = n.sum(axis=1)
-        self.floor = 0.5 * float((own / np.sqrt(size / (size + HALF))).min())
         return self
 
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
@@ -128,16 +142,19 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from the ``lang`` and ``text`` of at most ``sample`` texts per language among ``docs``."""
-    rows = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    """Learns from the ``lang`` and ``text`` of at most ``sample`` texts per language among ``docs`` (see LANGUAGES and TOTAL).
+    Equal rows count once, so that a row that stands there many times brings no more to the driver."""
+    rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    n = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not n:
         return Model()
+    sample = max(1, min(sample, TOTAL // len(n)))
     rates = F.create_map(*[F.lit(x) for g, c in n.items() for x in (g, min(1_000_000, 1_300_000 * sample // c + 1))])
-    rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))).where(F.col("u") < rates[F.col("lang")])
-    found = sorted((r.lang, r.u, bytes(r.h), bytes(r.counts)) for r in rows.select("lang", "u", "text").mapInArrow(_vectors, "lang string, u long, h binary, counts binary").collect())
-    chosen = [(g, np.frombuffer(c, "<i4")) for lang in n for g, _, _, c in [r for r in found if r[0] == lang][:sample]]
-    return Model().fit(chosen)
+    rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_000))).where(F.col("u") < rates[F.col("lang")])
+    found = rows.select("lang", "u", "text").mapInArrow(_vectors, "lang string, u long, h binary, counts binary").dropDuplicates(["lang", "u", "h"])
+    least = Window.partitionBy("lang").orderBy("u", "h")
+    found = found.withColumn("k", F.row_number().over(least)).where(F.col("k") <= sample).collect()
+    return Model().fit([(r.lang, np.frombuffer(bytes(r.counts), "<i4")) for r in sorted(found, key=lambda r: (r.lang, r.k))])
 
 
 def _classify(shared):

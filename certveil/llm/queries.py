@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
 from .shared import table
@@ -16,7 +17,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
     scored = toxicity.score(docs, net)
-    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out()))
     found = language_id.identify(docs, model)
-    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "cosine", "rejected")
+    return found.select("doc_id", F.coalesce(language_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "cosine", "rejected")
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

