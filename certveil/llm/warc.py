@@ -4,7 +4,8 @@ An archive is a table of (record, chunk, data, digest): chunk 0 holds the record
 HTTP head, the others parts of the payload of at most CHUNK bytes, and ``digest`` is the SHA-1 of the
 payload up to and with that chunk. The data of a record's chunks, in order, are a WARC/1.1 record as
 it stands in a file (``export_file`` writes such files). Writer and reader go through a payload
-chunk by chunk and hold one chunk and one running digest, never a second whole copy.
+chunk by chunk, as slices of the bytes that the columnar batch holds anyway (batches are bounded in
+bytes, see ``ship``), and keep one chunk and one running digest; no record is made into a string or copied whole.
 
 Of the pages with equal payloads of at least ``least`` bytes the one with the largest page_id is a
 response and the others are revisits of it; smaller payloads are responses.
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, written
+from .shared import partitions, split_join, written
 
 CHUNK = 1 << 18  # bytes of a chunk, at most
 FEW = 200_000  # revisits up to which their table (16 bytes a row) is broadcast
@@ -39,10 +40,10 @@ ARCHIVE = "record string, chunk int, data binary, digest string"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def payload_chunks(text: str | None, size: int = CHUNK) -> Iterator[bytes]:
-    """The UTF-8 bytes of ``text`` in parts of at most ``size`` bytes, each made from a part of the text."""
-    for at in range(0, len(text or ""), size // 4):
-        yield text[at : at + size // 4].encode("utf-8", "surrogatepass")
+def payload_chunks(payload: memoryview, size: int = CHUNK) -> Iterator[bytes]:
+    """The payload in parts of at most ``size`` bytes."""
+    for at in range(0, len(payload), size):
+        yield bytes(payload[at : at + size])
 
 
 def _urn(page_id: int | None) -> str:
@@ -58,12 +59,9 @@ def _clean(value: str | None) -> str:
     return re.sub(r"[\r\n]+", " ", value or "").strip()
 
 
-def record_chunks(page_id: int | None, url: str | None, text: str | None, refers_to: int | None) -> Iterator[tuple[int, bytes, str]]:
+def record_chunks(page_id: int | None, url: str | None, payload: memoryview, refers_to: int | None) -> Iterator[tuple[int, bytes, str]]:
     """(chunk, data, running digest) of one record."""
-    running, length = hashlib.sha1(), 0
-    for part in payload_chunks(text):
-        running.update(part)
-        length += len(part)
+    running, length = hashlib.sha1(payload), len(payload)
     revisit = refers_to is not None
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
@@ -82,7 +80,7 @@ def record_chunks(page_id: int | None, url: str | None, text: str | None, refers
     yield 0, head + (END if revisit or not length else b""), _base32(running.digest())
     if not revisit:
         left = length
-        for k, part in enumerate(payload_chunks(text), 1):
+        for k, part in enumerate(payload_chunks(payload), 1):
             running.update(part)
             left -= len(part)
             yield k, part + (b"" if left else END), _base32(running.digest())
@@ -103,8 +101,9 @@ def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.string(), pa.int32(), pa.binary(), pa.string()]
     for batch in batches:
         out, size = [], 0
-        for page_id, url, text, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            for k, data, digest in record_chunks(page_id, url, text, refers_to):
+        for page_id, url, html, refers_to in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            payload = memoryview(html.as_buffer() if html.is_valid else b"")
+            for k, data, digest in record_chunks(page_id, url, payload, refers_to):
                 out.append((f"{part}-{row}", k, data, digest))
                 size += len(data)
                 if size > 1 << 23:
@@ -120,8 +119,8 @@ def write_archive(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     body = F.coalesce("html", F.lit(""))
     keys = rows.select("page_id", F.sha1(F.encode(body, "UTF-8")).alias("sha"), F.octet_length(body).alias("size")).where(F.col("size") >= least)
-    firsts = keys.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").select("sha", "refers_to")
-    revisits = written(keys.join(firsts, "sha").where("page_id is null or page_id <> refers_to").select("page_id", "sha", "refers_to").distinct(), "revisits")
+    firsts = keys.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null")
+    revisits = written(split_join(keys, written(firsts, "firsts"), ["sha"], "n", rows.count()).where("page_id is null or page_id <> refers_to").select("page_id", "sha", "refers_to").distinct(), "revisits")
     rows = rows.withColumn("sha", F.sha1(F.encode(body, "UTF-8")))
     few = revisits.limit(FEW + 1).count() <= FEW
     side = (F.broadcast(revisits) if few else revisits).withColumnsRenamed({"page_id": "p", "sha": "s"})
