@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH = 1000
+BATCH, BYTES = 1000, 64 << 20
 _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Sends the package to the executors once per application, so that workers need no path of their own.
 
-    Arrow batches are kept to BATCH rows: texts are long, and a worker and its executor each hold a batch."""
+    Arrow batches of the session are kept to BATCH rows and BYTES bytes from here on: texts are long, and a worker and
+    its executor each hold a batch. Smaller settings stay."""
     sc = spark.sparkContext
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    if not 0 < int(re.sub(r"\D+$", "", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"))) <= BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)
     if sc.applicationId not in _sent:
         top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         path = os.path.join(tempfile.mkdtemp(prefix="certveil-code-"), "certveil.zip")
@@ -34,9 +38,11 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: what the cluster names, else a temporary one."""
+    """The folder that driver and executors share. Where none is named, a temporary one serves on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="certveil-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
