@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normalise_value
+from ..session import materialised
 
 PRIME = 2_147_483_647
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, content_hash, first_id, is_dup): the smallest id of equal canonical texts is the original."""
-    keyed = docs.select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    keyed = materialised(docs.select("doc_id", content_hash(F.col("text")).alias("content_hash")), "hashes")  # texts are read once
     firsts = keyed.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"))
     return keyed.join(firsts, "content_hash").select("doc_id", "content_hash", "first_id", (F.col("doc_id") != F.col("first_id")).alias("is_dup"))
 
@@ -27,18 +33,41 @@ def coefficients(n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _words() -> Column:
+    return F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
+
+
 def word_shingles(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, h): distinct 31-bit hashes of the k-word shingles."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, k), " "))
-    rows = docs.select("doc_id", words.alias("w")).where(F.size("w") > 0).select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
-    return rows.select("doc_id", (F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("long") % PRIME).alias("h"))
+    rows = docs.select("doc_id", _words().alias("w")).where(F.size("w") > 0).select("doc_id", F.explode(F.array_distinct(grams)).alias("g"))
+    return rows.select("doc_id", (F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("long") % PRIME).alias("h")).distinct()
+
+
+def _minima(permutations: int, k: int):
+    a, b = (np.array(x, np.int64)[:, None] for x in zip(*coefficients(permutations), strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = []
+            for words in batch.column(1).to_pylist():
+                grams = {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+                h = np.fromiter((int.from_bytes(hashlib.md5(g.encode("utf-8", "surrogatepass")).digest()[:4], "big") % PRIME for g in grams), np.int64, len(grams))
+                low = np.full(permutations, PRIME, np.int64)
+                for at in range(0, len(h), 4096):  # whatever the length of a text
+                    np.minimum(low, ((h[None, at : at + 4096] * a + b) % PRIME).min(axis=1), out=low)
+                sigs.append(low)
+            flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
+            offsets = pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * permutations)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=["doc_id", "sig"])
+
+    return run
 
 
-def minhash(shingles: DataFrame, permutations: int = 16) -> DataFrame:
-    """(doc_id, sig): minima of (a*h + b) mod 2^31-1; one grouped pass, combined before the shuffle."""
-    minima = [F.min((F.col("h") * a + b) % PRIME) for a, b in coefficients(permutations)]
-    return shingles.groupBy("doc_id").agg(F.array(*minima).alias("sig"))
+def signatures(docs: DataFrame, permutations: int = 128, k: int = 5) -> DataFrame:
+    """(doc_id, sig): minima of (a*h + b) mod 2^31-1 over the shingle hashes of each text with words, one row to one row: nothing is exploded or shuffled."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("w")).where(F.size("w") > 0)
+    return rows.mapInArrow(_minima(permutations, k), "doc_id long, sig array<long>")
 
 
 def lsh_pairs(signatures: DataFrame, bands: int = 4, rows: int = 4) -> DataFrame:
@@ -62,7 +91,8 @@ def equal_signatures(signatures: DataFrame) -> DataFrame:
 
 def full_agreement(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """(a, b, agreement): the Jaccard likeness of each pair's whole shingle sets."""
-    sets = shingles.distinct()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = shingles.join(ids, "doc_id", "left_semi")
     n = sets.groupBy("doc_id").agg(F.count("*").alias("n"))
     left, right = sets.select(F.col("doc_id").alias("a"), "h"), sets.select(F.col("doc_id").alias("b"), "h")
     shared = pairs.select("a", "b").join(left, "a").join(right, ["b", "h"]).groupBy("a", "b").agg(F.count("*").alias("shared"))

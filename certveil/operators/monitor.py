@@ -6,61 +6,79 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal_quantile
+from .folds import fold
 
 FLOOR = 1e-300
 
 
-def _sorted_series(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double").alias("x")))).alias("all"))
+class Bettor:
+    """A bettor against "the mean is at most alpha": the stake follows from what came before; the wealth is floored, its
+    peak kept and the first alarm noted. Observations may be numbers or arrays that run side by side."""
 
+    def __init__(self, alpha: float, delta: float, cap: float = 0.5):
+        self.alpha, self.most, self.goal = alpha, cap / alpha, 1 / delta
+        self.wealth, self.peak, self.mu, self.var, self.n = 1.0, 1.0, alpha, 0.25, 0
+        self.alarm: int | None = None
 
-def bettor_state(alpha: float) -> Column:
-    return F.struct(
-        F.lit(1.0).alias("wealth"), F.lit(1.0).alias("peak"), F.lit(alpha).alias("mu"), F.lit(0.25).alias("var"), F.lit(0).alias("n"), F.lit(None).cast("long").alias("alarm")
-    )
+    def see(self, x: float, pos: int | None = None) -> None:
+        gap = self.mu - self.alpha
+        stake = max(0.0, min(self.most, gap / (self.var + gap * gap + 1e-4)))
+        self.wealth = max(self.wealth * (1 + stake * (x - self.alpha)), FLOOR)
+        self.n += 1
+        if self.n == 1:
+            self.mu, self.var = x, 0.0
+        else:
+            mu = self.mu + (x - self.mu) / self.n
+            self.var += ((x - self.mu) * (x - mu) - self.var) / self.n
+            self.mu = mu
+        self.peak = max(self.peak, self.wealth)
+        if self.alarm is None and self.wealth >= self.goal:
+            self.alarm = pos
 
 
-def bettor_step(alpha: float, delta: float, cap: float = 0.5):
-    """One observation: the stake follows from what came before; the wealth is floored, the peak kept, the first alarm noted."""
-    most = cap / alpha
+def e_process(stream: DataFrame, alpha: float, delta: float = 0.05) -> DataFrame:
+    """(series, wealth, e_value, n, alarm): e_value is the running peak, alarm the position where it first reached 1/delta."""
+    rows = stream.select("series", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
+    kind = dict(rows.dtypes)["series"]
+    return fold(rows, ["series"], ["pos"], ["x", "pos"], f"series {kind}, wealth double, e_value double, n int, alarm long", lambda: Bettor(alpha, delta), Bettor.see, lambda b: (b.wealth, b.peak, b.n, b.alarm))
 
-    def step(a, v):
-        gap = a["mu"] - alpha
-        stake = F.greatest(F.lit(0.0), F.least(F.lit(most), gap / (a["var"] + gap * gap + 1e-4)))
-        w = F.greatest(a["wealth"] * (1 + stake * (v["x"] - alpha)), F.lit(FLOOR))
-        n = a["n"] + 1
-        mu = a["mu"] + (v["x"] - a["mu"]) / n
-        mu = F.when(n == 1, v["x"]).otherwise(mu)
-        var = F.when(n == 1, 0.0).otherwise(a["var"] + ((v["x"] - a["mu"]) * (v["x"] - mu) - a["var"]) / n)
-        alarm = F.when(a["alarm"].isNotNull(), a["alarm"]).when(w >= 1 / delta, v["pos"])
-        return F.struct(w.alias("wealth"), F.greatest(a["peak"], w).alias("peak"), mu.alias("mu"), var.alias("var"), n.alias("n"), alarm.cast("long").alias("alarm"))
 
-    return step
+class Mixture:
+    """Bettors started every ``every`` observations, ``most`` at most, as arrays side by side."""
 
+    def __init__(self, alpha: float, every: int, shares: np.ndarray):
+        self.alpha, self.every, self.shares, self.t = alpha, every, shares, 0
+        self.wealth, self.mu, self.var, self.n = (np.full(len(shares), x, float) for x in (1.0, alpha, 0.25, 0.0))
 
-def e_process(stream: DataFrame, alpha: float, delta: float = 0.05) -> DataFrame:
-    """(series, wealth, e_value, n, alarm): e_value is the running peak, alarm the position where it first reached 1/delta."""
-    end = F.aggregate("all", bettor_state(alpha), bettor_step(alpha, delta))
-    rows = _sorted_series(stream.withColumn("pos", F.col("pos").cast("long"))).select("series", end.alias("s"))
-    return rows.select("series", F.col("s.wealth").alias("wealth"), F.col("s.peak").alias("e_value"), F.col("s.n").alias("n"), F.col("s.alarm").alias("alarm"))
+    def see(self, x: float) -> None:
+        k = min(self.t // self.every + 1, len(self.shares))
+        self.t += 1
+        w, mu, var, n = self.wealth[:k], self.mu[:k], self.var[:k], self.n[:k]
+        gap = mu - self.alpha
+        stake = np.clip(gap / (var + gap * gap + 1e-4), 0.0, 0.5 / self.alpha)
+        np.maximum(w * (1 + stake * (x - self.alpha)), FLOOR, out=w)
+        n += 1
+        first = n == 1
+        new = np.where(first, x, mu + (x - mu) / n)
+        var[:] = np.where(first, 0.0, var + ((x - mu) * (x - new) - var) / n)
+        mu[:] = new
 
+    def value(self) -> tuple[float]:
+        used = self.shares[: min((self.t - 1) // self.every + 1, len(self.shares))]
+        return (float(used @ self.wealth[: len(used)] + 1 - used.sum()),)
 
-def e_detector(stream: DataFrame, alpha: float, every: int = 25, most: int = 64, ratio: float = 0.85, prior: str = "geometric") -> DataFrame:
-    """(series, e_value): the mixture of processes started every ``every`` observations; those not started count 1.
 
-    One row per (series, start) is folded by itself, so the mixture is an aggregate."""
-    ranked = stream.withColumn("t", F.row_number().over(Window.partitionBy("series").orderBy("pos")) - 1)
+def e_detector(stream: DataFrame, alpha: float, every: int = 25, most: int = 64, ratio: float = 0.85, prior: str = "geometric") -> DataFrame:
+    """(series, e_value): the mixture of processes started every ``every`` observations; those not started count 1."""
     norm = (1 - ratio**most) / (1 - ratio) if prior == "geometric" else float(most)
-    starts = F.sequence(F.lit(0), F.least(F.floor(F.col("t") / every), F.lit(most - 1)).cast("int"))
-    rows = ranked.select(F.col("series").alias("name"), F.col("t").alias("pos"), "x", F.explode(starts).alias("k"))
-    folded = _sorted_series(rows.select(F.struct("name", "k").alias("series"), "pos", "x")).select("series.name", "series.k", F.aggregate("all", bettor_state(alpha), bettor_step(alpha, 1e-9)).alias("s"))
-    share = F.pow(F.lit(ratio), F.col("k")) / norm if prior == "geometric" else F.lit(1 / norm)
-    sums = folded.groupBy(F.col("name").alias("series")).agg(F.sum(share * F.col("s.wealth")).alias("v"), F.sum(share).alias("used"))
-    return sums.select("series", (F.col("v") + 1 - F.col("used")).alias("e_value"))
+    shares = np.array([ratio**k / norm if prior == "geometric" else 1 / norm for k in range(most)])
+    rows = stream.select("series", "pos", F.col("x").cast("double").alias("x"))
+    return fold(rows, ["series"], ["pos"], ["x"], f"series {dict(rows.dtypes)['series']}, e_value double", lambda: Mixture(alpha, every, shares), Mixture.see, Mixture.value)
 
 
 def e_bh(values: DataFrame, delta: float) -> DataFrame:

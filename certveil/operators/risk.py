@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import crc_bound, hoeffding_bentkus
 from ..functions.text import iou
+from .folds import fold
 
 
 def levels(candidates: DataFrame) -> DataFrame:
@@ -140,24 +141,30 @@ def learn_then_test(risks: DataFrame, alpha: float, gamma: float, delta: float,
     return rows.withColumn("certified", (down == 1) & (up == 1))
 
 
+class LowBettor:
+    """A bettor against "the mean is over alpha". The stake comes from the mean and variance of what came before (prior: alpha and 1/4)."""
+
+    def __init__(self, alpha: float, fraction: float = 0.5):
+        self.alpha, self.most = alpha, min(fraction / alpha, fraction / (1 - alpha))
+        self.wealth, self.peak, self.mu, self.var, self.n = 1.0, 1.0, alpha, 0.25, 0
+
+    def see(self, x: float) -> None:
+        gap = self.alpha - self.mu
+        stake = min(self.most, max(0.0, gap / (self.var + gap * gap + 1e-4)))
+        self.wealth = max(self.wealth * (1 + stake * (self.alpha - x)), 0.0)
+        self.n += 1
+        mu = self.mu + (x - self.mu) / self.n
+        self.var = 0.0 if self.n == 1 else self.var + ((x - self.mu) * (x - mu) - self.var) / self.n
+        self.mu, self.peak = mu, max(self.peak, self.wealth)
+
+    def p(self) -> float:
+        return min(1.0, 1 / self.peak)
+
+
 def betting_pvalue(values: DataFrame, alpha: float, key: str = "series", fraction: float = 0.5) -> DataFrame:
-    """(key, p): one over the largest wealth of a bettor against "mean over alpha", in the order of ``pos``.
-
-    The stake comes from the mean and variance of what came before (prior 1/2 and 1/4 as one
-    observation), so each step needs the last one: a fold over the series' sorted values."""
-    start = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("peak"), F.lit(alpha).alias("mu"), F.lit(0.25).alias("var"), F.lit(0).alias("n"))
-
-    def step(a, v):
-        x = v["x"]
-        stake = F.least(F.lit(fraction / alpha * 1.0), F.greatest(F.lit(0.0), (alpha - a["mu"]) / (a["var"] + F.pow(alpha - a["mu"], 2) + 1e-4)), F.lit(fraction / (1 - alpha)))
-        w = F.greatest(a["w"] * (1 + stake * (alpha - x)), F.lit(0.0))
-        n = a["n"] + 1
-        mu = a["mu"] + (x - a["mu"]) / n
-        var = F.when(n == 1, 0.0).otherwise(a["var"] + ((x - a["mu"]) * (x - mu) - a["var"]) / n)
-        return F.struct(w.alias("w"), F.greatest(a["peak"], w).alias("peak"), mu.alias("mu"), var.alias("var"), n.alias("n"))
-
-    rows = values.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double").alias("x")))).alias("all"))
-    return rows.select(key, F.aggregate("all", start, step, lambda a: F.least(F.lit(1.0), 1 / a["peak"])).alias("p"))
+    """(key, p): one over the largest wealth of a bettor against "mean over alpha", in the order of ``pos``."""
+    rows = values.select(key, "pos", F.col("x").cast("double").alias("x"))
+    return fold(rows, [key], ["pos"], ["x"], f"`{key}` {dict(rows.dtypes)[key]}, p double", lambda: LowBettor(alpha, fraction), LowBettor.see, lambda b: (b.p(),))
 
 
 def operating_point(points: DataFrame, by: str = "rho", budget: float = 1.0) -> DataFrame:

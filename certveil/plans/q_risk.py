@@ -91,12 +91,11 @@ def crc_select(spark, d):
     return risk.crc_select(rows, F.col("n"), 0.02).select("j_star", F.round("inflated", 9).alias("inflated"))
 
 
-_W = "SELECT o_orderkey AS pos, 0.5 + o_custkey % 10 / 10.0 AS w FROM orders WHERE o_orderkey % 2 = 0"
-_WL = "SELECT o_orderkey AS pos, j, (o_totalprice - floor(o_totalprice)) / j AS loss FROM orders CROSS JOIN (SELECT unnest(range(1, 9)) AS j) WHERE o_orderkey % 2 = 0"
+_W = "SELECT o_orderkey AS pos, 0.5 + o_custkey % 10 / 10.0 AS w FROM orders"
+_WL = "SELECT o_orderkey AS pos, j, (o_totalprice - floor(o_totalprice)) / j AS loss FROM orders CROSS JOIN (SELECT unnest(range(1, 9)) AS j)"
 
 
 def _weights(spark, d):
-    """Every order. The SQL twins still take the even ones."""
     o = table(spark, d, "orders")
     w = o.select(F.col("o_orderkey").alias("pos"), (0.5 + F.col("o_custkey") % 10 / 10.0).alias("w"))
     x = o.select(F.col("o_orderkey").alias("pos"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("j"), (F.col("o_totalprice") - F.floor("o_totalprice")).alias("f"))

@@ -248,26 +248,31 @@ def exact_dups(spark, d):
 
 
 _SHINGLES = "SELECT DISTINCT doc_id, CAST(('0x' || substring(md5(array_to_string(w[i:i+4], ' ')), 1, 8)) AS BIGINT) % 2147483647 AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0)"
-_COEF = graph.coefficients(16)
+_COEF = graph.coefficients(128)
 _MINHASH = f"SELECT doc_id, [{', '.join(f'min((h * {a} + {b}) % 2147483647)' for a, b in _COEF)}] AS sig FROM ({_SHINGLES}) GROUP BY doc_id"
 
 
-@query("minhash_pairs", f"""WITH s AS MATERIALIZED ({_MINHASH}), g AS (SELECT sig, min(doc_id) AS doc_id FROM s GROUP BY sig), b AS (SELECT doc_id, unnest(range(0, 4)) AS band, sig FROM g), k AS (SELECT doc_id, band, sig, sig[4*band+1:4*band+4] AS key FROM b),
+@query("minhash_pairs", f"""WITH s AS MATERIALIZED ({_MINHASH}), g AS (SELECT sig, min(doc_id) AS doc_id FROM s GROUP BY sig), b AS (SELECT doc_id, unnest(range(0, 32)) AS band, sig FROM g), k AS (SELECT doc_id, band, sig, sig[4*band+1:4*band+4] AS key FROM b),
     p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b, x.sig AS sa, y.sig AS sb FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id)
-    SELECT a, b, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN sa[i] = sb[i] THEN 1 ELSE 0 END)) / 16.0 AS agreement FROM p""")
+    SELECT a, b, list_sum(list_transform(range(1, 129), lambda i: CASE WHEN sa[i] = sb[i] THEN 1 ELSE 0 END)) / 128.0 AS agreement FROM p""")
 def minhash_pairs(spark, d):
-    """128 permutations, 32 bands of 4. The SQL twin still has 16 in 4."""
-    sig = graph.minhash(graph.word_shingles(table(spark, d, "documents").select("doc_id", "text")), 128)
+    """128 permutations, 32 bands of 4."""
+    sig = graph.signatures(table(spark, d, "documents").select("doc_id", "text"), 128)
     return graph.lsh_pairs(sig, 32).select("a", "b", F.col("agreement").cast("double").alias("agreement"))
 
 
-@query("duplicate_of")
+@query("duplicate_of", f"""WITH s AS MATERIALIZED ({_MINHASH}), h AS MATERIALIZED ({_SHINGLES}), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1), g AS (SELECT sig, min(doc_id) AS doc_id FROM s GROUP BY sig),
+    k AS (SELECT doc_id, band, sig[4*band+1:4*band+4] AS key FROM (SELECT doc_id, unnest(range(0, 32)) AS band, sig FROM g)),
+    p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id UNION SELECT g.doc_id, s.doc_id FROM s JOIN g USING (sig) WHERE s.doc_id <> g.doc_id),
+    j AS (SELECT a, b, count(*) AS shared FROM p JOIN h x ON x.doc_id = a JOIN h y ON y.doc_id = b AND y.h = x.h GROUP BY 1, 2),
+    e AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY c ORDER BY doc_id) AS first_id FROM (SELECT doc_id, sha256(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g')) AS c FROM documents)),
+    m AS (SELECT b, first(a ORDER BY v DESC, a) AS near FROM (SELECT a, b, shared / CAST(na.n + nb.n - shared AS DOUBLE) AS v FROM j JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b) WHERE v >= 0.75 GROUP BY b)
+    SELECT e.doc_id, CASE WHEN e.doc_id <> first_id THEN first_id ELSE near END AS original FROM e LEFT JOIN m ON m.b = first_id""")
 def duplicate_of(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    shingles = graph.word_shingles(docs)
-    sig = graph.minhash(shingles, 128)
+    sig = graph.signatures(docs, 128)
     pairs = graph.lsh_pairs(sig, 32).select("a", "b").unionByName(graph.equal_signatures(sig))
-    return graph.duplicate_of(docs, graph.full_agreement(pairs, shingles), 0.75)
+    return graph.duplicate_of(docs, graph.full_agreement(pairs, graph.word_shingles(docs)), 0.75)
 
 
 @query("lsh_curve", "SELECT l_linenumber, round(1 - pow(1 - pow(l_discount * 10, 4), 32), 9) AS p, count(*) AS n FROM lineitem GROUP BY 1, 2")
