@@ -14,15 +14,42 @@ def fold_accents(c: Column) -> Column:
     return F.regexp_replace(c, "[À-ÖØ-öø-ÿĀ-ž]", "_")
 
 
+MARK = "\uffff"  # a noncharacter that parts matches from the text between them; in texts it becomes another one
+BLOCK = 64  # parts that are summed together
+
+
+def parts(text: Column, pattern: str) -> Column:
+    """Gap, match, gap, match, ..., gap: one pass of the pattern."""
+    return F.split(F.regexp_replace(F.translate(text, MARK, "\ufffe"), f"(?:{pattern})", f"{MARK}$0{MARK}"), MARK, -1)
+
+
+def part_sums(parts: str) -> Column:
+    """The lengths of each BLOCK of parts, summed."""
+    n = F.size(parts)
+    return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda s, x: s + F.length(x)))
+
+
+def starts(parts: str, sums: str, each) -> Column:
+    """An array of ``each(start, match)`` over the matches of ``parts``. Sums of blocks, then sums within a block, keep it near linear.
+
+    Both arrays are columns made in earlier projections and used more than once here, so that the optimizer
+    doesn't work them out again for each match."""
+    ahead = F.transform(sums, lambda s, b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda t, x: t + x))
+    places = F.sequence(F.lit(0), F.lit(BLOCK // 2 - 1))
+
+    def block(base, b):
+        pairs = F.floor(F.least(F.lit(BLOCK), F.size(parts) - b * BLOCK) / 2).cast("int")
+        within = lambda j: F.aggregate(F.slice(parts, b * BLOCK + 1, 2 * j + 1), F.lit(0), lambda t, x: t + F.length(x))
+        return F.transform(F.slice(places, F.lit(1), pairs), lambda j: each(base + within(j), F.get(F.col(parts), b * BLOCK + 2 * j + 1)))
+
+    return F.flatten(F.transform(ahead, block))
+
+
 def finditer(docs: DataFrame, pattern: str, text: str = "text") -> DataFrame:
-    """(doc_id, start, end, match) of the non-overlapping, never empty matches, 0-based and half-open.
-
-    Matches and the parts between them are two arrays of one pass each; a start is the sum of what
-    stands before. The text itself isn't carried through the explode."""
-    found = docs.select("doc_id", F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.split(text, pattern, -1).alias("p"))
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
-    starts = F.transform("m", lambda x, i: F.struct((total("p", i + 1) + total("m", i)).alias("start"), x.alias("match")))
-    rows = found.where(F.size("m") > 0).select("doc_id", F.explode(starts).alias("x"))
+    """(doc_id, start, end, match) of the non-overlapping, never empty matches, 0-based and half-open. The text itself isn't carried through the explode."""
+    rows = docs.select("doc_id", parts(F.col(text), pattern).alias("parts"))
+    rows = rows.select("doc_id", "parts", part_sums("parts").alias("sums"))
+    rows = rows.select("doc_id", F.explode(starts("parts", "sums", lambda start, match: F.struct(start.alias("start"), match.alias("match")))).alias("x"))
     return rows.select("doc_id", F.col("x.start").alias("start"), (F.col("x.start") + F.length("x.match")).alias("end"), F.col("x.match").alias("match"))
 
 
@@ -34,15 +61,11 @@ def with_context(spans: DataFrame, docs: DataFrame, width: int = 48) -> DataFram
 
 
 def tokens(docs: DataFrame, pattern: str = r"\S+") -> DataFrame:
-    """(doc_id, start, end) of tokens, linear in the text: lengths are summed in a window per document."""
-    from pyspark.sql import Window
-
-    parts = docs.select("doc_id", F.regexp_extract_all("text", F.lit(pattern), 0).alias("m"), F.split("text", pattern, -1).alias("p"))
-    zipped = F.transform("m", lambda x, i: F.struct(F.length(F.element_at(F.col("p"), i + 1)).alias("gap"), F.length(x).alias("n")))
-    rows = parts.select("doc_id", F.posexplode(zipped).alias("k", "x"))
-    w = Window.partitionBy("doc_id").orderBy("k")
-    end = F.sum(F.col("x.gap") + F.col("x.n")).over(w)
-    return rows.select("doc_id", "k", (end - F.col("x.n")).alias("start"), end.alias("end"))
+    """(doc_id, k, start, end) of tokens."""
+    rows = docs.select("doc_id", parts(F.col("text"), pattern).alias("parts"))
+    rows = rows.select("doc_id", "parts", part_sums("parts").alias("sums"))
+    rows = rows.select("doc_id", F.posexplode(starts("parts", "sums", lambda start, match: F.struct(start.alias("start"), (start + F.length(match)).alias("end")))).alias("k", "x"))
+    return rows.select("doc_id", "k", "x.start", "x.end")
 
 
 def canonicalise(c: Column) -> Column:

@@ -7,12 +7,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.checksums import iban_valid, luhn_valid, ssn_plausible
-from ..functions.text import finditer, iou, shape_signature
+from ..functions.text import finditer, iou, part_sums, parts, shape_signature, starts
 
 COLUMNS = ("doc_id", "start", "end", "type", "match", "score", "engine")
 
@@ -61,17 +61,15 @@ RULES = (
 
 
 def apply_rules(docs: DataFrame, rules: Iterable[Rule], width: int = 48) -> DataFrame:
-    """All rules' spans in one pass over the texts: one scan, one explode, no join and no shuffle.
+    """All rules' spans in one scan of the texts: one regular expression pass per rule, one explode, no join and no shuffle.
 
-    Matches and the parts between them are arrays made once per rule; each match becomes a struct with
-    its start and, where the rule looks around, whether its context fits."""
+    Each match becomes a struct with its start and, where the rule looks around, whether its context fits."""
     rules = list(rules)
-    arrays = [c for k, r in enumerate(rules) for c in (F.regexp_extract_all("text", F.lit(r.pattern), 0).alias(f"m{k}"), F.split("text", r.pattern, -1).alias(f"p{k}"))]
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+    rows = docs.select("doc_id", "text", *[parts(F.col("text"), r.pattern).alias(f"p{k}") for k, r in enumerate(rules)])
+    rows = rows.select("*", *[part_sums(f"p{k}").alias(f"s{k}") for k in range(len(rules))])
 
     def spans(k: int, r: Rule) -> Column:
-        def one(x, i):
-            start = total(f"p{k}", i + 1) + total(f"m{k}", i)
+        def one(start, x):
             if r.near is None:
                 near = F.lit(False)
             else:
@@ -80,11 +78,10 @@ def apply_rules(docs: DataFrame, rules: Iterable[Rule], width: int = 48) -> Data
             part = x if r.inner is None else F.regexp_extract(x, f"({r.inner})$", 1)
             return F.struct(F.lit(k).alias("k"), (start + F.length(x) - F.length(part)).alias("start"), part.alias("match"), near.alias("near"))
 
-        return F.transform(f"m{k}", one)
+        return starts(f"p{k}", f"s{k}", one)
 
-    rows = docs.select("doc_id", "text", *arrays)
-    rows = rows.where(F.greatest(*[F.size(f"m{k}") for k in range(len(rules))], F.lit(0)) > 0)
-    rows = rows.select("doc_id", F.explode(F.concat(*[spans(k, r) for k, r in enumerate(rules)], F.array().cast("array<struct<k:int,start:int,match:string,near:boolean>>"))).alias("x"))
+    none = F.array().cast("array<struct<k:int,start:int,match:string,near:boolean>>")
+    rows = rows.select("doc_id", F.explode(F.concat(*[spans(k, r) for k, r in enumerate(rules)], none)).alias("x"))
     rows = rows.select("doc_id", "x.k", "x.start", (F.col("x.start") + F.length("x.match")).alias("end"), "x.match", "x.near")
     kind = score = engine = good = None
     for k, r in enumerate(rules):
@@ -104,9 +101,9 @@ def rule_spans(docs: DataFrame, types: Iterable[str] = S.FINANCE_TYPES, suppress
     return dedupe_overlaps(spans) if suppress else spans
 
 
-def _union(parts: list[DataFrame], suppress: bool) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
+def _union(frames: list[DataFrame], suppress: bool) -> DataFrame:
+    out = frames[0]
+    for p in frames[1:]:
         out = out.unionByName(p)
     return dedupe_overlaps(out) if suppress else out
 
@@ -154,8 +151,8 @@ def labelled_fields(docs: DataFrame) -> DataFrame:
 
 
 def heuristic_spans(docs: DataFrame, types: Iterable[str] = S.FINANCE_TYPES, suppress: bool = True) -> DataFrame:
-    parts = [labelled_fields(docs), apply_rules(docs, NER_RULES)]
-    return _union([p.where(F.col("type").isin(*types)) for p in parts], suppress)
+    found = [labelled_fields(docs), apply_rules(docs, NER_RULES)]
+    return _union([p.where(F.col("type").isin(*types)) for p in found], suppress)
 
 
 def shape_spans(docs: DataFrame, types: Iterable[str] = S.FINANCE_TYPES, suppress: bool = True) -> DataFrame:
@@ -199,10 +196,18 @@ def _sorted(*extra: str) -> Column:
     return F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "start", "end", "match", *extra)))
 
 
+def islands(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``island``: spans of one group of ``keys`` that overlap, directly or by way of others. Rules on overlaps hold within islands, which are short."""
+    w = Window.partitionBy(*keys).orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("_new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int")).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
 def dedupe_overlaps(spans: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Greedy suppression within (doc_id, engine, type): best score first, then start and end; an overlap over ``threshold`` drops."""
     hit = _keep(threshold, strict=True)
-    grouped = spans.groupBy("doc_id", "engine", "type").agg(_sorted().alias("all"))
+    keys = ["doc_id", "engine", "type"]
+    grouped = islands(spans, keys).groupBy(*keys, "island").agg(_sorted().alias("all"))
     empty = F.expr("slice(`all`, 1, 0)")
     kept = F.aggregate("all", empty, lambda acc, x: F.when(F.exists(acc, lambda k: hit(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
     out = grouped.select("doc_id", "engine", "type", F.explode(kept).alias("x"))
@@ -212,7 +217,8 @@ def dedupe_overlaps(spans: DataFrame, threshold: float = 0.5) -> DataFrame:
 def merge_spans(spans: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The ensemble's merge within (doc_id, type): a span joins the first kept one it overlaps by ``threshold`` or more; engines gather."""
     hit = _keep(threshold, strict=False)
-    grouped = spans.groupBy("doc_id", "type").agg(_sorted(F.array("engine").alias("engines")).alias("all"))
+    keys = ["doc_id", "type"]
+    grouped = islands(spans, keys).groupBy(*keys, "island").agg(_sorted(F.array("engine").alias("engines")).alias("all"))
     empty = F.expr("slice(`all`, 1, 0)")
 
     def step(acc, x):

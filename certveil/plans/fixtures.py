@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt
+
 GIVEN = ["Melanie", "Jordan", "Greta", "Thomas", "Priya", "Xandra", "Zoltan"]
 FAMILY = ["Carter", "Lindberg", "Hartfield", "Okafor", "Smith", "Zhao", "Morton", "Quist"]
 
@@ -43,11 +45,13 @@ FORMS_SQL = _form(lambda words, at: f"([{_list(words)}])[1 + ({at}) % {len(words
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda words, at: f"array({_list(words)})[cast(({at}) % {len(words)} as int)]"
-    return spark.sql(_form(pick, "{customer}").replace("chr(10)", "char(10)"), customer=table(spark, sf_dir, "customer"))
+    return spark.sql(_form(pick, "{customer}").replace("chr(10)", "char(10)"), customer=dealt(table(spark, sf_dir, "customer")))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Texts that stand in fewer splits than there are cores (a small single file) are dealt out; large ones have splits enough."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name == "documents" else rows
 
 
 def folded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,16 +84,16 @@ GOLD_SQL = f"""SELECT l_orderkey AS doc_id, l_linenumber AS gid, CASE WHEN l_sup
 TOKENS_SQL = """SELECT o_orderkey AS doc_id, k, 6 * k AS start, 6 * k + 5 AS "end" FROM orders CROSS JOIN (SELECT unnest(range(0, 14)) AS k)"""
 
 
-def _lines(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def lines(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace('"end"', "`end`").replace("FROM lineitem", "FROM {lineitem}"), lineitem=table(spark, sf_dir, "lineitem"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, CANDIDATES_SQL)
+    return lines(spark, sf_dir, CANDIDATES_SQL)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir, GOLD_SQL)
+    return lines(spark, sf_dir, GOLD_SQL)
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

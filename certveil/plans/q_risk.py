@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import act, graph, metrics, risk
-from .fixtures import CANDIDATES_SQL, GOLD_SQL, TOKENS_SQL, candidates, gold, table, tokens
+from .fixtures import CANDIDATES_SQL, GOLD_SQL, TOKENS_SQL, candidates, gold, lines, table, tokens
 
 QUERIES, SQL = {}, {}
 IOU = """CASE WHEN least({a}."end", {b}."end") > greatest({a}.start, {b}.start) THEN (least({a}."end", {b}."end") - greatest({a}.start, {b}.start)) / CAST(greatest({a}."end", {b}."end") - least({a}.start, {b}.start) AS DOUBLE) ELSE 0 END"""
@@ -254,15 +254,21 @@ def resolved_mask(spark, d):
     return act.resolve(spans, act.escalate(e, 50)).select("doc_id", "type")
 
 
-_PRED = CANDIDATES_SQL.replace("AS cand,", "AS pid,")
-_M = f"SELECT g.doc_id, g.gid, p.pid FROM g JOIN p ON g.doc_id = p.doc_id AND g.type = p.type AND {IOU.format(a='g', b='p')} >= 0.5"
+# Gold spans and predictions that compete: some of either stand there twice, shifted by one.
+_PRED = f"""SELECT doc_id, cand AS pid, type, start, "end", score FROM ({CANDIDATES_SQL}) UNION ALL SELECT doc_id, cand + 100, type, start + 1, "end" + 1, score FROM ({CANDIDATES_SQL}) WHERE cand % 2 = 0"""
+_GOLD = f"""SELECT doc_id, gid, type, start, "end" FROM ({GOLD_SQL}) UNION ALL SELECT doc_id, gid + 100, type, start + 1, "end" + 1 FROM ({GOLD_SQL}) WHERE gid % 3 = 0"""
+_M = f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY v DESC, gid, pid) AS k FROM (SELECT g.doc_id, g.gid, p.pid, {IOU.format(a='g', b='p')} AS v FROM g JOIN p ON g.doc_id = p.doc_id AND g.type = p.type) WHERE v >= 0.5"""
 
 
-@query("span_prf", f"""WITH p AS ({_PRED}), g AS ({GOLD_SQL}), m AS ({_M}), r AS (SELECT type, CASE WHEN m.gid IS NULL THEN 0 ELSE 1 END AS tp, 0 AS fp, CASE WHEN m.gid IS NULL THEN 1 ELSE 0 END AS fn FROM g LEFT JOIN m USING (doc_id, gid) UNION ALL SELECT type, 0, 1, 0 FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = p.doc_id AND m.pid = p.pid)),
+@query("span_prf", f"""WITH RECURSIVE p AS ({_PRED}), g AS ({_GOLD}), q AS MATERIALIZED ({_M}),
+    w AS (SELECT doc_id, k, [gid] AS gs, [pid] AS ps, true AS ok FROM q WHERE k = 1 UNION ALL SELECT doc_id, k, CASE WHEN hit THEN gs ELSE list_append(gs, gid) END, CASE WHEN hit THEN ps ELSE list_append(ps, pid) END, NOT hit
+      FROM (SELECT q.*, w.gs, w.ps, list_contains(w.gs, q.gid) OR list_contains(w.ps, q.pid) AS hit FROM w JOIN q ON q.doc_id = w.doc_id AND q.k = w.k + 1)),
+    m AS (SELECT doc_id, gid, pid FROM q JOIN w USING (doc_id, k) WHERE ok),
+    r AS (SELECT type, CASE WHEN m.gid IS NULL THEN 0 ELSE 1 END AS tp, 0 AS fp, CASE WHEN m.gid IS NULL THEN 1 ELSE 0 END AS fn FROM g LEFT JOIN m USING (doc_id, gid) UNION ALL SELECT type, 0, 1, 0 FROM p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = p.doc_id AND m.pid = p.pid)),
     s AS (SELECT coalesce(type, 'ALL') AS type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM r GROUP BY GROUPING SETS ((type), ()))
     SELECT type, tp, fp, fn, round(tp / CAST(tp + fp AS DOUBLE), 9) AS precision, round(tp / CAST(tp + fn AS DOUBLE), 9) AS recall, round(2 * tp / CAST(2 * tp + fp + fn AS DOUBLE), 9) AS f1 FROM s""")
 def span_prf(spark, d):
-    rows = metrics.evaluate(gold(spark, d), candidates(spark, d).withColumnRenamed("cand", "pid"))
+    rows = metrics.evaluate(lines(spark, d, _GOLD), lines(spark, d, _PRED))
     return rows.select("type", "tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 

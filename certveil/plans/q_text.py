@@ -8,6 +8,7 @@ from .. import schema as S
 from ..functions import checksums as C
 from ..functions import text as T
 from ..operators import graph, labels, spans
+from . import sql_spans as Q
 from .fixtures import FOLDED_SQL, FORMS_SQL, LUHN_SQL, context_sql, find_sql, folded, forms, table
 
 QUERIES, SQL = {}, {}
@@ -37,20 +38,8 @@ def _spans_sql(docs_sql: str, kind: str, pattern: str, score: str, where: str =
     return _with(docs_sql, f"""SELECT doc_id, start AS span_start, "end" AS span_end, '{kind}' AS type, CAST({score} AS DOUBLE) AS score FROM ({src}) {where}""")
 
 
-_DIGITS = "regexp_replace(match, '[^0-9]', '', 'g')"
-_LUHN = LUHN_SQL.format(d=_DIGITS)
-_MOD97 = "list_reduce(list_prepend(0, list_transform(string_split({s}, ''), lambda c: CASE WHEN ascii(c) >= 65 THEN 1000 + ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda a, v: CASE WHEN v >= 1000 THEN (a * 100 + v - 1000) % 97 ELSE (a * 10 + v) % 97 END)"
-_COMPACT = "upper(regexp_replace({c}, '\\s+', '', 'g'))"
-
-
-def _iban_sql(c: str) -> str:
-    s = _COMPACT.format(c=c)
-    return f"(regexp_full_match({s}, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{8,30}}') AND {_MOD97.format(s=f'(substring({s}, 5) || substring({s}, 1, 4))')} = 1)"
-
-
-def _ssn_sql(c: str) -> str:
-    d = f"regexp_replace({c}, '[^0-9]', '', 'g')"
-    return f"(length({d}) = 9 AND substring({d}, 1, 3) NOT IN ('000', '666') AND substring({d}, 1, 3) < '900' AND substring({d}, 4, 2) <> '00' AND substring({d}, 6, 4) <> '0000')"
+_SPAN = 'SELECT doc_id, start AS span_start, "end" AS span_end, type, round(score, 6) AS score FROM'
+_LUHN, _MOD97, _iban_sql, _ssn_sql, _words, _PERSON, _BARE = Q.LUHN, Q.MOD97, Q.iban, Q.ssn, Q.words, Q.PERSON, Q.BARE
 
 
 @query("span_email", _spans_sql(FOLDED_SQL, "EMAIL", S.EMAIL, "0.97"))
@@ -110,32 +99,12 @@ def span_title_and_role(spark, d):
     return _out(spans.apply_rules(forms(spark, d), [r for r in spans.RULES if r.inner]))
 
 
-def _words(names) -> str:
-    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
-
-
-_BARE = "list_transform(string_split_regex(match, '\\s+'), lambda w: lower(regexp_replace(w, '^[.,]+|[.,]+$', '', 'g')))"
-_PERSON = f"(len({_BARE}) BETWEEN 2 AND 4 AND NOT list_has_any({_BARE}, {_words(S.STOP_WORDS)}) AND (list_has_any({_BARE}, {_words(S.GIVEN_NAMES)}) OR regexp_matches(({_BARE})[-1], '({'|'.join(S.SURNAME_SUFFIXES)})$')))"
-
-
 @query("span_titlecase_person", _spans_sql(FORMS_SQL, "PERSON", S.TITLE_RUN, f"CASE WHEN list_contains({_words(S.GIVEN_NAMES)}, ({_BARE})[1]) THEN 0.82 ELSE 0.62 END", f"WHERE {_PERSON}"))
 def span_titlecase_person(spark, d):
     return _out(spans.title_case_persons(forms(spark, d)))
 
 
-_FIELD = "SELECT doc_id, line, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(line) - 1 AS pos FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM d)"
-_HEAD = rf"^[\s\-*|]*(?:\*\*)?\s*({S.FIELD_KEY})\s*(?:\*\*)?\s*[:=]\s*(?:\*\*)?\s*"
-
-
-@query(
-    "span_labelled_field",
-    _with(
-        FORMS_SQL,
-        f"""SELECT doc_id, CAST(pos + length(head) AS BIGINT) AS span_start, CAST(pos + length(head) + length(v) AS BIGINT) AS span_end, type, CAST(0.9 AS DOUBLE) AS score FROM (
-        SELECT doc_id, pos, head, regexp_replace(substring(line, length(head) + 1), '[ .*|]+$', '') AS v, CASE lower(key) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in S.FIELDS.items())} END AS type FROM (
-        SELECT doc_id, line, pos, regexp_extract(line, '(?i){_HEAD}', 0) AS head, regexp_extract(line, '(?i){_HEAD}', 1) AS key FROM ({_FIELD}))) WHERE type IS NOT NULL AND head <> '' AND v <> ''""",
-    ),
-)
+@query("span_labelled_field", f"WITH d AS ({FORMS_SQL}) {_SPAN} ({Q.FIELDS})")
 def span_labelled_field(spark, d):
     return _out(spans.labelled_fields(forms(spark, d)))
 
@@ -148,14 +117,24 @@ def shape_signature(spark, d):
     return rows.select("token", T.shape_signature(F.col("token")).alias("shape"), "n")
 
 
-@query("span_shape")
+@query("span_shape", f"WITH RECURSIVE d AS ({FORMS_SQL}), a AS MATERIALIZED ({Q.SHAPES}), {Q.suppressed('a', 'b', 'doc_id, type')} {_SPAN} b")
 def span_shape(spark, d):
     return _out(spans.shape_spans(forms(spark, d)))
 
 
-@query("span_ensemble_merge")
+@query("span_rules", f"WITH RECURSIVE d AS ({FOLDED_SQL}), a AS MATERIALIZED ({Q.RULES}), {Q.suppressed('a', 'b', 'doc_id, type')} {_SPAN} b")
+def span_rules(spark, d):
+    return _out(spans.rule_spans(folded(spark, d)))
+
+
+@query("span_heuristics", f"WITH RECURSIVE d AS ({FORMS_SQL}), a AS MATERIALIZED ({Q.HEURISTICS}), {Q.suppressed('a', 'b', 'doc_id, type')} {_SPAN} b")
+def span_heuristics(spark, d):
+    return _out(spans.heuristic_spans(forms(spark, d)))
+
+
+@query("span_ensemble_merge", f"WITH RECURSIVE d AS ({FORMS_SQL}), {Q.MERGED} {_SPAN} m")
 def span_ensemble_merge(spark, d):
-    return _out(spans.ensemble(forms(spark, d))).where("score >= 0")
+    return _out(spans.ensemble(forms(spark, d)))
 
 
 _PAIRS = f"SELECT l_orderkey AS doc_id, 'x' AS engine, l_returnflag AS type, CAST(20 * (l_linenumber // 2) + l_partkey % 7 AS BIGINT) AS start, CAST(20 * (l_linenumber // 2) + 10 + l_suppkey % 5 AS BIGINT) AS \"end\", round(l_discount + l_linenumber / 1000.0, 4) AS score FROM lineitem"
@@ -294,7 +273,13 @@ def token_offsets(spark, d):
     return T.tokens(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("start").alias("starts"), F.sum("end").alias("ends"))
 
 
-@query("reply_parse", """SELECT c_custkey AS doc_id, CAST(instr(c_name, '0') - 1 AS BIGINT) AS span_start, CAST(instr(c_name, '0') AS BIGINT) AS span_end, 'PERSON' AS type, CAST(0.7 AS DOUBLE) AS score FROM customer WHERE instr(c_name, '0') > 0""")
+# Replies of four kinds: two items (one absent from the text), a bare list, no JSON, an item without text.
+_REPLIES = """SELECT c_custkey AS doc_id, c_name AS text, CASE c_custkey % 4 WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '[{"text": "' || right(c_name, 3) || '", "type": "person"}, {"text": "absent", "type": "EMAIL"}]' || chr(10) || '```'
+    WHEN 1 THEN '[{"text": "' || left(c_name, 4) || '", "type": "Person"}, {"text": "' || right(c_name, 2) || '", "type": "ssn"}]' WHEN 2 THEN 'I found nothing.' ELSE '[{"text": "", "type": "DOB"}]' END AS reply FROM customer"""
+
+
+@query("reply_parse", f"""WITH r AS ({_REPLIES}), i AS (SELECT doc_id, text, right(text, 3) AS t, 'PERSON' AS type FROM r WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, text, left(text, 4), 'PERSON' FROM r WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, text, right(text, 2), 'SSN' FROM r WHERE doc_id % 4 = 1)
+    SELECT doc_id, CAST(instr(text, t) - 1 AS BIGINT) AS span_start, CAST(instr(text, t) - 1 + length(t) AS BIGINT) AS span_end, type, CAST(0.7 AS DOUBLE) AS score FROM i""")
 def reply_parse(spark, d):
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("text"), F.lit('Sure:\n```json\n[{"text": "0", "type": "person"}, {"text": "absent", "type": "EMAIL"}]\n```').alias("reply"))
+    rows = spark.sql(_REPLIES.replace("{", "{{").replace("}", "}}").replace("chr(10)", "char(10)").replace("FROM customer", "FROM {c}"), c=table(spark, d, "customer"))
     return _out(spans.parse_reply(rows))
