@@ -52,13 +52,30 @@ def kl(a: Column, b: float) -> Column:
     return first + second
 
 
+_LOG_FACTORIALS = [math.lgamma(i + 1) for i in range(32)]
+
+
+def log_factorial(x: Column) -> Column:
+    """ln x! of whole numbers: from a table while small, else Stirling's series (to 1e-12)."""
+    y = x.cast("double") + 1
+    series = (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
+    return F.when(x < len(_LOG_FACTORIALS), F.get(F.array(*map(F.lit, _LOG_FACTORIALS)), F.greatest(x, F.lit(0)).cast("int"))).otherwise(series)
+
+
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k), summed from log terms that follow from each other."""
-    step = lambda a, i: F.struct((a["t"] + F.ln((n - i + 1) / i) + math.log(p / (1 - p))).alias("t"), (a["s"] + F.exp(a["t"] + F.ln((n - i + 1) / i) + math.log(p / (1 - p)))).alias("s"))
-    t0 = n * math.log(1 - p)
-    zero = F.struct(t0.cast("double").alias("t"), F.exp(t0).cast("double").alias("s"))
-    terms = F.when(k >= 1, F.sequence(F.lit(1), F.least(k, n).cast("int"))).otherwise(F.expr("array()").cast("array<int>"))
-    return F.least(F.lit(1.0), F.aggregate(terms, zero, step, lambda a: a["s"]))
+    """P(X <= k). Terms are summed downwards from k, each from the one above, for as many as can matter: some standard
+    deviations, whatever n. Above the mean the other tail is taken from 1."""
+
+    def down(k: Column, p: float) -> Column:
+        most = F.ceil(12 * F.sqrt(n * p * (1 - p))) + 64
+        top = F.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) + k * math.log(p) + (n - k) * math.log(1 - p))
+        ratio = math.log((1 - p) / p)
+        zero = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+        step = lambda a, i: F.struct((a["t"] * F.exp(F.ln(i / (n - i + 1).cast("double")) + ratio)).alias("t"), (a["s"] + a["t"] * F.exp(F.ln(i / (n - i + 1).cast("double")) + ratio)).alias("s"))
+        falling = F.when(k >= 1, F.sequence(k.cast("long"), F.greatest(k - most + 1, F.lit(1)).cast("long"), F.lit(-1).cast("long"))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.when(k < 0, 0.0).otherwise(F.least(F.lit(1.0), top * F.aggregate(falling, zero, step, lambda a: a["s"])))
+
+    return F.when(k >= n, 1.0).when(k <= n * p, down(k, p)).otherwise(F.greatest(F.lit(0.0), 1 - down(n - k - 1, 1 - p)))
 
 
 def hoeffding_bentkus(mean: Column, n: Column, alpha: float) -> Column:
@@ -70,7 +87,7 @@ def hoeffding_bentkus(mean: Column, n: Column, alpha: float) -> Column:
 def upper_mean(mean: Column, var: Column, n: Column, delta: float, sign: int = 1) -> Column:
     """The tighter of Hoeffding's and the empirical Bernstein bound, clamped to [0, 1]; ``sign`` -1: lower."""
     hoeffding = F.sqrt(math.log(1 / delta) / (2 * n))
-    bernstein = F.sqrt(2 * var * math.log(2 / delta) / n) + 7 * math.log(2 / delta) / (3 * F.greatest(n - 1, F.lit(1)))
+    bernstein = F.sqrt(2 * var * math.log(1 / delta) / n) + 7 * math.log(1 / delta) / (3 * F.greatest(n - 1, F.lit(1)))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean + sign * F.least(hoeffding, bernstein)))
 
 

@@ -27,7 +27,7 @@ class Bettor:
 
     def see(self, x: float, pos: int | None = None) -> None:
         gap = self.mu - self.alpha
-        stake = max(0.0, min(self.most, gap / (self.var + gap * gap + 1e-4)))
+        stake = max(0.0, min(self.most, gap / max(self.var, 1e-4)))
         self.wealth = max(self.wealth * (1 + stake * (x - self.alpha)), FLOOR)
         self.n += 1
         if self.n == 1:
@@ -60,7 +60,7 @@ class Mixture:
         self.t += 1
         w, mu, var, n = self.wealth[:k], self.mu[:k], self.var[:k], self.n[:k]
         gap = mu - self.alpha
-        stake = np.clip(gap / (var + gap * gap + 1e-4), 0.0, 0.5 / self.alpha)
+        stake = np.clip(gap / np.maximum(var, 1e-4), 0.0, 0.5 / self.alpha)
         np.maximum(w * (1 + stake * (x - self.alpha)), FLOOR, out=w)
         n += 1
         first = n == 1

@@ -6,6 +6,7 @@ path that masks it first; risks follow by counting and cumulative sums."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,23 +143,29 @@ def learn_then_test(risks: DataFrame, alpha: float, gamma: float, delta: float,
 
 
 class LowBettor:
-    """A bettor against "the mean is over alpha". The stake comes from the mean and variance of what came before (prior: alpha and 1/4)."""
+    """A bettor against "the mean is over alpha", once or side by side for many steps (arrays). It stakes nothing at
+    first, then by the mean and variance of what came before (they begin at 1/2 and 1/4)."""
 
-    def __init__(self, alpha: float, fraction: float = 0.5):
-        self.alpha, self.most = alpha, min(fraction / alpha, fraction / (1 - alpha))
-        self.wealth, self.peak, self.mu, self.var, self.n = 1.0, 1.0, alpha, 0.25, 0
+    def __init__(self, alpha: float, fraction: float = 0.5, steps: int | None = None):
+        self.alpha, self.most, self.n = alpha, fraction / (1 - alpha), 0
+        self.wealth, self.peak, self.mu, self.var = (np.full(steps or 1, x) for x in (1.0, 1.0, 0.5, 0.25))
 
-    def see(self, x: float) -> None:
+    def see(self, x) -> None:
+        x = np.clip(x, 0.0, 1.0)
         gap = self.alpha - self.mu
-        stake = min(self.most, max(0.0, gap / (self.var + gap * gap + 1e-4)))
-        self.wealth = max(self.wealth * (1 + stake * (self.alpha - x)), 0.0)
+        stake = np.clip(gap / np.maximum(self.var, 1e-4), 0.0, self.most) if self.n else 0.0
+        self.wealth = np.maximum(self.wealth * (1 + stake * (self.alpha - x)), 0.0)
         self.n += 1
-        mu = self.mu + (x - self.mu) / self.n
-        self.var = 0.0 if self.n == 1 else self.var + ((x - self.mu) * (x - mu) - self.var) / self.n
-        self.mu, self.peak = mu, max(self.peak, self.wealth)
+        d = x - self.mu
+        self.mu = self.mu + d / self.n
+        self.var = self.var + (d * (x - self.mu) - self.var) / self.n
+        self.peak = np.maximum(self.peak, self.wealth)
+
+    def ps(self) -> np.ndarray:
+        return np.where(self.wealth > 0, np.minimum(1.0, 1 / self.peak), 1.0)
 
     def p(self) -> float:
-        return min(1.0, 1 / self.peak)
+        return float(self.ps()[0])
 
 
 def betting_pvalue(values: DataFrame, alpha: float, key: str = "series", fraction: float = 0.5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import shape_statistics
+from ..session import materialised
 
 
 def featurise(docs: DataFrame, dims: int = 512, n: int = 4) -> DataFrame:
@@ -134,34 +136,86 @@ def certified_radius(losses: np.ndarray, weights: np.ndarray, alpha: float, most
     return low
 
 
-def finite_sample_worst_case(losses: np.ndarray, weights: np.ndarray, rho: float, delta: float = 0.05, bound: float = 1.0, grid: int = 64) -> float:
-    """An upper bound on the population's worst case that holds with probability 1 - delta: the smaller of a mean-variance and a hinge branch."""
-    n = weights.sum()
+def confidence(x: np.ndarray, weights: np.ndarray, delta: float, most: float | np.ndarray = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper (1 - delta) bounds on the mean of values in [0, most], on a histogram: the tighter of Hoeffding's
+    and the empirical Bernstein bound. ``x`` may have several rows of values over the same weights."""
+    n, log = weights.sum(), math.log(1 / delta)
+    mean = (x * weights).sum(axis=-1) / n
+    var = (weights * (x - np.expand_dims(mean, -1)) ** 2).sum(axis=-1) / max(1, n - 1)
+    slack = np.minimum(most * math.sqrt(log / (2 * n)), np.sqrt(2 * var * log / n) + 7 * most * log / (3 * (n - 1)) if n > 1 else most)
+    return np.maximum(0.0, mean - slack), np.minimum(most, mean + slack)
 
-    def upper(x, d, most=1.0):
-        x = x / most
-        m = np.average(x, weights=weights)
-        v = max(0.0, np.average((x - m) ** 2, weights=weights)) * n / max(1, n - 1)
-        slack = min(math.sqrt(math.log(1 / d) / (2 * n)), math.sqrt(2 * v * math.log(2 / d) / n) + 7 * math.log(2 / d) / (3 * max(1, n - 1)))
-        return most * min(1.0, m + slack)
 
+def finite_sample_worst_case(losses: np.ndarray, weights: np.ndarray, rho: float, delta: float = 0.05, bound: float = 1.0, grid: int = 64) -> float:
+    """An upper bound on the population's worst case that holds with probability 1 - delta: the smaller of a mean-variance
+    branch and a hinge branch, whose grid holds the stationary point too."""
     if rho <= 0:
-        return min(bound, upper(losses, delta, bound))
-    mean = upper(losses, delta / 3, bound)
-    second = upper(losses**2, delta / 3, bound**2)
-    low = 2 * np.average(losses, weights=weights) - mean
-    first = mean + math.sqrt(2 * rho * max(0.0, second - max(0.0, low) ** 2))
-    etas = np.linspace(-bound, bound, grid)
-    hinge = [e + math.sqrt(1 + 2 * rho) * math.sqrt(upper(np.maximum(losses - e, 0) ** 2, delta / 3 / grid, (bound - e) ** 2 or 1.0)) for e in etas if e < bound]
-    return float(min(bound, max(0.0, min(first, *hinge))))
+        return float(confidence(losses, weights, delta, bound)[1])
+    low, mean = confidence(losses, weights, delta / 3, bound)
+    second = confidence(losses**2, weights, delta / 3, bound**2)[1]
+    first = mean + math.sqrt(2 * rho * max(0.0, second - low**2))
+    m = np.average(losses, weights=weights)
+    var = np.average((losses - m) ** 2, weights=weights)
+    etas = np.linspace(-bound, losses.max(), grid)
+    star = m - math.sqrt(var / (2 * rho)) if var > 0 else losses.min()
+    if -bound <= star <= losses.max():
+        etas = np.unique(np.append(etas, star))
+    upper = confidence(np.maximum(losses[None] - etas[:, None], 0.0) ** 2, weights, delta / 3 / len(etas), (bound - np.minimum(etas, 0.0)) ** 2)[1]
+    return float(min(bound, max(0.0, min(first, (math.sqrt(1 + 2 * rho) * np.sqrt(upper) + etas).min()))))
+
+
+def finite_radius(losses: np.ndarray, weights: np.ndarray, alpha: float, delta: float = 0.05) -> float:
+    """The certified radius of a sample's losses, on their histogram."""
+    if not len(losses):
+        return 0.0
+    return certified_radius(losses, weights, alpha, tolerance=1e-3, value=lambda x, w, rho: finite_sample_worst_case(x, w, rho, delta))
+
+
+@dataclass
+class DensityRatio:
+    """What the domain classifier says of a shift: ``weights`` (doc_id, w) of the source's documents, the measured radius and
+    its interval (infinite where the two are separable), and how well they can be told apart."""
+
+    weights: DataFrame
+    rho_hat: float
+    low: float
+    high: float
+    auc: float
+    overlap: float
+    clip_at: float
+    clipped: float
+    separable: bool
+
+
+def fit_density_ratio(source: DataFrame, target: DataFrame, clip: float = 0.99, folds: int = 2, most_auc: float = 0.99, least_overlap: float = 0.02, reps: int = 200, **options) -> DensityRatio:
+    """Cross-fitted odds of the source's documents (doc_id, text), clipped and scaled to mean 1."""
+    p = cross_fit(source, target, folds, **options).withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("p"))))
+    p = materialised(p, "probabilities")
+    scores = p.select(F.col("p").alias("score"), "is_target")
+    auc, over = auc_by_rank(scores).first().auc, overlap(scores).first().overlap
+    odds = p.where("is_target = 0").select("doc_id", (F.col("p") / (1 - F.col("p"))).alias("o"))
+    limit = odds.agg(F.expr(f"percentile(o, {clip})").alias("c")).first().c
+    stats = odds.agg(F.avg(F.least("o", F.lit(limit))).alias("m"), F.avg((F.col("o") > limit).cast("double")).alias("clipped")).first()
+    weights = odds.select("doc_id", (F.least("o", F.lit(limit)) / stats.m if stats.m > 0 else F.lit(1.0)).alias("w"))
+    separable = bool(auc >= most_auc or over <= least_overlap)
+    if separable:
+        rho = low = high = math.inf
+    else:
+        rho = weights.agg(chi2_divergence(F.col("w")).alias("r")).first().r
+        ends = bootstrap_rho(weights.withColumnRenamed("doc_id", "pos"), reps).first()
+        low, high = ends.lo, ends.hi
+    return DensityRatio(weights, rho, low, high, auc, over, limit, stats.clipped, separable)
+
+
+def _poisson(unit: Column, rep: Column, salt: str) -> Column:
+    """How often a unit is drawn in a repetition, from a digest: the same in any engine."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", unit.cast("string"), rep.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    return F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.99634, 4).otherwise(5)
 
 
 def bootstrap_rho(weights: DataFrame, reps: int = 200, level: float = 0.95) -> DataFrame:
-    """(lo, hi): percentile interval of the chi-square divergence under Poisson bootstrap weights drawn by hash, one pass for all repetitions."""
-    r = F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")
-    u = (F.pmod(F.xxhash64("pos", "rep"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    k = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.99634, 4).otherwise(5)
-    drawn = weights.select("pos", "w", r).select("rep", "w", k.alias("k"))
+    """(lo, hi): percentile interval of the chi-square divergence under Poisson bootstrap counts drawn by digest, one pass for all repetitions; sums combine before the shuffle."""
+    drawn = weights.select("pos", "w", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).select("rep", "w", _poisson(F.col("pos"), F.col("rep"), "rho").alias("k"))
     sums = drawn.groupBy("rep").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("w")).alias("s"), F.sum(F.col("k") * F.col("w") * F.col("w")).alias("q"))
     rho = sums.select((0.5 * (F.col("q") / F.col("n") / F.pow(F.col("s") / F.col("n"), 2) - 1)).alias("rho"))
     return rho.agg(F.expr(f"percentile(rho, {(1 - level) / 2})").alias("lo"), F.expr(f"percentile(rho, {(1 + level) / 2})").alias("hi"))

@@ -74,7 +74,7 @@ def tv_inflation(spark, d):
 _UCB = "greatest(0.0, least(1.0, m {s} least(sqrt({l} / (2 * n)), sqrt(2 * v * {b} / n) + 7 * {b} / (3 * (n - 1)))))"
 
 
-@query("ucb_mean", "SELECT k, round({u}, 9) AS upper, round({d}, 9) AS lower FROM (SELECT l_linenumber AS k, count(*) AS n, avg(l_discount) AS m, var_samp(l_discount) AS v FROM lineitem GROUP BY 1)".format(u=_UCB.format(s="+", l=math.log(20), b=math.log(40)), d=_UCB.format(s="-", l=math.log(20), b=math.log(40))))
+@query("ucb_mean", "SELECT k, round({u}, 9) AS upper, round({d}, 9) AS lower FROM (SELECT l_linenumber AS k, count(*) AS n, avg(l_discount) AS m, var_samp(l_discount) AS v FROM lineitem GROUP BY 1)".format(u=_UCB.format(s="+", l=math.log(20), b=math.log(20)), d=_UCB.format(s="-", l=math.log(20), b=math.log(20))))
 def ucb_mean(spark, d):
     x = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(F.count("*").alias("n"), F.avg("l_discount").alias("m"), F.var_samp("l_discount").alias("v"))
     a = (F.col("m"), F.col("v"), F.col("n"), 0.05)
@@ -103,28 +103,34 @@ def dro_finite_sample(spark, d):
 @query("certified_radius")
 def certified_radius(spark, d):
     x, n = _histogram(spark, d)
-    rows = [(a, shift.certified_radius(x, n, a), shift.certified_radius(x, n, a, tolerance=1e-3, value=shift.finite_sample_worst_case)) for a in (0.06, 0.08, 0.1)]
+    rows = [(a, shift.certified_radius(x, n, a), shift.finite_radius(x, n, a)) for a in (0.06, 0.08, 0.1)]
     return spark.createDataFrame(rows, "alpha double, rho double, rho_finite double")
 
 
-@query("bootstrap_ci")
+_U = "(CAST('0x' || substring(md5(pos || '|' || rep || '|rho'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0"
+
+
+@query("bootstrap_ci", f"{_RATIO}, k AS (SELECT rep, w, CASE WHEN u < 0.367879 THEN 0 WHEN u < 0.735759 THEN 1 WHEN u < 0.919699 THEN 2 WHEN u < 0.981012 THEN 3 WHEN u < 0.99634 THEN 4 ELSE 5 END AS k FROM (SELECT rep, w, {_U} AS u FROM w CROSS JOIN (SELECT unnest(range(1, 201)) AS rep))), r AS (SELECT rep, 0.5 * (sum(k * w * w) / sum(k) / pow(sum(k * w) / sum(k), 2) - 1) AS rho FROM k GROUP BY rep) SELECT round(quantile_cont(rho, 0.025), 8) AS lo, round(quantile_cont(rho, 0.975), 8) AS hi FROM r")
 def bootstrap_ci(spark, d):
-    return shift.bootstrap_rho(_ratio(spark, d), 100)
+    return shift.bootstrap_rho(_ratio(spark, d)).select(F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
 
 
 @query("shift_audit")
 def shift_audit(spark, d):
+    """English documents against each other language, all of them."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    p = shift.cross_fit(docs.where("lang = 'en'").drop("lang"), docs.where("lang = 'de'").drop("lang"), epochs=60)
-    s = p.select(F.col("p").alias("score"), "is_target")
-    return shift.auc_by_rank(s).crossJoin(shift.overlap(s)).withColumn("separable", (F.col("auc") > 0.99) | (F.col("overlap") < 0.01))
+    rows = []
+    for lang in sorted(r.lang for r in docs.where("lang <> 'en'").select("lang").distinct().limit(64).collect()):
+        r = shift.fit_density_ratio(docs.where("lang = 'en'").drop("lang"), docs.where(F.col("lang") == lang).drop("lang"))
+        rows.append((lang, r.auc, r.overlap, r.separable, r.rho_hat))
+    return spark.createDataFrame(rows, "lang string, auc double, overlap double, separable boolean, rho_hat double")
 
 
 @query("discriminator_fit")
 def discriminator_fit(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", (F.col("lang") == "en").cast("int").alias("target"))
     f = shift.featurise(docs.select("doc_id", "text")).join(docs.select("doc_id", "target"), "doc_id")
-    beta = shift.fit_discriminator(f, epochs=40)
+    beta = shift.fit_discriminator(f)
     return spark.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "feature int, beta double")
 
 
@@ -139,7 +145,7 @@ def _stream(spark, d):
 _FOLD = f"""WITH RECURSIVE s AS (SELECT series, pos, CAST(x AS DOUBLE) AS x, row_number() OVER (PARTITION BY series ORDER BY pos) AS t FROM ({_STREAM})),
     f AS (SELECT series, CAST(0 AS BIGINT) AS t, CAST(1.0 AS DOUBLE) AS w, CAST(1.0 AS DOUBLE) AS peak, CAST(0.15 AS DOUBLE) AS mu, CAST(0.25 AS DOUBLE) AS v, CAST(NULL AS BIGINT) AS alarm FROM (SELECT DISTINCT series FROM s)
       UNION ALL SELECT series, t + 1, nw, greatest(peak, nw), nmu, CASE WHEN t = 0 THEN 0.0 ELSE v + ((x - mu) * (x - nmu) - v) / (t + 1) END, coalesce(alarm, CASE WHEN nw >= 20 THEN pos END) FROM (
-        SELECT f.*, s.x, s.pos, greatest(1e-300, f.w * (1 + greatest(0.0, least(0.5 / 0.15, (f.mu - 0.15) / (f.v + (f.mu - 0.15) * (f.mu - 0.15) + 1e-4))) * (s.x - 0.15))) AS nw, CASE WHEN f.t = 0 THEN s.x ELSE f.mu + (s.x - f.mu) / (f.t + 1) END AS nmu FROM f JOIN s ON s.series = f.series AND s.t = f.t + 1))"""
+        SELECT f.*, s.x, s.pos, greatest(1e-300, f.w * (1 + greatest(0.0, least(0.5 / 0.15, (f.mu - 0.15) / greatest(f.v, 1e-4))) * (s.x - 0.15))) AS nw, CASE WHEN f.t = 0 THEN s.x ELSE f.mu + (s.x - f.mu) / (f.t + 1) END AS nmu FROM f JOIN s ON s.series = f.series AND s.t = f.t + 1))"""
 
 
 @query("eprocess_final", f"{_FOLD} SELECT series, round(ln(arg_max(w, t)), 6) AS log_wealth, round(ln(arg_max(peak, t)), 6) AS log_peak, CAST(max(t) AS INT) AS n, max(alarm) AS alarm FROM f GROUP BY series")

@@ -154,9 +154,9 @@ def ltt_bonferroni(spark, d):
 
 
 @query("betting_pvalue", """WITH RECURSIVE s AS (SELECT user_id % 8 AS series, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS t, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS x FROM events),
-    f AS (SELECT series, CAST(0 AS BIGINT) AS t, CAST(1.0 AS DOUBLE) AS w, CAST(1.0 AS DOUBLE) AS peak, CAST(0.3 AS DOUBLE) AS mu, CAST(0.25 AS DOUBLE) AS v FROM (SELECT DISTINCT series FROM s)
+    f AS (SELECT series, CAST(0 AS BIGINT) AS t, CAST(1.0 AS DOUBLE) AS w, CAST(1.0 AS DOUBLE) AS peak, CAST(0.5 AS DOUBLE) AS mu, CAST(0.25 AS DOUBLE) AS v FROM (SELECT DISTINCT series FROM s)
       UNION ALL SELECT series, t + 1, nw, greatest(peak, nw), nmu, CASE WHEN t = 0 THEN 0.0 ELSE v + ((x - mu) * (x - nmu) - v) / (t + 1) END FROM (
-        SELECT f.*, s.x, greatest(0.0, f.w * (1 + least(0.5 / 0.3, greatest(0.0, (0.3 - f.mu) / (f.v + pow(0.3 - f.mu, 2) + 1e-4)), 0.5 / 0.7) * (0.3 - s.x))) AS nw, f.mu + (s.x - f.mu) / (f.t + 1) AS nmu FROM f JOIN s ON s.series = f.series AND s.t = f.t + 1))
+        SELECT f.*, s.x, greatest(0.0, f.w * (1 + CASE WHEN f.t = 0 THEN 0.0 ELSE least(0.5 / 0.7, greatest(0.0, (0.3 - f.mu) / greatest(f.v, 1e-4))) END * (0.3 - s.x))) AS nw, f.mu + (s.x - f.mu) / (f.t + 1) AS nmu FROM f JOIN s ON s.series = f.series AND s.t = f.t + 1))
     SELECT series, round(least(1.0, 1 / arg_max(peak, t)), 6) AS p FROM f GROUP BY series""")
 def betting_pvalue(spark, d):
     e = table(spark, d, "events").select((F.col("user_id") % 8).alias("series"), F.col("event_id").alias("pos"), (F.col("event_type") == "error").cast("double").alias("x"))

@@ -52,7 +52,7 @@ def bet(alpha: float, cap: float = 0.5):
         rows = pd.concat(list(parts)).sort_values("pos")
         for x in rows["x"]:
             gap = mu - alpha
-            stake = max(0.0, min(cap / alpha, gap / (var + gap * gap + 1e-4)))
+            stake = max(0.0, min(cap / alpha, gap / max(var, 1e-4)))
             w = max(1e-300, w * (1 + stake * (x - alpha)))
             peak, n = max(peak, w), n + 1
             new = x if n == 1 else mu + (x - mu) / n
