@@ -96,3 +96,8 @@ def normal_quantile(p: float) -> float:
     from statistics import NormalDist
 
     return NormalDist().inv_cdf(p)
+
+
+def verdict(empty: Column, rho_hat: Column, rho_star: Column) -> Column:
+    """What a certificate says: none, valid where it was calibrated (no shift measured), valid, or void beyond its radius."""
+    return F.when(empty, "no-certificate").when(rho_hat.isNull(), "valid-at-P").when(rho_hat <= rho_star, "valid").otherwise("void")

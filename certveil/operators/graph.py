@@ -66,8 +66,8 @@ def _minima(permutations: int, k: int):
 
 def signatures(docs: DataFrame, permutations: int = 128, k: int = 5) -> DataFrame:
     """(doc_id, sig): minima of (a*h + b) mod 2^31-1 over the shingle hashes of each text with words, one row to one row: nothing is exploded or shuffled."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _words().alias("w")).where(F.size("w") > 0)
-    return rows.mapInArrow(_minima(permutations, k), "doc_id long, sig array<long>")
+    rows = docs.select("doc_id", _words().alias("w")).where(F.size("w") > 0)
+    return rows.mapInArrow(_minima(permutations, k), f"doc_id {dict(rows.dtypes)['doc_id']}, sig array<long>")
 
 
 def lsh_pairs(signatures: DataFrame, bands: int = 4, rows: int = 4) -> DataFrame:
@@ -83,6 +83,12 @@ def lsh_pairs(signatures: DataFrame, bands: int = 4, rows: int = 4) -> DataFrame
     return near.select("a", "b", (same / F.size("sa")).alias("agreement"))
 
 
+def neighbours(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, other, agreement): both directions of the pairs that agree at least so far."""
+    near = pairs.where(F.col("agreement") >= threshold)
+    return near.select(F.col("a").alias("doc_id"), F.col("b").alias("other"), "agreement").unionByName(near.select(F.col("b").alias("doc_id"), F.col("a").alias("other"), "agreement"))
+
+
 def equal_signatures(signatures: DataFrame) -> DataFrame:
     """(a, b): each document after the first of an equal signature, which lsh_pairs collapses, with that first one."""
     firsts = signatures.groupBy("sig").agg(F.min("doc_id").alias("a"))
@@ -172,3 +178,8 @@ def propagate(spans: DataFrame, edges: DataFrame, beta1: float = 0.95, beta2: fl
     spread = diffusion_channel(spans, edges, beta2, steps)
     score = F.least(F.lit(1.0), F.greatest("identity", F.coalesce("diffusion", F.lit(0.0))))
     return lifted.join(spread, "node", "left").withColumn("score", score).drop("identity", "diffusion")
+
+
+def affinity_mass(edges: DataFrame) -> float:
+    """The largest sum of a row of the normalised edges: what bounds the gain of any node by its neighbours."""
+    return float(edges.groupBy("src").agg(F.sum("w").alias("m")).agg(F.coalesce(F.max("m"), F.lit(0.0)).alias("m")).first().m)

@@ -81,6 +81,28 @@ def e_detector(stream: DataFrame, alpha: float, every: int = 25, most: int = 64,
     return fold(rows, ["series"], ["pos"], ["x"], f"series {dict(rows.dtypes)['series']}, e_value double", lambda: Mixture(alpha, every, shares), Mixture.see, Mixture.value)
 
 
+class Watch(Mixture):
+    """A mixture that notes when its value first reached 1/delta."""
+
+    def __init__(self, alpha: float, every: int, shares: np.ndarray, delta: float):
+        super().__init__(alpha, every, shares)
+        self.goal, self.alarm, self.peak = 1 / delta, None, 0.0
+
+    def watch(self, x: float, pos: int) -> None:
+        self.see(x)
+        (value,) = self.value()
+        self.peak = max(self.peak, value)
+        if self.alarm is None and value >= self.goal:
+            self.alarm = pos
+
+
+def e_detector_alarm(stream: DataFrame, alpha: float, delta: float = 0.05, every: int = 25, most: int = 64, ratio: float = 0.85) -> DataFrame:
+    """(series, alarm, peak): where the mixture first reached 1/delta."""
+    shares = np.array([ratio**k for k in range(most)]) * (1 - ratio) / (1 - ratio**most)
+    rows = stream.select("series", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))
+    return fold(rows, ["series"], ["pos"], ["x", "pos"], f"series {dict(rows.dtypes)['series']}, alarm long, peak double", lambda: Watch(alpha, every, shares, delta), Watch.watch, lambda w: (w.alarm, w.peak))
+
+
 def e_bh(values: DataFrame, delta: float) -> DataFrame:
     """Adds ``rejected``: with k the largest rank whose e-value reaches m / (delta k), those of m / (delta k) or more. The types are few."""
     w = Window.orderBy(F.desc("e_value"))

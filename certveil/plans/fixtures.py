@@ -17,7 +17,7 @@ _FORM = """
 SELECT doc_id,
   'Applicant: ' || g || ' ' || s || chr(10) || 'SSN: ' || ssn || chr(10) || 'Card: ' || card || chr(10) || 'Email: ' || email || chr(10)
   || 'Date of birth: ' || dob || chr(10) || 'Account number: ' || acct || chr(10) || 'IBAN ' || iban || chr(10)
-  || 'Call ' || phone || ' about wire ' || acct || '. Dr. ' || h || ' ' || t || ' signed at ' || house || ' Maple Street, Spring Field, CA 90210.' AS text
+  || 'Call ' || phone || ' about wire ' || acct || '. Dr. ' || h || ' ' || t || ' signed at ' || house || ' Maple Street, Spring Field, CA 90210.' AS text, g, s, h, t, ssn, card, email, dob, acct, iban, phone, house
 FROM (
   SELECT c_custkey AS doc_id, {given1} AS g, {family1} AS s, {given2} AS h, {family2} AS t,
     lpad(CAST(c_custkey % 950 AS STRING), 3, '0') || '-' || lpad(CAST(c_custkey % 90 AS STRING), 2, '0') || '-' || lpad(CAST(c_custkey % 9999 AS STRING), 4, '0') AS ssn,
@@ -40,12 +40,36 @@ def _list(words: list[str]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-FORMS_SQL = _form(lambda words, at: f"([{_list(words)}])[1 + ({at}) % {len(words)}]", "customer").replace("\n", " ")
+# What each field of a form is: its type, what stands before it, its value.
+_FIELDS = (
+    ("PERSON", "'Applicant: '", "g || ' ' || s"), ("SSN", "'SSN: '", "ssn"), ("CREDIT_CARD", "'Card: '", "card"), ("EMAIL", "'Email: '", "email"), ("DOB", "'birth: '", "dob"), ("ACCOUNT_NUMBER", "'number: '", "acct"),
+    ("IBAN", "'IBAN '", "iban"), ("PHONE", "'Call '", "phone"), ("ACCOUNT_NUMBER", "'wire '", "acct"), ("PERSON", "'Dr. '", "h || ' ' || t"), ("ADDRESS", "'signed at '", "house || ' Maple Street, Spring Field, CA 90210'"),
+)
 
 
-def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gold(forms: str) -> str:
+    parts = [f"SELECT doc_id, {k} AS gid, '{kind}' AS type, instr(text, {before} || {value}) - 1 + length({before}) AS start, length({value}) AS n FROM f" for k, (kind, before, value) in enumerate(_FIELDS)]
+    return f"""WITH f AS ({forms}) SELECT doc_id, CAST(gid AS BIGINT) AS gid, type, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS "end" FROM ({' UNION ALL '.join(parts)}) AS u"""
+
+
+FORMS_ALL = _form(lambda words, at: f"([{_list(words)}])[1 + ({at}) % {len(words)}]", "customer").replace("\n", " ")
+FORMS_SQL = f"SELECT doc_id, text FROM ({FORMS_ALL}) AS f"
+FORM_GOLD_SQL = _gold(FORMS_ALL)
+
+
+def _spark_forms(sql, spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda words, at: f"array({_list(words)})[cast(({at}) % {len(words)} as int)]"
-    return spark.sql(_form(pick, "{customer}").replace("chr(10)", "char(10)"), customer=dealt(table(spark, sf_dir, "customer")))
+    text = sql(_form(pick, "{customer}").replace("chr(10)", "char(10)")).replace('"end"', "`end`")
+    return spark.sql(text, customer=dealt(table(spark, sf_dir, "customer")))
+
+
+def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spark_forms(lambda f: f"SELECT doc_id, text FROM ({f}) AS f", spark, sf_dir)
+
+
+def form_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, gid, type, start, end): where the personal data of the forms stand."""
+    return _spark_forms(_gold, spark, sf_dir)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

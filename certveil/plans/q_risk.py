@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import act, graph, metrics, risk
+from ..session import materialised
 from .fixtures import CANDIDATES_SQL, GOLD_SQL, TOKENS_SQL, candidates, gold, lines, table, tokens
 
 QUERIES, SQL = {}, {}
 IOU = """CASE WHEN least({a}."end", {b}."end") > greatest({a}.start, {b}.start) THEN (least({a}."end", {b}."end") - greatest({a}.start, {b}.start)) / CAST(greatest({a}."end", {b}."end") - least({a}.start, {b}.start) AS DOUBLE) ELSE 0 END"""
 BASE = f"WITH c AS ({CANDIDATES_SQL}), g AS ({GOLD_SQL}), t AS ({TOKENS_SQL})"
-PATH = 'path AS (SELECT row_number() OVER (ORDER BY score DESC, type) AS j, type, score FROM (SELECT DISTINCT type, score FROM c))'
+PATH = """path AS (SELECT row_number() OVER (ORDER BY score DESC, type) AS j, type, score FROM (SELECT DISTINCT type, score FROM c) ORDER BY score DESC, type LIMIT 2046),
+    steps AS (SELECT j, j / CAST(n AS DOUBLE) AS t, type, score, j = n AS complete FROM (SELECT j, type, score FROM path UNION ALL SELECT 0, NULL, NULL UNION ALL SELECT (SELECT max(j) FROM path) + 1, NULL, NULL), (SELECT max(j) + 1 AS n FROM path))"""
 THR = "thr AS (SELECT type, min(score) AS threshold FROM path WHERE j <= 40 GROUP BY type)"
 MASKED = "m AS (SELECT c.* FROM c JOIN thr USING (type) WHERE score >= threshold)"
 HITS = f"hits AS (SELECT DISTINCT g.doc_id, g.gid FROM g JOIN m ON g.doc_id = m.doc_id AND g.type = m.type AND {IOU.format(a='g', b='m')} >= 0.5)"
@@ -34,14 +36,17 @@ def _all(spark, d):
     return candidates(spark, d), gold(spark, d), tokens(spark, d)
 
 
-@query("mask_path", f"{BASE}, {PATH} SELECT j, type, score, count(*) OVER () AS n_levels FROM path")
+@query("mask_path", f"{BASE}, {PATH} SELECT j, round(t, 9) AS t, type, score, complete FROM steps")
 def mask_path(spark, d):
-    return risk.mask_path(candidates(spark, d))
+    return risk.mask_path(candidates(spark, d)).select(F.col("j").cast("long").alias("j"), F.round("t", 9).alias("t"), "type", "score", "complete")
 
 
-@query("quantile_path", f"{BASE}, r AS (SELECT type, score, row_number() OVER (PARTITION BY type ORDER BY score DESC) - 1 AS rk, count(*) OVER (PARTITION BY type) AS n FROM (SELECT DISTINCT type, score FROM c)), q AS (SELECT j, j / 31.0 AS t FROM (SELECT unnest(range(0, 32)) AS j)) SELECT j, round(t, 9) AS t, type, score FROM r JOIN q ON rk = floor(t * (n - 1) + 1e-12)")
+@query("quantile_path", f"""{BASE}, r AS (SELECT type, score, row_number() OVER (PARTITION BY type ORDER BY score) - 1 AS rk, count(*) OVER (PARTITION BY type) AS n FROM c), q AS (SELECT unnest(range(1, 31)) AS i),
+    s AS (SELECT i, list(struct_pack(type := type, score := score) ORDER BY type) AS x FROM r JOIN q ON rk = floor((1 - i / 31.0::DOUBLE) * (n - 1) + 1e-12) GROUP BY i), k AS (SELECT *, row_number() OVER (ORDER BY i) AS j FROM (SELECT *, lag(x) OVER (ORDER BY i) AS before FROM s) WHERE before IS NULL OR before <> x),
+    p AS (SELECT j, unnest(x, recursive := true) FROM k), n AS (SELECT max(j) + 1 AS n FROM p)
+    SELECT j, round(j / CAST(n AS DOUBLE), 9) AS t, type, score, j = n AS complete FROM (SELECT * FROM p UNION ALL SELECT 0, NULL, NULL UNION ALL SELECT (SELECT n FROM n), NULL, NULL), n""")
 def quantile_path(spark, d):
-    return risk.quantile_path(candidates(spark, d), 32).select(F.col("j").cast("long").alias("j"), F.round("t", 9).alias("t"), "type", "score")
+    return risk.quantile_path(candidates(spark, d), 32).select(F.col("j").cast("long").alias("j"), F.round("t", 9).alias("t"), "type", "score", "complete")
 
 
 @query("risk_leak", f"{BASE}, {PATH}, {THR}, {MASKED}, {HITS} SELECT g.doc_id, round(1 - count(h.gid) / CAST(count(*) AS DOUBLE), 9) AS leak FROM g LEFT JOIN hits h USING (doc_id, gid) GROUP BY g.doc_id")
@@ -73,13 +78,20 @@ def banded_spans(spark, d):
     gn AS (SELECT gj.*, count(*) OVER (PARTITION BY doc_id) AS n FROM gj), {PLAIN},
     tj AS (SELECT plain.doc_id, plain.k, min(a.j) AS j FROM plain LEFT JOIN a ON plain.doc_id = a.doc_id AND a.start < plain."end" AND plain.start < a."end" GROUP BY 1, 2), tn AS (SELECT tj.*, count(*) OVER (PARTITION BY doc_id) AS n FROM tj),
     cn AS (SELECT a.*, count(*) OVER (PARTITION BY doc_id) AS n FROM a)
-    SELECT path.j, round((SELECT sum(CASE WHEN gn.j IS NULL OR gn.j > path.j THEN 1.0 / n ELSE 0 END) / count(DISTINCT doc_id) FROM gn), 7) AS leak,
-      round((SELECT sum(CASE WHEN tn.j <= path.j THEN 1.0 / n ELSE 0 END) / count(DISTINCT doc_id) FROM tn), 7) AS over,
-      round((SELECT sum(CASE WHEN score >= 0.3 AND cn.j > path.j THEN 1.0 / n ELSE 0 END) / count(DISTINCT doc_id) FROM cn), 7) AS esc FROM path""")
+    SELECT j, round(t, 9) AS t, n, round(CASE WHEN complete THEN 0 ELSE (SELECT sum(CASE WHEN gn.j IS NULL OR gn.j > s.j THEN 1.0 / gn.n ELSE 0 END) FROM gn) / n END, 7) AS leak,
+      round((SELECT sum(CASE WHEN s.complete OR tn.j <= s.j THEN 1.0 / tn.n ELSE 0 END) FROM tn) / n, 7) AS over,
+      round(CASE WHEN complete THEN 1 ELSE (SELECT sum(CASE WHEN score >= 0.2 AND cn.j > s.j THEN 1.0 / cn.n ELSE 0 END) FROM cn) / n END, 7) AS esc FROM (SELECT DISTINCT j, t, complete FROM steps) s, (SELECT count(*) AS n FROM orders)""")
 def risk_matrix_mean(spark, d):
+    rows = _risks(spark, d)[1]
+    return rows.select(F.col("j").cast("long").alias("j"), F.round("t", 9).alias("t"), "n", *[F.round(x, 7).alias(x) for x in ("leak", "over", "esc")])
+
+
+def _risks(spark, d):
+    """Losses of each order's document and their means over the steps of the path."""
     c, g, t = _all(spark, d)
-    rows = risk.mean_risks(c, g, t, floor=0.3)
-    return rows.select("j", *[F.round(x, 7).alias(x) for x in ("leak", "over", "esc")])
+    path = materialised(risk.mask_path(c), "path")
+    losses = materialised(risk.document_losses(c, g, t, table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")), path), "losses")
+    return losses, risk.mean_risks(losses, path)
 
 
 _LOSS = "SELECT l_linenumber AS j, avg(l_discount / l_linenumber) AS mean_risk, count(*) AS n FROM lineitem GROUP BY 1"
@@ -110,9 +122,7 @@ def weighted_crc(spark, d):
 
 @query("weighted_crc_weights", f"WITH w AS ({_W}) SELECT pos, round(w / (sum(w) OVER () + max(w) OVER ()), 12) AS weight FROM w")
 def weighted_crc_weights(spark, d):
-    w, _ = _weights(spark, d)
-    total = w.agg((F.sum("w") + F.max("w")).alias("t"))
-    return w.crossJoin(F.broadcast(total)).select("pos", F.round(F.col("w") / F.col("t"), 12).alias("weight"))
+    return risk.weighted_crc_weights(_weights(spark, d)[0]).withColumn("weight", F.round("weight", 12))
 
 
 def _kl(a: str, b: float) -> str:
@@ -125,32 +135,34 @@ def _hb(mean: str, n: str, alpha: float) -> str:
     return f"(CASE WHEN {mean} >= {alpha} THEN 1.0 ELSE least(1.0, exp(-{n} * {_kl(f'least({mean}, {alpha})', alpha)}), {math.e!r} * least(1.0, {cdf})) END)"
 
 
-_STEPS = "SELECT j, CAST(400 AS BIGINT) AS n, greatest(0.0, 0.12 - 0.003 * j) AS leak, 0.003 * j AS over FROM (SELECT unnest(range(0, 41)) AS j)"
-
-
-def _steps(spark):
-    j = F.col("id").cast("int")
-    return spark.range(41).select(j.alias("j"), F.lit(400).cast("long").alias("n"), F.greatest(F.lit(0.0), 0.12 - 0.003 * j).alias("leak"), (0.003 * j).alias("over"))
-
-
 @query("hb_pvalue", f"SELECT nationkey AS k, round({_hb('m', 'n', 0.06)}, 6) AS p FROM (SELECT c_nationkey AS nationkey, count(*) AS n, avg(CASE WHEN c_acctbal < -500 THEN 1.0 ELSE 0.0 END) AS m FROM customer GROUP BY 1)")
 def hb_pvalue(spark, d):
     rows = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"), F.avg((F.col("c_acctbal") < -500).cast("double")).alias("m"))
     return rows.select("k", F.round(stats.hoeffding_bentkus(F.col("m"), F.col("n"), 0.06), 6).alias("p"))
 
 
+# The steps of the path over all orders; the risks as risk_matrix_mean has them.
+_MATRIX = SQL["risk_matrix_mean"]
+
+
 def _ltt_sql(rule: str) -> str:
-    return f"WITH s AS ({_STEPS}), p AS (SELECT j, {_hb('leak', 'n', 0.1)} AS pl, {_hb('over', 'n', 0.1)} AS po FROM s) SELECT CAST(j AS INT) AS j, round(pl, 6) AS p_leak, round(po, 6) AS p_over, {rule} AS certified FROM p"
+    return f"WITH s AS ({_MATRIX}), p AS (SELECT j, {_hb('leak', 'n', 0.75)} AS pl, {_hb('over', 'n', 0.3)} AS po FROM s) SELECT j, round(pl, 6) AS p_leak, round(po, 6) AS p_over, {rule} AS certified FROM p"
+
+
+def _tested(spark, d, method):
+    risks = _risks(spark, d)[1].withColumns({c: F.round(c, 7) for c in ("leak", "over")})
+    tests = risk.learn_then_test(risks, 0.75, 0.3, 0.05, method)
+    return tests.select(F.col("j").cast("long").alias("j"), F.round("p_leak", 6).alias("p_leak"), F.round("p_over", 6).alias("p_over"), "certified")
 
 
 @query("ltt_fixed_sequence", _ltt_sql("(bool_and(pl <= 0.025) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AND bool_and(po <= 0.025) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"))
 def ltt_fixed_sequence(spark, d):
-    return risk.learn_then_test(_steps(spark), 0.1, 0.1, 0.05).select("j", F.round("p_leak", 6).alias("p_leak"), F.round("p_over", 6).alias("p_over"), "certified")
+    return _tested(spark, d, "fixed-sequence")
 
 
-@query("ltt_bonferroni", _ltt_sql("(pl <= 0.05 / 2 / 41 AND po <= 0.05 / 2 / 41)"))
+@query("ltt_bonferroni", _ltt_sql("(pl <= 0.05 / 2 / count(*) OVER () AND po <= 0.05 / 2 / count(*) OVER ())"))
 def ltt_bonferroni(spark, d):
-    return risk.learn_then_test(_steps(spark), 0.1, 0.1, 0.05, "bonferroni").select("j", F.round("p_leak", 6).alias("p_leak"), F.round("p_over", 6).alias("p_over"), "certified")
+    return _tested(spark, d, "bonferroni")
 
 
 @query("betting_pvalue", """WITH RECURSIVE s AS (SELECT user_id % 8 AS series, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS t, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END AS x FROM events),
