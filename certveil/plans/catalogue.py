@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 
-MODULES = ("q_text", "q_risk", "q_monitor")
+MODULES = ("q_text", "q_risk", "q_monitor", "q_pipeline")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

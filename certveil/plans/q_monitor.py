@@ -305,14 +305,6 @@ def stream_alarm_windows(spark, d):
     return streams.run_alarm_windows(spark, f"{d}/events.parquet")
 
 
-@query("certified_run")
-def certified_run(spark, d):
-    from .pipeline import Config, run
-
-    docs = forms(spark, d)
-    return run(docs, docs, Config(alpha=0.4, gamma=0.4)).summary
-
-
 # The key of an entity: checksummed values with their class, names as sorted words, others folded.
 _FOLDED = "regexp_replace(lower(match), '[\\s\\-_./()]', '', 'g')"
 _NAME = f"list_sort(list_filter(regexp_extract_all(lower(match), '[a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({Q.words(ROLE_WORDS)}, t)))"

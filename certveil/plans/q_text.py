@@ -240,6 +240,14 @@ def minhash_pairs(spark, d):
     return graph.lsh_pairs(sig, 32).select("a", "b", F.col("agreement").cast("double").alias("agreement"))
 
 
+@query("neighbours", f"""WITH s AS MATERIALIZED ({_MINHASH}), g AS (SELECT sig, min(doc_id) AS doc_id FROM s GROUP BY sig), k AS (SELECT doc_id, band, sig, sig[4*band+1:4*band+4] AS key FROM (SELECT doc_id, unnest(range(0, 32)) AS band, sig FROM g)),
+    p AS (SELECT DISTINCT x.doc_id AS doc_id, y.doc_id AS other, x.sig AS sa, y.sig AS sb FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.doc_id <> y.doc_id),
+    q AS (SELECT doc_id, other, list_sum(list_transform(range(1, 129), lambda i: CASE WHEN sa[i] = sb[i] THEN 1 ELSE 0 END)) / 128.0 AS agreement FROM p) SELECT * FROM q WHERE agreement >= 0.6""")
+def neighbours(spark, d):
+    sig = graph.signatures(table(spark, d, "documents").select("doc_id", "text"), 128)
+    return graph.neighbours(graph.lsh_pairs(sig, 32), 0.6).withColumn("agreement", F.col("agreement").cast("double"))
+
+
 @query("duplicate_of", f"""WITH s AS MATERIALIZED ({_MINHASH}), h AS MATERIALIZED ({_SHINGLES}), n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY 1), g AS (SELECT sig, min(doc_id) AS doc_id FROM s GROUP BY sig),
     k AS (SELECT doc_id, band, sig[4*band+1:4*band+4] AS key FROM (SELECT doc_id, unnest(range(0, 32)) AS band, sig FROM g)),
     p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id UNION SELECT g.doc_id, s.doc_id FROM s JOIN g USING (sig) WHERE s.doc_id <> g.doc_id),
