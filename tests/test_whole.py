@@ -52,7 +52,10 @@ def test_weights_and_losses_of_every_order(spark):
     assert r.j_star == want and abs(float(r.risk) - risks[want]) < 1e-6
 
 
-def test_certified_run_masks_every_form(spark):
-    forms = spark.read.parquet(f"{SMALL}/customer.parquet").count()
+def test_certified_run_masks_every_deployed_form(spark):
+    from certveil.operators import labels
+    from certveil.plans.fixtures import forms
+
+    part = labels.split(forms(spark, SMALL).withColumn("is_dup", F.lit(False)))
     got = {r.type: r.n_docs for r in catalogue.queries()["certified_run"](spark, SMALL).collect()}
-    assert got["EMAIL"] == forms
+    assert got["EMAIL"] == part.where("part = 'test'").count() > 50
