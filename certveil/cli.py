@@ -68,7 +68,8 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "redact" and a.file:
         with open(a.file, encoding="utf-8") as f:
             docs = spark.createDataFrame([(0, f.read())], "doc_id long, text string")
-        values = act.union_spans(spans.ensemble(docs, config.engines, config.types)).join(docs, "doc_id").select("doc_id", "start", "end", "type", F.expr("substring(text, start + 1, `end` - start)").alias("value"))
+        found = spans.ensemble(docs, config.engines, config.types).where(F.col("score") >= config.effective_floor)
+        values = act.union_spans(found).join(docs, "doc_id").select("doc_id", "start", "end", "type", F.expr("substring(text, start + 1, `end` - start)").alias("value"))
         edits = act.with_surrogates(values, config.key) if config.key else values.withColumn("replacement", F.concat(F.lit("["), "type", F.lit("]")))
         print(act.rewrite(docs, edits).first().text)
         return 0
