@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, normalise_value
-from ..session import materialised
+from ..session import materialised, split_join
 
 PRIME = 2_147_483_647
 
@@ -19,8 +19,8 @@ PRIME = 2_147_483_647
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, content_hash, first_id, is_dup): the smallest id of equal canonical texts is the original."""
     keyed = materialised(docs.select("doc_id", content_hash(F.col("text")).alias("content_hash")), "hashes")  # texts are read once
-    firsts = keyed.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"))
-    return keyed.join(firsts, "content_hash").select("doc_id", "content_hash", "first_id", (F.col("doc_id") != F.col("first_id")).alias("is_dup"))
+    firsts = keyed.groupBy("content_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+    return split_join(keyed, firsts, ["content_hash"], "copies", keyed.count()).select("doc_id", "content_hash", "first_id", (F.col("doc_id") != F.col("first_id")).alias("is_dup"))
 
 
 def coefficients(n: int) -> list[tuple[int, int]]:
@@ -130,10 +130,10 @@ def graph_stats(spans: DataFrame) -> DataFrame:
 def identity_channel(spans: DataFrame, beta1: float = 0.95) -> DataFrame:
     """Adds ``identity``: a component of two or more lifts its members to beta1 times its best score.
 
-    Maxima are aggregated before the shuffle and joined back, so a huge component is no window."""
+    Maxima are aggregated before the shuffle and joined back; huge components are broadcast, so none gathers in a task."""
     best = spans.groupBy("type", "value").agg(F.max("score").alias("best"), F.count("*").alias("size"))
     lifted = F.when(F.col("size") > 1, F.greatest("score", beta1 * F.col("best"))).otherwise(F.col("score"))
-    return spans.join(best, ["type", "value"]).withColumn("identity", lifted).drop("best", "size")
+    return split_join(spans, best, ["type", "value"], "size", spans.count()).withColumn("identity", lifted).drop("best", "size")
 
 
 def affinity(edges: DataFrame, cap: int = 32) -> DataFrame:

@@ -37,22 +37,25 @@ def detect_with(docs: DataFrame, name: str, labels: dict[str, str], threshold: f
     return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
 
 
-def ask(docs: DataFrame, client: Callable[[str], str], most: int = 1000) -> DataFrame:
-    """(doc_id, text, reply): replies of a language model for at most ``most`` calls per task; a failed call is an empty reply."""
+def ask(docs: DataFrame, client: Callable[[str], str], most: int | None = None) -> DataFrame:
+    """(doc_id, text, reply, status): a language model's replies. ``status`` is ok, failed (the reply is then empty) or, past
+    ``most`` calls of a task where such a budget is set, unasked: what was not looked at is never taken for empty."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = most
         for part in parts:
-            replies = []
+            replies, states = [], []
             for text in part["text"]:
-                reply = "[]"
-                if left > 0:
-                    left -= 1
+                reply, state = "[]", "unasked"
+                if left is None or left > 0:
+                    left = None if left is None else left - 1
                     try:
-                        reply = client(text or "")
-                    except Exception:  # a model that fails finds nothing
-                        reply = "[]"
+                        reply, state = client(text or ""), "ok"
+                    except Exception:  # a model may fail on any text
+                        state = "failed"
                 replies.append(reply)
-            yield part.assign(reply=replies)
+                states.append(state)
+            yield part.assign(reply=replies, status=states)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, text string, reply string")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInPandas(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string, reply string, status string")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +66,16 @@ def cross_fit(source: DataFrame, target: DataFrame, folds: int = 2, **options) -
 def auc_by_rank(scores: DataFrame) -> DataFrame:
     """Rank-sum area under the curve from (score, is_target); equal scores rank the source first.
 
-    Ranks come from counts per distinct score, so no window holds all rows in one task unsummed."""
+    Counts per distinct score are dealt into ranges; ranks are sums within a range, after the totals of the ranges before."""
     per = scores.groupBy("score").agg(F.sum("is_target").alias("t"), F.sum(1 - F.col("is_target")).alias("s"))
-    below = F.coalesce(F.sum(F.col("t") + F.col("s")).over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = per.select("t", "s", (F.col("t") * (below + F.col("s")) + F.col("t") * (F.col("t") + 1) / 2).alias("r"))
+    n = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialised(per.repartitionByRange(n, "score").withColumn("part", F.spark_partition_id()), "ranges")
+    up_to = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    before = ranged.groupBy("part").agg(F.sum(F.col("t") + F.col("s")).alias("n")).select("part", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("shift"))
+    within = Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.join(F.broadcast(before), "part")
+    below = F.col("shift") + F.coalesce(F.sum(F.col("t") + F.col("s")).over(within), F.lit(0))
+    ranks = rows.select("t", "s", (F.col("t") * (below + F.col("s")) + F.col("t") * (F.col("t") + 1) / 2).alias("r"))
     total = ranks.agg(F.sum("r").alias("r"), F.sum("t").alias("t"), F.sum("s").alias("s"))
     return total.select(((F.col("r") - F.col("t") * (F.col("t") + 1) / 2) / (F.col("t") * F.col("s"))).alias("auc"))
 
@@ -99,12 +107,26 @@ def loss_histogram(losses: DataFrame) -> DataFrame:
 
 
 def dro_worst_case(histogram: DataFrame, rho: float, grid: int = 512) -> DataFrame:
-    """min over eta of eta + sqrt(1 + 2 rho) * sqrt(E[(loss - eta)_+^2]), eta on a grid from min - 1 to max."""
-    ends = histogram.agg(F.min("loss").alias("lo"), F.max("loss").alias("hi"))
-    eta = histogram.sparkSession.range(grid).crossJoin(F.broadcast(ends)).select((F.col("lo") - 1 + F.col("id") / (grid - 1) * (F.col("hi") - F.col("lo") + 1)).alias("eta"))
-    rows = histogram.crossJoin(F.broadcast(eta))
-    hinge = F.greatest(F.col("loss") - F.col("eta"), F.lit(0.0))
-    each = rows.groupBy("eta").agg((F.col("eta") + math.sqrt(1 + 2 * rho) * F.sqrt(F.sum(F.col("n") * hinge * hinge) / F.sum("n"))).alias("v"))
+    """min over eta of eta + sqrt(1 + 2 rho) * sqrt(E[(loss - eta)_+^2]), eta on a grid from min - 1 to max.
+
+    Each task sums its part of the histogram for all etas at once, so ``grid`` rows a task are shuffled, whatever the losses."""
+    ends = histogram.agg(F.min("loss").cast("double").alias("lo"), F.max("loss").cast("double").alias("hi")).first()
+    schema = "eta double, q double, n double"
+    if ends.lo is None:
+        return histogram.sparkSession.createDataFrame([(None,)], "worst double")
+    etas = np.array([ends.lo - 1 + i / (grid - 1) * (ends.hi - ends.lo + 1) for i in range(grid)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, total = np.zeros(grid), 0.0
+        for batch in batches:
+            x, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for at in range(0, len(x), 4096):
+                q += (n[at : at + 4096] * np.maximum(x[at : at + 4096] - etas[:, None], 0.0) ** 2).sum(axis=1)
+            total += n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(etas), pa.array(q), pa.array(np.full(grid, total))], names=["eta", "q", "n"])
+
+    parts = histogram.select(F.col("loss").cast("double").alias("loss"), F.col("n").cast("double").alias("n")).mapInArrow(run, schema)
+    each = parts.groupBy("eta").agg((F.col("eta") + math.sqrt(1 + 2 * rho) * F.sqrt(F.sum("q") / F.sum("n"))).alias("v"))
     return each.agg(F.min("v").alias("worst"))
 
 

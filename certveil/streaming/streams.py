@@ -5,7 +5,6 @@ result can be compared with the batch operator; the plans themselves work on any
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import content_hash
+from ..session import shared_dir
 
 STATE = "wealth double, peak double, mu double, var double, n long"
 
 
 def _folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="certveil-stream-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _source(spark: SparkSession, path: str) -> DataFrame:
@@ -78,9 +77,13 @@ def run_e_process(spark: SparkSession, path: str, alpha: float) -> DataFrame:
     return out.groupBy("series").agg(F.max_by("peak", "n").alias("peak"), F.max("n").alias("n"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The first document of each canonical content, by its hash."""
-    return docs.select("doc_id", content_hash(F.col("text")).alias("content_hash")).dropDuplicates(["content_hash"])
+def deduplicated(docs: DataFrame, time: str | None = None, late: str = "1 day") -> DataFrame:
+    """The first document of each canonical content, by its hash. With an event time hashes are kept for ``late`` only, so
+    that the state stays bounded on an endless stream; without one they are kept for ever, as for a drained source."""
+    hashed = docs.withColumn("content_hash", content_hash(F.col("text")))
+    if time is None:
+        return hashed.select("doc_id", "content_hash").dropDuplicates(["content_hash"])
+    return hashed.withWatermark(time, late).dropDuplicatesWithinWatermark(["content_hash"]).select("doc_id", time, "content_hash")
 
 
 def run_dedup(spark: SparkSession, path: str) -> DataFrame:
