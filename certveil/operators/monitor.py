@@ -145,11 +145,12 @@ def cusum_alarm(stream: DataFrame, alpha: float, threshold: float, drift: float
 
 
 def fixed_window_alarm(stream: DataFrame, alpha: float, width: int, z: float) -> DataFrame:
-    """(series, alarm): first position whose mean over the last ``width`` exceeds alpha by z standard errors."""
+    """(series, alarm, peak): first position whose mean over the last ``width`` exceeds alpha by z standard errors, and the most by which any does."""
     order = Window.partitionBy("series").orderBy("pos")
     rows = stream.select("series", "pos", F.row_number().over(order).alias("t"), F.avg("x").over(order.rowsBetween(1 - width, 0)).alias("m"))
-    limit = alpha + z * math.sqrt(alpha * (1 - alpha) / width)
-    return rows.groupBy("series").agg(F.min(F.when((F.col("t") >= width) & (F.col("m") > limit), F.col("pos"))).alias("alarm"))
+    error = math.sqrt(alpha * (1 - alpha) / width)
+    full = F.col("t") >= width
+    return rows.groupBy("series").agg(F.min(F.when(full & (F.col("m") > alpha + z * error), F.col("pos"))).alias("alarm"), F.max(F.when(full, (F.col("m") - alpha) / error)).alias("peak"))
 
 
 def calibrate_threshold(peaks: DataFrame, target: float) -> DataFrame:

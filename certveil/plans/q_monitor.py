@@ -65,10 +65,11 @@ def chi2_div(spark, d):
     return _ratio(spark, d).agg(F.round(shift.chi2_divergence(F.col("w")), 9).alias("rho"))
 
 
-@query("tv_inflation", f"{_RATIO} SELECT round(2.0 * least(1.0, avg(abs(w - 1)) / 2), 9) AS inflation FROM w")
+@query("tv_inflation", f"{_RATIO} SELECT round(2.0 * least(1.0, avg(abs(w - 1)) / 2), 9) AS by_error, round(2.0 * least(1.0, sqrt(avg(pow(w - 1, 2)) / 2 / 2)), 9) AS by_chi2, round(2.0 * least(1.0, avg(abs(w - 1)) / 2), 9) AS by_tv FROM w")
 def tv_inflation(spark, d):
-    rows = _ratio(spark, d).agg(F.avg(F.abs(F.col("w") - 1)).alias("e"))
-    return rows.select(F.round(stats.tv_inflation(2.0, mean_abs_error=F.col("e")), 9).alias("inflation"))
+    rows = _ratio(spark, d).agg(F.avg(F.abs(F.col("w") - 1)).alias("e"), shift.chi2_divergence(F.col("w")).alias("c"))
+    ways = {"by_error": {"mean_abs_error": F.col("e")}, "by_chi2": {"chi2": F.col("c")}, "by_tv": {"tv": F.col("e") / 2}}
+    return rows.select(*[F.round(stats.tv_inflation(2.0, **way), 9).alias(name) for name, way in ways.items()])
 
 
 _UCB = "greatest(0.0, least(1.0, m {s} least(sqrt({l} / (2 * n)), sqrt(2 * v * {b} / n) + 7 * {b} / (3 * (n - 1)))))"
@@ -200,9 +201,9 @@ def cusum_alarm(spark, d):
 _LIMIT = 0.15 + 2.01 * math.sqrt(0.15 * 0.85 / 50)
 
 
-@query("fixed_window_alarm", f"SELECT series, min(pos) FILTER (WHERE t >= 50 AND m > {_LIMIT!r}) AS alarm FROM (SELECT series, pos, row_number() OVER (PARTITION BY series ORDER BY pos) AS t, avg(x) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS m FROM ({_STREAM})) GROUP BY series")
+@query("fixed_window_alarm", f"SELECT series, min(pos) FILTER (WHERE t >= 50 AND m > {_LIMIT!r}) AS alarm, round((max(m) FILTER (WHERE t >= 50) - 0.15) / {math.sqrt(0.15 * 0.85 / 50)!r}, 6) AS peak FROM (SELECT series, pos, row_number() OVER (PARTITION BY series ORDER BY pos) AS t, avg(x) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS m FROM ({_STREAM})) GROUP BY series")
 def fixed_window_alarm(spark, d):
-    return monitor.fixed_window_alarm(_stream(spark, d), 0.15, 50, 2.01)
+    return monitor.fixed_window_alarm(_stream(spark, d), 0.15, 50, 2.01).withColumn("peak", F.round("peak", 6))
 
 
 @query("threshold_calibration", f"SELECT round(quantile_cont(peak, 0.9), 6) AS threshold FROM (SELECT series, CAST(max(stat) AS DOUBLE) AS peak FROM ({_CUSUM}) GROUP BY series)")

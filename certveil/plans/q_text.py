@@ -167,9 +167,9 @@ def luhn_check_digit(spark, d):
     return _numbers(spark, d).select("k", C.luhn_check_digit(F.col("number")).cast("long").alias("digit"))
 
 
-@query("checksum_iban", f"""SELECT k, {_iban_sql('iban')} AS valid, 'GB' || lpad(CAST(98 - {_MOD97.format(s="(substring(iban, 5) || 'GB00')")} AS STRING), 2, '0') || substring(iban, 5) AS built FROM ({_NUMBERS})""")
+@query("checksum_iban", f"""SELECT k, {_iban_sql('iban')} AS valid, CASE WHEN {_iban_sql('iban')} THEN 'iso7064-ok' ELSE 'iso7064-bad' END AS class, 'GB' || lpad(CAST(98 - {_MOD97.format(s="(substring(iban, 5) || 'GB00')")} AS STRING), 2, '0') || substring(iban, 5) AS built FROM ({_NUMBERS})""")
 def checksum_iban(spark, d):
-    return _numbers(spark, d).select("k", C.iban_valid(F.col("iban")).alias("valid"), C.make_iban(F.lit("GB"), F.substring("iban", 5, 64)).alias("built"))
+    return _numbers(spark, d).select("k", C.iban_valid(F.col("iban")).alias("valid"), C.checksum_class(F.col("iban"), F.lit("IBAN")).alias("class"), C.make_iban(F.lit("GB"), F.substring("iban", 5, 64)).alias("built"))
 
 
 @query("ssn_rules", f"SELECT k, {_ssn_sql('ssn')} AS plausible FROM ({_NUMBERS})")

@@ -52,12 +52,14 @@ STOP_WORDS = tuple(
 ROLE_WORDS = tuple(
     "mr mrs ms dr prof borrower applicant client customer beneficiary guarantor holder contact cosigner co signer signer payee payer remitter patient physician account compliance officer manager representative".split()
 )
+# Names of form fields and their types.
 FIELDS = {
     "first name": "PERSON", "last name": "PERSON", "middle name": "PERSON", "full name": "PERSON", "name": "PERSON", "customer": "PERSON", "borrower": "PERSON", "client": "PERSON",
     "holder": "PERSON", "email": "EMAIL", "e-mail": "EMAIL", "phone": "PHONE", "phone number": "PHONE", "address": "ADDRESS", "street address": "ADDRESS", "date of birth": "DOB",
     "dob": "DOB", "ssn": "SSN", "social security": "SSN", "social security number": "SSN", "iban": "IBAN", "account number": "ACCOUNT_NUMBER", "account no": "ACCOUNT_NUMBER",
     "account no.": "ACCOUNT_NUMBER", "bank routing number": "ACCOUNT_NUMBER", "card": "CREDIT_CARD", "card number": "CREDIT_CARD", "credit/debit card": "CREDIT_CARD", "credit debit card": "CREDIT_CARD",
 }
+# Shapes of tokens, their types and scores.
 SHAPES = {
     "d-d-d": ("SSN", 0.72), "d/d/d": ("DOB", 0.66), "d-d-d-d": ("DOB", 0.52), "(d)d-d": ("PHONE", 0.70), "d-d": ("PHONE", 0.44), "+dd": ("PHONE", 0.58), "Ud": ("IBAN", 0.60),
     "d": ("ACCOUNT_NUMBER", 0.34), "Ul": ("PERSON", 0.36), "Ul.Ul": ("PERSON", 0.40), "l@l.l": ("EMAIL", 0.74), "l.l@l.l": ("EMAIL", 0.78),
@@ -81,6 +83,7 @@ FIELD_KEY = (
     r"first\s*name|last\s*name|middle\s*name|full\s*name|name|customer|borrower|client|holder|email|e-mail|phone(?:\s*number)?|address|street\s*address|date\s*of\s*birth|dob|ssn|"
     r"social\s*security(?:\s*number)?|iban|account\s*(?:number|no\.?)|card(?:\s*number)?|credit[/ ]?debit\s*card|bank\s*routing\s*number"
 )
+# Words that speak for a type near a match.
 CONTEXT = {
     "SSN": "ssn|social security", "PHONE": "phone|tel|call|fax|mobile|contact|cell", "DOB": r"\bdob\b|birth|born", "ACCOUNT_NUMBER": "account|acct|a/c|routing|wire|iban",
 }
