@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,22 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import dealt, shared_dir, split_join
+
+__all__ = ["shared_dir", "split_join"]
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27  # of the bitmap that says which texts are needed; MOST_BITS are some 64 MB to broadcast
-HOT, COLD = 50_000, 256  # keys that are broadcast because many rows have them, at most; rows of a key below which it isn't hot
 _paths: dict[str, list[str]] = {}  # by application: the tables written, until they are released
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, a temporary one serves on a single machine only."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="certveil-shared-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
@@ -55,7 +45,9 @@ def claim(name: str, release: Callable[[], None]) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts in fewer splits than there are cores (a small single file) are dealt out."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name in ("documents", "pages", "conversations") else rows
 
 
 def partitions(spark: SparkSession) -> int:
@@ -91,18 +83,6 @@ def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.Re
             start = i
 
 
-def split_join(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined to ``side``, one row for each of ``keys``, so that no key gathers in one task.
-
-    ``size`` names the column of ``side`` that says how many of the ``total`` rows have the key. Keys of more
-    than a HOTth of all rows (and of COLD rows) are HOT at most, so that they are broadcast; the others are shuffled."""
-    limit = max(COLD, total // HOT)
-    hot = F.broadcast(side.where(F.col(size) > limit))
-    many = rows.join(hot, keys)
-    few = rows.join(hot.select(keys), keys, "left_anti").join(side.where(F.col(size) <= limit), keys, how)
-    return many.unionByName(few.select(many.columns))
-
-
 def _marked(docs: DataFrame, ids: DataFrame, how: str) -> tuple[DataFrame, Column]:
     """The rows of ``docs`` (column row) with a bitmap of ``ids`` (column doc) beside them, and whether a row's bit is set. The bitmap's size follows the count of ids."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * ids.count()).bit_length()))

@@ -65,5 +65,26 @@ SELECT doc_id, item_id, n_windows, n_matched, coverage, n_slots, consistency, ki
 JOIN (SELECT DISTINCT id AS doc, doc_id FROM d) USING (doc) JOIN (SELECT DISTINCT id AS item, item_id FROM b) USING (item) WHERE rk = 1"""
 
 
+_NORM = "trim(regexp_replace(lower({c}), '\\s+', ' ', 'g'))"
+QUOTATION = rf"""WITH RECURSIVE k AS MATERIALIZED (SELECT row_number() OVER () AS rw, conv_id, turn, role, text FROM conversations),
+l AS (SELECT rw, conv_id, turn, pos, regexp_extract(line, '^[ \t]*(?:>[ \t]?)+') AS p, line FROM (SELECT rw, conv_id, turn, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM (SELECT *, string_split_regex(coalesce(text, ''), '\r\n|\r|\n') AS ls FROM k))),
+b AS MATERIALIZED (SELECT *, lag(level) OVER w AS before, lead(level) OVER w AS after FROM (SELECT rw, conv_id, turn, pos, length(regexp_replace(p, '[^>]', '', 'g')) AS level, substring(line, length(p) + 1) AS body FROM l) WINDOW w AS (PARTITION BY rw ORDER BY pos)),
+o AS MATERIALIZED (SELECT k.rw, k.conv_id, k.turn, k.role, CASE WHEN x.quoted THEN regexp_replace(coalesce(x.own, ''), '^\s+|\s+$', '', 'g') ELSE coalesce(k.text, '') END AS own FROM k JOIN (SELECT rw, bool_or(level > 0) AS quoted, string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT (regexp_matches(body, '(?i)^.{{0,200}}\b(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$') AND coalesce(after, 0) > 0)) AS own FROM b GROUP BY rw) x USING (rw)),
+q AS (SELECT * FROM (SELECT *, sum(CASE WHEN before IS NULL OR before <> level THEN 1 ELSE 0 END) OVER w AS run, sum(CASE WHEN trim(body, ' ' || chr(9)) = '' THEN 1 ELSE 0 END) OVER w AS para FROM b WINDOW w AS (PARTITION BY rw ORDER BY pos)) WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+u AS MATERIALIZED (SELECT *, length(unit) AS chars FROM (SELECT rw, conv_id, turn, run, level, grain, para, {_NORM.format(c="string_agg(body, ' ' ORDER BY pos)")} AS unit FROM (SELECT rw, conv_id, turn, run, level, 0 AS grain, -1 AS para, -1 AS line, pos, body FROM q UNION ALL SELECT rw, conv_id, turn, run, level, 1, para, -1, pos, body FROM q UNION ALL SELECT rw, conv_id, turn, run, level, 2, para, pos, pos, body FROM q) GROUP BY rw, conv_id, turn, run, level, grain, para, line) WHERE unit <> ''),
+s AS MATERIALIZED (SELECT conv_id, unit, min(turn) AS turn FROM (SELECT conv_id, turn, {_NORM.format(c="part")} AS unit FROM (SELECT conv_id, turn, unnest(list_concat([own], string_split_regex(own, '\n\s*\n'), string_split_regex(own, '\r\n|\r|\n'))) AS part FROM o WHERE conv_id IS NOT NULL AND turn IS NOT NULL)) WHERE unit IN (SELECT unit FROM u) GROUP BY 1, 2),
+f AS (SELECT unit, first(conv_id ORDER BY conv_id, turn) AS c, first(turn ORDER BY conv_id, turn) AS t FROM s GROUP BY unit),
+m AS (SELECT u.*, CASE WHEN s.turn < u.turn THEN u.conv_id WHEN (f.c < u.conv_id OR f.c = u.conv_id AND f.t < u.turn) AND chars >= 12 THEN f.c END AS oc, CASE WHEN s.turn < u.turn THEN s.turn WHEN (f.c < u.conv_id OR f.c = u.conv_id AND f.t < u.turn) AND chars >= 12 THEN f.t END AS ot FROM u LEFT JOIN s ON s.unit = u.unit AND s.conv_id = u.conv_id LEFT JOIN f ON f.unit = u.unit),
+g AS (SELECT *, coalesce(bool_or(grain = 0 AND oc IS NOT NULL) OVER (PARTITION BY rw, run), false) AS whole, coalesce(bool_or(grain = 1 AND oc IS NOT NULL) OVER (PARTITION BY rw, run, para), false) AS by_para FROM m),
+c AS MATERIALIZED (SELECT *, oc IS NOT NULL AND CASE WHEN whole THEN grain = 0 ELSE grain = 1 OR grain = 2 AND NOT by_para END AS linked FROM g),
+n AS (SELECT conv_id, turn, count(*) AS n_quotes, count(*) FILTER (WHERE ok) AS n_linked FROM (SELECT conv_id, turn, rw, run, bool_or(linked) AS ok FROM c GROUP BY ALL) GROUP BY 1, 2),
+a AS MATERIALIZED (SELECT conv_id, turn, oc AS parent_conv, ot AS parent_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY chars DESC, oc = conv_id DESC, oc DESC, ot DESC) AS rk FROM (SELECT conv_id, turn, oc, ot, sum(chars) AS chars FROM c WHERE linked AND level = 1 GROUP BY 1, 2, 3, 4)) WHERE rk = 1),
+r AS (SELECT conv_id, turn, parent_conv AS rc, parent_turn AS rt, CAST(1 AS BIGINT) AS depth FROM a UNION ALL SELECT r.conv_id, r.turn, a.parent_conv, a.parent_turn, depth + 1 FROM r JOIN a ON a.conv_id = rc AND a.turn = rt),
+z AS (SELECT conv_id, turn, arg_max(rc, depth) AS rc, arg_max(rt, depth) AS rt, max(depth) AS depth FROM r GROUP BY 1, 2),
+e AS (SELECT o.conv_id, o.turn, o.role, own AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, parent_conv, parent_turn, coalesce(rc, o.conv_id) AS thread_conv, coalesce(rt, min(o.turn) OVER (PARTITION BY o.conv_id)) AS thread_turn, coalesce(depth, 0) AS depth FROM (SELECT * FROM o WHERE conv_id IS NOT NULL AND turn IS NOT NULL) o LEFT JOIN n USING (conv_id, turn) LEFT JOIN a USING (conv_id, turn) LEFT JOIN z USING (conv_id, turn))
+SELECT *, row_number() OVER (PARTITION BY thread_conv, thread_turn ORDER BY conv_id, turn, role NULLS FIRST, text) - 1 AS position FROM e
+UNION ALL SELECT conv_id, turn, role, own, 0, 0, NULL, NULL, NULL, NULL, 0, NULL FROM o WHERE conv_id IS NULL OR turn IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": WARC, "op7_minhash_near_dedup": NEAR_DEDUP, "op9_decontamination": DECONTAMINATION}
+    return {"op2_warc": WARC, "op6_chat_quotation": QUOTATION, "op7_minhash_near_dedup": NEAR_DEDUP, "op9_decontamination": DECONTAMINATION}

@@ -602,7 +602,7 @@ def brute_links(rows):
 
 def test_quotation_against_brute_force(spark, monkeypatch):
     from certveil.llm import quotation as Q
-    from certveil.llm import shared
+    from certveil import session as shared
 
     rng = np.random.default_rng(12)
     pick = lambda n: " ".join(rng.choice(WORDS[:60], n))
@@ -622,6 +622,14 @@ def test_quotation_against_brute_force(spark, monkeypatch):
     fields = ["conv_id", "turn", "role", "text", "n_quotes", "n_linked", "parent_conv", "parent_turn", "thread_conv", "thread_turn", "depth", "position"]
     want = sorted(brute_links(rows), key=repr)
     assert sum(r[5] for r in want) > 20 and max(r[10] for r in want) > 2
+    import duckdb
+    import pyarrow as pa
+
+    from certveil.llm import sql
+
+    con = duckdb.connect()
+    con.register("conversations", pa.table({k: list(v) for k, v in zip(["conv_id", "turn", "role", "text"], zip(*rows, strict=True), strict=True)}))
+    assert sorted(con.execute(f"SELECT {', '.join(fields)} FROM ({sql.QUOTATION})").fetchall(), key=repr) == want
     for cold, few in ((shared.COLD, Q.FEW), (2, 0)):  # the second: hot keys and salts
         monkeypatch.setattr(shared, "COLD", cold)
         monkeypatch.setattr(Q, "FEW", few)
