@@ -95,10 +95,25 @@ def _histogram(spark, d):
     return np.array([r.loss for r in rows]), np.array([r.n for r in rows], float)
 
 
-@query("dro_finite_sample")
+def _upper(x: str, log: str, most: str) -> str:
+    """Mean and slack of ``x`` over the histogram (loss, n) of all lines, as a struct (m, s)."""
+    mean, var = f"(sum(n * {x}) / sum(n))", f"((sum(n * pow({x}, 2)) - sum(n) * pow(sum(n * {x}) / sum(n), 2)) / (sum(n) - 1))"
+    return f"{{'m': {mean}, 's': least({most} * sqrt({log} / (2 * sum(n))), sqrt(2 * greatest(0, {var}) * {log} / sum(n)) + 7 * {most} * {log} / (3 * (sum(n) - 1)))}}"
+
+
+_FINITE = f"""WITH h AS (SELECT l_discount AS loss, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1), p AS (SELECT unnest([0.0, 0.1, 0.5, 1.0]) AS rho),
+    b AS (SELECT sum(n * loss) / sum(n) AS m, sum(n * loss * loss) / sum(n) - pow(sum(n * loss) / sum(n), 2) AS v, max(loss) AS top, {_upper('loss', repr(math.log(20)), '1')} AS plain, {_upper('loss', repr(math.log(60)), '1')} AS one, {_upper('(loss * loss)', repr(math.log(60)), '1')} AS two FROM h),
+    e AS (SELECT rho, unnest(list_distinct(list_concat(list_transform(range(0, 64), lambda i: -1 + i * (top + 1) / 63.0::DOUBLE), CASE WHEN m - sqrt(v / (2 * rho)) BETWEEN -1 AND top THEN [m - sqrt(v / (2 * rho))] ELSE [] END))) AS eta FROM p, b WHERE rho > 0),
+    k AS (SELECT *, ln(60.0 * count(*) OVER (PARTITION BY rho)) AS lg, pow(1 - least(eta, 0), 2) AS most FROM e),
+    z AS (SELECT rho, eta, any_value(most) AS most, {_upper('pow(greatest(loss - eta, 0), 2)', 'any_value(lg)', 'any_value(most)')} AS u FROM k, h GROUP BY rho, eta),
+    g AS (SELECT rho, min(sqrt(1 + 2 * rho) * sqrt(least(most, u.m + u.s)) + eta) AS hinge FROM z GROUP BY rho)
+    SELECT rho, round(CASE WHEN rho = 0 THEN least(1, plain.m + plain.s) ELSE least(1, greatest(0, least(hinge, least(1, one.m + one.s) + sqrt(2 * rho * greatest(0, least(1, two.m + two.s) - pow(greatest(0, one.m - one.s), 2)))))) END, 7) AS bound FROM p JOIN b ON true LEFT JOIN g USING (rho)"""
+
+
+@query("dro_finite_sample", _FINITE)
 def dro_finite_sample(spark, d):
     x, n = _histogram(spark, d)
-    return spark.createDataFrame([(r, float(shift.finite_sample_worst_case(x, n, r))) for r in (0.0, 0.1, 0.5, 1.0)], "rho double, bound double")
+    return spark.createDataFrame([(r, round(float(shift.finite_sample_worst_case(x, n, r)), 7)) for r in (0.0, 0.1, 0.5, 1.0)], "rho double, bound double")
 
 
 @query("certified_radius")
