@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     first = components(written(links, "links"))
 
     rest = written(_crowded(hits, first, nodes, total), "rest")
-    dealt = rest.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    dealt = rest.repartitionByRange(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")  # blocks side by side, not by chance together
     alike = written(dealt.mapInArrow(_survivors, rest.schema), "alike")
     sent = alike.join(texts_of(texts, alike.select(F.col("node").alias("doc"))).withColumnRenamed("doc", "node"), "node").select(*rest.columns, "text")
     late = sent.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_within(percent), "a long, b long")
