@@ -97,7 +97,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "calibrate":
         print(json.dumps(certificate.to_dict(), ensure_ascii=False))
         return 0 if not certificate.empty else 1
-    report = pipeline.deploy(target, certificate, pool, mine(found, target))
+    report = pipeline.deploy(certificate, pool, mine(found, target))
     if a.out:
         report.texts.write.mode("overwrite").json(os.path.join(a.out, "texts"))
         act.write_ledger(report.ledger, os.path.join(a.out, "ledger"))

@@ -130,8 +130,8 @@ class Report:
     """What a deployment gave, and what its monitors say."""
 
     certificate: Certificate
-    texts: DataFrame  # doc_id, text, n_masked, stage
-    ledger: DataFrame
+    texts: DataFrame | None  # doc_id, text, n_masked, stage
+    ledger: DataFrame | None
     masked: DataFrame
     summary: DataFrame  # type, n_masked, n_docs
     n_docs: int
@@ -267,8 +267,9 @@ def _uncertified(p, cands, gold, path, risks, config, rho_hat, interval, n_cal,
     return Certificate(config, materialised(risk.thresholds_at(cands, best.step, path), "thresholds"), risks, best.step, t, False, 0.0, rho_hat, interval, n_cal, True, diagnostics | {"f1": best.f1})
 
 
-def deploy(docs: DataFrame, certificate: Certificate, p: Pool, gold: DataFrame | None = None, keep: Column | None = None) -> Report:
-    """Gate, escalate within the budget, mask, log and monitor the pool's deployment documents. ``keep``: what a reviewer confirms."""
+def deploy(certificate: Certificate, p: Pool, gold: DataFrame | None = None, keep: Column | None = None, emit: bool = True) -> Report:
+    """Gate, escalate within the budget, mask, log and monitor the pool's deployment documents. ``keep``: what a reviewer
+    confirms. Without ``emit`` no text is rewritten and no ledger kept, where only the figures are wanted."""
     config = certificate.config
     docs = _part(p.docs, "deployment")
     cands = _part(p.candidates, "deployment")
@@ -291,12 +292,11 @@ def deploy(docs: DataFrame, certificate: Certificate, p: Pool, gold: DataFrame |
         masked, fraction = risk.mask(cands, certificate.thresholds, resolved), escalated / max(n_cands, 1)
     masked = materialised(masked.select("doc_id", "start", "end", "type", "score"), "masked")
 
-    disjoint = act.union_spans(masked)
-    values = disjoint.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "start", "end", "type", F.expr("substring(text, start + 1, `end` - start)").alias("value"))
-    edits = act.with_surrogates(values, config.key) if config.key else values.withColumn("replacement", F.concat(F.lit("["), "type", F.lit("]")))
+    texts = ledger = out = None
     stage = "route-to-review" if certificate.empty else "mask"
-    texts = materialised(act.rewrite(docs, edits).join(docs.select("doc_id", "own"), "doc_id").withColumn("stage", F.lit(stage)), "texts")
-
+    if emit:
+        texts = materialised(_rewritten(docs, masked, config).withColumn("stage", F.lit(stage)), "texts")
+        out = texts.select(F.col("own").alias("doc_id"), "text", "n_masked", "stage")
     leak = over = pairs = miss = effective = alarms = None
     per_doc = docs.select("doc_id")
     if certificate.empty:
@@ -311,24 +311,32 @@ def deploy(docs: DataFrame, certificate: Certificate, p: Pool, gold: DataFrame |
     if gold is not None:
         miss = metrics.candidate_miss(gold, cands, config.iou)
         effective = metrics.candidate_miss(gold, cands, config.iou, config.effective_floor)
+    if emit:
+        ledger = act.ledger_chain(_entries(texts, cands, per_doc, certificate, escalated))
+    summary = masked.groupBy("type").agg(F.count("*").alias("n_masked"), F.countDistinct("doc_id").alias("n_docs"))
+    dark = monitor.dark_matter(cands, config.floor, config.delta)
+    return Report(certificate, out, ledger, masked, summary, n_docs, escalated, fraction, leak, over, pairs, miss, effective, dark, alarms)
+
+
+def _rewritten(docs: DataFrame, masked: DataFrame, config: Config) -> DataFrame:
+    """(doc_id, own, text, n_masked): the documents with their masked spans replaced, by surrogates where there is a key."""
+    values = act.union_spans(masked).join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "start", "end", "type", F.expr("substring(text, start + 1, `end` - start)").alias("value"))
+    edits = act.with_surrogates(values, config.key) if config.key else values.withColumn("replacement", F.concat(F.lit("["), "type", F.lit("]")))
+    return act.rewrite(docs, edits).join(docs.select("doc_id", "own"), "doc_id")
+
+
+def _entries(texts: DataFrame, cands: DataFrame, per_doc: DataFrame, certificate: Certificate, escalated: int) -> DataFrame:
+    """(ledger, seq, payload): a row for every deployed document, in one of 64 ledgers."""
+    config = certificate.config
     known = [c for c in ("leak", "over") if c in per_doc.columns]
-    rows = texts.join(cands.groupBy("doc_id").agg(F.count("*").alias("n_cands")), "doc_id", "left").join(per_doc, "doc_id", "left") if known else texts.join(cands.groupBy("doc_id").agg(F.count("*").alias("n_cands")), "doc_id", "left")
+    rows = texts.join(cands.groupBy("doc_id").agg(F.count("*").alias("n_cands")), "doc_id", "left").join(per_doc, "doc_id", "left")
     number = lambda x: F.lit("inf" if x is not None and math.isinf(x) else "" if x is None else repr(float(x)))
     fields = [
-        F.sha2(docs_text("text"), 256), F.col("stage"), F.coalesce("n_cands", F.lit(0)).cast("string"), F.col("n_masked").cast("string"), F.lit(str(escalated)),
+        F.sha2(F.coalesce("text", F.lit("")), 256), F.col("stage"), F.coalesce("n_cands", F.lit(0)).cast("string"), F.col("n_masked").cast("string"), F.lit(str(escalated)),
         *[F.coalesce(F.round(c, 9).cast("string"), F.lit("")) for c in known], F.lit(repr(certificate.t)), F.lit(repr(config.alpha)), number(certificate.rho_star), number(certificate.rho_hat), F.lit(certificate.verdict),
         T.key_fingerprint(config.key or b"none"),
     ]
-    entries = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("ledger"), F.xxhash64("doc_id", F.lit("place")).alias("seq"), F.concat_ws("|", *fields).alias("payload"))
-    ledger = act.ledger_chain(entries)
-    summary = masked.groupBy("type").agg(F.count("*").alias("n_masked"), F.countDistinct("doc_id").alias("n_docs"))
-    dark = monitor.dark_matter(cands, config.floor, config.delta)
-    out = texts.select(F.col("own").alias("doc_id"), "text", "n_masked", "stage")
-    return Report(certificate, out, ledger, masked, summary, n_docs, escalated, fraction, leak, over, pairs, miss, effective, dark, alarms)
-
-
-def docs_text(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("ledger"), F.xxhash64("doc_id", F.lit("place")).alias("seq"), F.concat_ws("|", *fields).alias("payload"))
 
 
 def _realised(docs: DataFrame, gold: DataFrame, masked: DataFrame, all_of_it: bool, least: float) -> DataFrame:
@@ -353,4 +361,4 @@ def _alarms(gold: DataFrame, masked: DataFrame, all_of_it: bool, config: Config)
 def run(calibration: DataFrame, deployment: DataFrame, config: Config, gold: DataFrame, deployed_gold: DataFrame | None = None, keep: Column | None = None) -> Report:
     """Calibrates on one part and deploys on the other; ``deployed_gold`` only serves to report what came of it."""
     certificate, p = calibrate(calibration, deployment, gold, config)
-    return deploy(deployment, certificate, p, deployed_gold, keep)
+    return deploy(certificate, p, deployed_gold, keep)

@@ -61,7 +61,7 @@ def deploy_report(spark, d):
     p = None
     for name, changes in (("certified", {}), ("refused", {"alpha": 1e-6, "gamma": 1e-6}), ("best-f1", {"select_by": "max_f1"})):
         c, p = P.calibrate(cal, dep, g, P.Config(**(SETUP | changes)), p)
-        r = P.deploy(dep, c, p, h)
+        r = P.deploy(c, p, h)
         rows.append((name, c.verdict, c.j, c.rho_star, c.rho_hat, r.n_docs, r.n_escalated, r.escalated_fraction, r.realised_leakage, r.realised_overmask, r.ledger.count(), c.uncertified))
     return spark.createDataFrame(rows, "setting string, verdict string, step int, rho_star double, rho_hat double, n_docs long, n_escalated long, escalated double, leakage double, overmask double, ledger_rows long, uncertified boolean")
 
@@ -161,7 +161,7 @@ def exp_main_table(spark, d):
         rows.append((name, None, m.precision, m.recall, m.f1, miss, None, None, None))
     for name, changes in (("strict", {"alpha": 0.01, "gamma": 0.1}), ("balanced", {"alpha": 0.1, "gamma": 0.1}), ("uncertified", {"select_by": "max_f1"})):
         c, p = P.calibrate(cal, dep, g, P.Config(**(SETUP | changes)), p)
-        r = P.deploy(dep, c, p, h)
+        r = P.deploy(c, p, h, emit=False)
         m = r.span_metrics.where("type = 'ALL'").first() if r.span_metrics is not None else None
         held = "none" if c.uncertified else "no-certificate" if c.empty else "held" if r.realised_leakage <= c.config.alpha else "void"
         rows.append((name, None if c.uncertified else c.config.alpha, *((m.precision, m.recall, m.f1) if m else (None, None, None)), r.realised_leakage, r.realised_overmask, r.escalated_fraction, held))
@@ -197,7 +197,7 @@ def exp_ablation(spark, d):
         config = P.Config(**(SETUP | changes))
         key = (config.engines, config.beta1, config.beta2)
         c, pools[key] = P.calibrate(cal, dep, g, config, pools.get(key))
-        r = P.deploy(dep, c, pools[key], h)
+        r = P.deploy(c, pools[key], h, emit=False)
         f1 = r.span_metrics.where("type = 'ALL'").first().f1 if r.span_metrics is not None else None
         rows.append((name, c.verdict, f1, r.realised_leakage, r.realised_overmask, c.rho_star, r.escalated_fraction, r.candidate_miss.where("type = 'ALL'").first().miss_rate, r.effective_miss.where("type = 'ALL'").first().miss_rate))
     return spark.createDataFrame(rows, "variant string, verdict string, f1 double, leakage double, overmask double, rho_star double, escalated double, candidate_miss double, effective_miss double")
@@ -240,7 +240,7 @@ def exp_escalation(spark, d):
     for budget in BUDGETS:
         c.config = P.Config(**(SETUP | {"select_by": "max_f1", "budget": budget}))
         for resolver, keep in (("review", None), ("gold", F.coalesce("right", F.lit(False)))):
-            r = P.deploy(dep, c, known, h, keep)
+            r = P.deploy(c, known, h, keep, emit=False)
             m = r.span_metrics.where("type = 'ALL'").first()
             rows.append((budget, resolver, m.precision, m.recall, m.f1, r.realised_leakage, r.realised_overmask, r.escalated_fraction, r.n_escalated))
     return spark.createDataFrame(rows, "budget double, resolver string, precision double, recall double, f1 double, leakage double, overmask double, escalated double, n_escalated long")

@@ -38,7 +38,7 @@ def certificate(halves, pool):
 
 @pytest.fixture(scope="module")
 def report(halves, pool, certificate):
-    return P.deploy(halves[1], certificate, pool, halves[3])
+    return P.deploy(certificate, pool, halves[3])
 
 
 def test_a_certificate_is_given_and_says_where_it_holds(certificate):
@@ -110,10 +110,10 @@ def test_tighter_levels_leak_no_more_and_infeasible_ones_go_to_review(halves, po
     for alpha in (0.5, 0.2):
         c, _ = P.calibrate(cal, dep, g, P.Config(alpha=alpha, gamma=0.5, epochs=60), pool)
         if not c.empty:
-            leaks.append(P.deploy(dep, c, pool, h).realised_leakage)
+            leaks.append(P.deploy(c, pool, h).realised_leakage)
     assert leaks == sorted(leaks, reverse=True)
     c, _ = P.calibrate(cal, dep, g, P.Config(alpha=1e-6, gamma=1e-6, epochs=60), pool)
-    r = P.deploy(dep, c, pool, h)
+    r = P.deploy(c, pool, h)
     assert c.empty and c.verdict == "no-certificate" and (r.escalated_fraction, r.realised_leakage, r.realised_overmask) == (1.0, 0.0, 1.0)
     assert r.ledger.count() == dep.count() and {x.stage for x in r.texts.collect()} == {"route-to-review"} and r.masked.count() == 0
 
@@ -121,7 +121,7 @@ def test_tighter_levels_leak_no_more_and_infeasible_ones_go_to_review(halves, po
 def test_the_best_f1_promises_no_radius(halves, pool):
     c, _ = P.calibrate(*halves[:3], P.Config(select_by="max_f1", epochs=60), pool)
     assert c.uncertified and c.rho_star == 0.0 and c.diagnostics["f1"] > 0.5
-    assert P.deploy(halves[1], c, pool, halves[3]).span_metrics.where("type = 'ALL'").first().f1 > 0.5
+    assert P.deploy(c, pool, halves[3]).span_metrics.where("type = 'ALL'").first().f1 > 0.5
 
 
 def test_no_guarantee_without_gold_and_no_odd_knobs(halves):
