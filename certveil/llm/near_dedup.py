@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     dealt = rest.repartitionByRange(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")  # blocks side by side, not by chance together
     alike = written(dealt.mapInArrow(_survivors, rest.schema), "alike")
     sent = alike.join(texts_of(texts, alike.select(F.col("node").alias("doc"))).withColumnRenamed("doc", "node"), "node").select(*rest.columns, "text")
-    late = sent.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_within(percent), "a long, b long")
+    late = sent.repartitionByRange(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_within(percent), "a long, b long")
     second = components(written(late, "links")).select(F.col("comp").alias("final"), F.col("node").alias("comp"))
 
     reached = sets.unionByName(empty).join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
