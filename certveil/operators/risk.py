@@ -269,7 +269,7 @@ class LowBettor:
         x = np.clip(x, 0.0, 1.0)
         gap = self.alpha - self.mu
         stake = np.clip(gap / np.maximum(self.var, 1e-4), 0.0, self.most) if self.n else 0.0
-        self.wealth = np.maximum(self.wealth * (1 + stake * (self.alpha - x)), 0.0)
+        self.wealth = np.clip(self.wealth * (1 + stake * (self.alpha - x)), 0.0, 1e300)
         self.n += 1
         d = x - self.mu
         self.mu = self.mu + d / self.n

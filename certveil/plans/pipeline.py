@@ -153,6 +153,7 @@ class Pool:
     docs: DataFrame  # doc_id (key), text, role, own (the document's own id)
     candidates: DataFrame
     stats: dict
+    ratio: shift.DensityRatio | None = None  # of the two parts, once it was measured
 
 
 def _keyed(rows: DataFrame, role: str) -> DataFrame:
@@ -216,7 +217,7 @@ def calibrate(calibration: DataFrame, deployment: DataFrame | None, gold: DataFr
     rho_hat = interval = weights = None
     diagnostics = dict(p.stats)
     if deployment is not None:
-        ratio = shift.fit_density_ratio(docs.select("doc_id", "text"), _part(p.docs, "deployment").select("doc_id", "text"), epochs=config.epochs)
+        ratio = p.ratio = p.ratio or shift.fit_density_ratio(docs.select("doc_id", "text"), _part(p.docs, "deployment").select("doc_id", "text"), epochs=config.epochs)
         rho_hat, interval = ratio.rho_hat, (ratio.low, ratio.high)
         diagnostics |= {"auc": ratio.auc, "overlap": ratio.overlap, "clip_at": ratio.clip_at, "clipped": ratio.clipped, "separable": ratio.separable}
         if config.weighted and not ratio.separable:

@@ -192,11 +192,15 @@ VARIANTS = {
 def exp_ablation(spark, d):
     """The system without each of its parts: what is certified and what comes of it."""
     cal, dep, g, h = _halves(spark, d)
-    rows, pools = [], {}
+    rows, pools, ratio = [], {}, None
     for name, changes in VARIANTS.items():
         config = P.Config(**(SETUP | changes))
         key = (config.engines, config.beta1, config.beta2)
-        c, pools[key] = P.calibrate(cal, dep, g, config, pools.get(key))
+        if key not in pools:
+            pools[key] = P.pool(cal, dep, config)
+            pools[key].ratio = ratio  # the texts are the same in all pools
+        c, _ = P.calibrate(cal, dep, g, config, pools[key])
+        ratio = pools[key].ratio
         r = P.deploy(c, pools[key], h, emit=False)
         f1 = r.span_metrics.where("type = 'ALL'").first().f1 if r.span_metrics is not None else None
         rows.append((name, c.verdict, f1, r.realised_leakage, r.realised_overmask, c.rho_star, r.escalated_fraction, r.candidate_miss.where("type = 'ALL'").first().miss_rate, r.effective_miss.where("type = 'ALL'").first().miss_rate))
