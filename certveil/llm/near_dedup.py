@@ -12,8 +12,11 @@ How groups of any size stay bounded: equal sets collapse to one node first. With
 node is compared with the bucket's smallest one only. In buckets that then still hold more than one
 component, the nodes outside the bucket's largest component are compared with all its nodes of other
 components: pairs are judged once, in the first bucket that they share. Their left sides go in blocks
-of at most some BLOCK nodes and BYTES of hashes, against which right sides stream; signatures go
-first, and only nodes with a candidate in a block send their texts. A candidate agrees in LEAST of its
+of at most some BYTES of signatures and hashes, against which right sides stream, BLOCK nodes or more to
+a task: so many more that copies of left sides are COPIES rows for each node of the bucket at most. The
+rows of a bucket hence grow with its nodes, until those outside its largest component take more than
+BYTES; the comparisons within a task grow with the pairs. Signatures go first, and only nodes with a
+candidate in a block send their texts, each joined once. A candidate agrees in LEAST of its
 128 signature values; a pair at a similarity of 0.75 has fewer with a probability under 1e-8
 (Chernoff's bound), less than what banding loses. A block passes on links that join its components,
 fewer than it has nodes. Rows of hot buckets and of equal sets are joined by broadcast of the hot keys
@@ -38,10 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import groups, partitions, split_join, texts_of, written
+from .shared import groups, lean, partitions, split_join, texts_of, written
 
 SHINGLE, PERMUTATIONS, ROWS = 5, 64, 4
-BLOCK, BYTES = 512, 1 << 25  # nodes of a bucket and bytes of their shingle hashes on the left of one comparison
+BLOCK, COPIES = 512, 4  # nodes on the right of one comparison, at least; rows that copies of the left sides may take for each node of a bucket
+BYTES, HELD = 1 << 25, 400  # on the left of one comparison, of hashes and signatures; of one node's signature and bands
+PAIRS = 1 << 19  # compared at once
 STAR = 256  # pairs of one leader that are confirmed together
 LEAST = 0.5  # share of equal signature values below which a pair of a crowded bucket isn't confirmed
 
@@ -151,7 +156,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     rows = members.unionByName(leaders)
     rows = rows.join(texts_of(docs, rows), "doc").select("a", "salt", "role", "doc", "text")
     n = partitions(docs.sparkSession)
-    return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(_confirm(percent), "a long, b long")
+    return rows.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(lean("near_dedup", _confirm(percent)), "a long, b long")
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +172,9 @@ def _candidates(key: int, left, right, same: bool) -> np.ndarray:
     ok = comp[:, None] != comp2[None, :]
     if same:  # both sides are outside the largest component: each pair once
         ok &= node[:, None] < node2[None, :]
+    turned = len(node) > len(node2)
+    if turned:  # the shorter side is walked
+        ok, sig, band, sig2, band2 = ok.T, sig2, band2, sig, band
     out = []
     for i in np.flatnonzero(ok.any(axis=1)).tolist():
         others = np.flatnonzero(ok[i])
@@ -175,13 +183,21 @@ def _candidates(key: int, left, right, same: bool) -> np.ndarray:
             equal = band2[others] == band[i]
             others = others[band[i][equal.argmax(axis=1)] == key]
             out.append(np.stack((np.full(len(others), i), others), axis=1))
-    return np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+    return pairs[:, ::-1] if turned else pairs
 
 
 def _left(parts: list[pa.RecordBatch]):
     return [np.concatenate(x) for x in zip(*map(_matrix, parts), strict=True)]
 
 
+def _slices(batch: pa.RecordBatch, left) -> Iterator[pa.RecordBatch]:
+    """Parts of a right side that make at most PAIRS pairs with ``left``."""
+    step = max(1, min(1000, PAIRS // len(left[0])))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def _sides(run: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The batches of a group, cut where the side changes: 0 left, 1 right within the largest component, 2 right outside it."""
     for batch in run:
@@ -205,8 +221,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     break
                 left = _left(parts)
                 hit = np.zeros(len(left[0]), bool)
-            for at in range(0, batch.num_rows, 1000):
-                some = batch.slice(at, 1000)
+            for some in _slices(batch, left):
                 pairs = _candidates(key, left, _matrix(some), side == 2)
                 if len(pairs):
                     hit[pairs[:, 0]] = True
@@ -232,21 +247,21 @@ def _within(percent: int):
                 return c
 
             for side, batch in _sides(rows):
-                hashes = [shingle_hashes(t) for t in batch.column("text").to_pylist()]
                 if not side:
                     parts.append(batch.drop_columns(["text"]))
-                    sets += hashes
+                    sets += [shingle_hashes(t) for t in batch.column("text").to_pylist()]
                     continue
                 if left is None:
                     if not parts:
                         break
                     left = _left(parts)
-                right = _matrix(batch)
-                for i, o in _candidates(key, left, right, side == 2).tolist():
-                    a, b = root(int(left[1][i])), root(int(right[1][o]))
-                    if a != b and _linked(sets[i], hashes[o], percent):
-                        up[max(a, b)] = min(a, b)
-                        found.append((min(a, b), max(a, b)))
+                for some in _slices(batch, left):
+                    right, hashes = _matrix(some), [shingle_hashes(t) for t in some.column("text").to_pylist()]
+                    for i, o in _candidates(key, left, right, side == 2).tolist():
+                        a, b = root(int(left[1][i])), root(int(right[1][o]))
+                        if a != b and _linked(sets[i], hashes[o], percent):
+                            up[max(a, b)] = min(a, b)
+                            found.append((min(a, b), max(a, b)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
 
@@ -255,12 +270,13 @@ def _within(percent: int):
 
 def _crowded(hits: DataFrame, first: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     """Rows (key, i, j, side, node, comp, sig, bands) of the buckets that still hold several components."""
-    rest = hits.where("m > 2").join(first, "node", "left").join(nodes.select("node", "n_shingles"), "node")
-    rest = rest.select("key", "node", F.coalesce("comp", "node").alias("comp"), "n_shingles")
+    rest = hits.where("m > 2").join(first, "node", "left")
+    rest = written(rest.select("key", "node", F.coalesce("comp", "node").alias("comp"), "n_shingles"), "shared")
     parts = rest.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
     buckets = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.max_by("size", F.struct("n", "comp")).alias("top_size"), F.sum("n").alias("all"), F.sum("size").alias("size")).where("all > top.n")
-    outside, heavy = F.col("all") - F.col("top.n"), 8 * (F.col("size") - F.col("top_size"))
-    lefts, rights = F.greatest(F.ceil(outside / BLOCK), F.ceil(heavy / BYTES)).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    outside = F.col("all") - F.col("top.n")
+    lefts = F.ceil((HELD * outside + 8 * (F.col("size") - F.col("top_size"))) / BYTES).cast("int")
+    rights = F.ceil(F.least(F.col("all") / BLOCK, COPIES * F.col("all") / outside)).cast("int")
     buckets = written(buckets.select("key", F.col("top.comp").alias("major"), lefts.alias("lefts"), rights.alias("rights"), "all"), "crowded")
     rest = split_join(rest, buckets, ["key"], "all", total)
     # A node's place on its own side, and all the blocks of the other side that it meets.
@@ -278,7 +294,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is the document's own)."""
     n = partitions(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, set_hash binary, sig binary, bands array<long>"), "signed")
+    signed = written(texts.mapInArrow(lean("near_dedup", _sign), "doc_id long, n_shingles long, set_hash binary, sig binary, bands array<long>"), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     sets = written(some.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "sets")
     # Texts of one id: their sets are linked, and its empty texts go with them.
@@ -291,7 +307,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = signed.withColumnRenamed("doc_id", "rep").join(sets, ["set_hash", "rep"]).dropDuplicates(["set_hash", "rep"])
     nodes = written(nodes.select(F.col("rep").alias("node"), "n_shingles", "sig", "bands"), "nodes")
     total = 32 * nodes.count()
-    members = nodes.select(F.explode("bands").alias("key"), "node")
+    members = nodes.select(F.explode("bands").alias("key"), "node", F.col("n_shingles").cast("int").alias("n_shingles"))
     buckets = members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1")
     hits = written(split_join(members, written(buckets, "buckets"), ["key"], "m", total), "hits")
     star = hits.where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -300,9 +316,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     rest = written(_crowded(hits, first, nodes, total), "rest")
     dealt = rest.repartitionByRange(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side")  # blocks side by side, not by chance together
-    alike = written(dealt.mapInArrow(_survivors, rest.schema), "alike")
-    sent = alike.join(texts_of(texts, alike.select(F.col("node").alias("doc"))).withColumnRenamed("doc", "node"), "node").select(*rest.columns, "text")
-    late = sent.repartitionByRange(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(_within(percent), "a long, b long")
+    alike = written(dealt.mapInArrow(lean("near_dedup", _survivors), rest.schema), "alike")
+    # Each node's text is joined once; dealing by range reads its rows twice.
+    places = F.collect_list(F.struct("key", "i", "j", "side")).alias("places")
+    found = alike.groupBy("node", "comp", "sig", "bands").agg(places)
+    sent = found.join(texts_of(texts, alike.select(F.col("node").alias("doc"))).withColumnRenamed("doc", "node"), "node").withColumn("at", F.explode("places"))
+    sent = sent.select("at.key", "at.i", "at.j", "at.side", "node", "comp", "sig", "bands", "text")
+    late = sent.repartitionByRange(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(lean("near_dedup", _within(percent)), "a long, b long")
     second = components(written(late, "links")).select(F.col("comp").alias("final"), F.col("node").alias("comp"))
 
     reached = sets.unionByName(empty).join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,10 +39,31 @@ _held: dict[str, Callable[[], None]] = {}
 
 
 def claim(name: str, release: Callable[[], None]) -> None:
-    """On a worker: ``name`` begins to keep a cache; those that other operators left in this process go."""
+    """On a worker: ``name`` begins to keep a cache; those that other operators left in this process go, and freed memory with them."""
     for other in [k for k in _held if k != name]:
         _held.pop(other)()
     _held[name] = release
+    trim()
+
+
+def trim() -> None:
+    """Freed memory of this process back to the system: Arrow's pool and the C library keep it otherwise, in idle workers too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(name: str, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow without a cache: those of other operators go before it, freed memory after it."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(name, lambda: None)
+        yield from run(batches)
+        trim()
+
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

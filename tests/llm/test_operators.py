@@ -200,6 +200,53 @@ def test_near_duplicates_recall_and_crowded_buckets(spark, monkeypatch):
     assert all(want[a] == want[b] for a in got for b in got if a < b and got[a] == got[b])
 
 
+def test_rows_of_a_bucket_grow_with_its_nodes(spark, monkeypatch):
+    """One group of near copies of which a fifth share bands with the rest without a link; then the same in many left blocks."""
+    from certveil.llm import near_dedup as N
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for d in range(200):
+        ws = [f"w{i}" for i in range(150)]
+        for k in rng.integers(0, 150, int(rng.integers(6, 9)) if d % 5 == 4 else int(rng.integers(0, 2))):
+            ws[k] = f"u{d}x{k}"
+        rows.append((d, " ".join(ws)))
+    docs, want, seen = spark.createDataFrame(rows, "doc_id long, text string"), brute_components(rows), {}
+    write = N.written
+    monkeypatch.setattr(N, "written", lambda df, name: seen.setdefault(name, write(df, name)) if name == "rest" else write(df, name))
+    monkeypatch.setattr(N, "BLOCK", 2)
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(docs).collect()} == want
+    rest = seen.pop("rest")
+    members = rest.select("key", "node").distinct().count()
+    assert members > 500 and rest.select("j").distinct().count() > 2
+    assert rest.count() <= 6 * members
+    monkeypatch.setattr(N, "BYTES", 8000)
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(docs).collect()} == want
+    assert seen["rest"].select("i").distinct().count() > 2
+
+
+def test_freed_memory_goes_back():
+    """What a task freed isn't kept by Arrow's pool; caches of other operators go when it begins."""
+    import pyarrow as pa
+
+    from certveil.llm import shared
+
+    held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith(("Pss_Anon:", "Pss_Shmem:"))) / 1024
+    kept, most = ["other"], []
+
+    def run(batches):
+        for n in batches:
+            some = [pa.array(np.ones(n, np.int64)).cast(pa.float64()) for _ in range(4000)]
+            most.append(held())
+            del some
+            yield n
+
+    shared.claim("another", kept.clear)
+    before = held()
+    assert list(shared.lean("near_dedup", run)(iter([4000, 4001]))) == [4000, 4001] and not kept
+    assert max(most) > before + 100 and held() < before + 60
+
+
 def test_min_max_signature_is_unbiased():
     from certveil.llm.near_dedup import shingle_hashes, signature
 
