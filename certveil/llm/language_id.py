@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import lean
+
 DIMS, SAMPLE, CENTROIDS, SHARPNESS, HALF = 4096, 300, 4, 20.0, 512
 LANGUAGES, TOTAL = 512, 4800  # learned, at most; of sample texts (16 KB each on the driver)
 LOW, NEAR = 0.02, 0.65
@@ -151,7 +153,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     sample = max(1, min(sample, TOTAL // len(n)))
     rates = F.create_map(*[F.lit(x) for g, c in n.items() for x in (g, min(1_000_000, 1_300_000 * sample // c + 1))])
     rows = rows.withColumn("u", F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1_000_000))).where(F.col("u") < rates[F.col("lang")])
-    found = rows.select("lang", "u", "text").mapInArrow(_vectors, "lang string, u long, h binary, counts binary").dropDuplicates(["lang", "u", "h"])
+    found = rows.select("lang", "u", "text").mapInArrow(lean("language_id", _vectors), "lang string, u long, h binary, counts binary").dropDuplicates(["lang", "u", "h"])
     least = Window.partitionBy("lang").orderBy("u", "h")
     found = found.withColumn("k", F.row_number().over(least)).where(F.col("k") <= sample).collect()
     return Model().fit([(r.lang, np.frombuffer(bytes(r.counts), "<i4")) for r in sorted(found, key=lambda r: (r.lang, r.k))])
@@ -174,7 +176,7 @@ def _classify(shared):
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, cosine, rejected for each row of ``docs``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_classify(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, cosine double, rejected boolean")
+    return texts.mapInArrow(lean("language_id", _classify(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, lang_pred string, score double, cosine double, rejected boolean")
 
 
 def _known(shared):
@@ -189,7 +191,7 @@ def _known(shared):
 
 def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
     """``docs``, all columns, without the rows whose text is rejected; all stay where no language was learned."""
-    return docs.mapInArrow(_known(docs.sparkSession.sparkContext.broadcast(model)), docs.schema) if model.languages else docs
+    return docs.mapInArrow(lean("language_id", _known(docs.sparkSession.sparkContext.broadcast(model))), docs.schema) if model.languages else docs
 
 
 def held_out():

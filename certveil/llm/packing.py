@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import claim, written
-from .tokens import encoded, tokenizer, words
+from .tokens import _loaded, encoded, tokenizer, words
 
 SALTS, EACH = 64, 6
 ROUNDS, PRICE = 12, 2.0  # fits, at most; of a sequence left empty, in mean counts of a length
@@ -162,6 +162,11 @@ class Words:
         self.once |= new
 
 
+def _forget() -> None:
+    for cache in (_ids, _known, _loaded):
+        cache.clear()
+
+
 def token_bytes(path: str, texts: list[str | None]) -> list[bytes]:
     """Each text's ids and the id 1, as little-endian unsigned 32-bit numbers; equals encoding the whole text."""
     if not _lean(path).apart:
@@ -174,7 +179,7 @@ def token_bytes(path: str, texts: list[str | None]) -> list[bytes]:
 
 def _cut(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("packing", _ids.clear)
+        claim("packing", _forget)
         for whole in batches:
             for at in range(0, whole.num_rows, 250):
                 batch = whole.slice(at, 250)
