@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import act, labels, shift, spans
 from .plans import pipeline
-from .session import ship
+from .session import by_measure, ship
 from .sources.corpora import finite, load_corpus
 
 KNOBS = {"alpha": float, "gamma": float, "delta": float, "engines": str, "beta1": float, "beta2": float, "steps": int, "near": float, "cosine": float, "degree": int, "iou": float, "floor": float, "grid": int, "budget": float, "method": str, "combine": str, "select_by": str, "epochs": int}
@@ -63,7 +63,7 @@ def _save(spark: SparkSession, folder: str, name: str, value: dict) -> None:
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
-    spark = ship(SparkSession.builder.appName("certveil").getOrCreate())
+    spark = by_measure(ship(SparkSession.builder.appName("certveil").getOrCreate()))
     config = _config(a)
     if a.command == "redact" and a.file:
         with open(a.file, encoding="utf-8") as f:

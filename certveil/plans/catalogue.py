@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import by_measure, ship
 
 MODULES = ("q_text", "q_risk", "q_monitor", "q_pipeline")
 
@@ -16,7 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {}
     for name in MODULES:
         for key, f in import_module(f".{name}", __package__).QUERIES.items():
-            out[key] = lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)
+            out[key] = lambda spark, sf_dir, f=f: f(by_measure(ship(spark)), sf_dir)
     return out
 
 
