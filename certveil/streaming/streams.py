@@ -24,9 +24,9 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _source(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream over the folder that holds ``path``, restricted to it by name."""
+    """A file stream over ``path``, a single file or a folder of them: as a pattern it may be either."""
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{folder}/[{name[0]}]{name[1:]}")
 
 
 def _drain(stream: DataFrame, mode: str) -> DataFrame:

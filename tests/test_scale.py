@@ -16,3 +16,13 @@ def test_texts_and_tokens_are_not_broadcast_by_estimate(spark):
     for name in ("surrogate_text", "form_candidates", "risk_overmask", "ltt_bonferroni"):
         plan = planned(q[name](spark, SMALL))
         assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "doc_id" in line], name
+
+
+def test_streams_read_folders_and_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    q = catalogue.queries()
+    for name in ("stream_dedup", "stream_eprocess", "stream_alarm_windows"):
+        got, want = (sorted(map(tuple, q[name](spark, d).collect())) for d in (str(tmp_path), SMALL))
+        assert got == want and got[0][0] is not None and (name != "stream_dedup" or got[0][0] > 0)
