@@ -18,6 +18,22 @@ def test_texts_and_tokens_are_not_broadcast_by_estimate(spark):
         assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "doc_id" in line], name
 
 
+def test_tokens_are_shuffled_once(spark):
+    tokens = spark.range(300).select((F.col("id") % 10).alias("doc_id"), F.expr("id div 10").alias("k"), (F.expr("id div 10") * 6).cast("int").alias("start"), (F.expr("id div 10") * 6 + 5).cast("int").alias("end"))
+    gold = spark.createDataFrame([(d, 0, 20) for d in range(10)] + [(11, 0, 5)], "doc_id long, start int, end int")
+    masked = spark.createDataFrame([(d, 12, 12 + 6 * d + 6) for d in range(10)] + [(3, 0, 200)], "doc_id long, start int, end int")
+    catalogue.queries()["risk_escalation"](spark, SMALL)
+    rows = risk.overmask(tokens, gold, masked)
+    got = {r.doc_id: r.over for r in rows.collect()}
+    spans = {d: [(12, 18 + 6 * d)] + [(0, 200)] * (d == 3) for d in range(10)}
+    for d in range(10):
+        plain = [(6 * k, 6 * k + 5) for k in range(30) if not 6 * k < 20]
+        assert got[d] == sum(any(s < e and t < b for s, b in spans[d]) for t, e in plain) / len(plain)
+    assert len(got) == 10
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 3, plan  # tokens, gold, masked
+
+
 def test_streams_read_folders_and_files(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
