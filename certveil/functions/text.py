@@ -30,17 +30,24 @@ def part_sums(parts: str) -> Column:
 
 
 def starts(parts: str, sums: str, each) -> Column:
-    """An array of ``each(start, match)`` over the matches of ``parts``. Sums of blocks, then sums within a block, keep it near linear.
+    """An array of ``each(start, match)`` over the matches of ``parts``. Sums of blocks, then one fold within each block,
+    which carries the place along: near linear in the parts.
 
     Both arrays are columns made in earlier projections and used more than once here, so that the optimizer
     doesn't work them out again for each match."""
     ahead = F.transform(sums, lambda s, b: F.aggregate(F.slice(sums, F.lit(1), b), F.lit(0), lambda t, x: t + x))
     places = F.sequence(F.lit(0), F.lit(BLOCK // 2 - 1))
+    none = F.slice(F.array(each(F.lit(0), F.lit(""))), 1, 0)
 
     def block(base, b):
         pairs = F.floor(F.least(F.lit(BLOCK), F.size(parts) - b * BLOCK) / 2).cast("int")
-        within = lambda j: F.aggregate(F.slice(parts, b * BLOCK + 1, 2 * j + 1), F.lit(0), lambda t, x: t + F.length(x))
-        return F.transform(F.slice(places, F.lit(1), pairs), lambda j: each(base + within(j), F.get(F.col(parts), b * BLOCK + 2 * j + 1)))
+
+        def step(a, j):
+            at = b * BLOCK + 2 * j
+            start, match = a["at"] + F.length(F.get(F.col(parts), at)), F.get(F.col(parts), at + 1)
+            return F.struct((start + F.length(match)).alias("at"), F.array_append(a["out"], each(start, match)).alias("out"))
+
+        return F.aggregate(F.slice(places, F.lit(1), pairs), F.struct(base.alias("at"), none.alias("out")), step, lambda a: a["out"])
 
     return F.flatten(F.transform(ahead, block))
 
