@@ -42,3 +42,25 @@ def test_streams_read_folders_and_files(spark, tmp_path):
     for name in ("stream_dedup", "stream_eprocess", "stream_alarm_windows"):
         got, want = (sorted(map(tuple, q[name](spark, d).collect())) for d in (str(tmp_path), SMALL))
         assert got == want and got[0][0] is not None and (name != "stream_dedup" or got[0][0] > 0)
+
+
+def test_shapes_are_worked_out_once_and_engines_run_once(spark):
+    from certveil.operators import spans
+    from certveil.plans.fixtures import forms
+
+    plan = spans.shape_spans(forms(spark, SMALL), suppress=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\p{Lu}") == 1, plan.count(r"\p{Lu}")
+    plan = catalogue.queries()["dark_matter"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_places_of_many_matches(spark):
+    import re
+
+    from certveil.functions import text as T
+
+    text = " ".join("x" * (1 + i % 7) for i in range(500)) + "  end"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, " ")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.k, r.start, r.end) for r in T.tokens(docs).collect())
+    assert got == [(1, k, m.start(), m.end()) for k, m in enumerate(re.finditer(r"\S+", text))]
+    assert "array_append" in str(T.starts("parts", "sums", lambda start, match: F.struct(start.alias("s"), match.alias("m"))))  # a block is folded once, not summed anew for each match
