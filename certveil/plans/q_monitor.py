@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import act, monitor, shift
 from ..operators.spans import rule_spans
 from ..schema import ROLE_WORDS
+from ..session import materialised
 from . import sql_spans as Q
 from .fixtures import FOLDED_SQL, FORMS_SQL, forms, table
 
@@ -201,7 +202,7 @@ def chao1_by_type(spark, d):
 def dark_matter(spark, d):
     from ..operators.spans import ensemble
 
-    out = monitor.dark_matter(ensemble(forms(spark, d)))
+    out = monitor.dark_matter(materialised(ensemble(forms(spark, d)).select("type", "score", "engines"), "merged"))
     return out.select("type", "n_obs", "f1", "f2", F.round("n_hat", 6).alias("n_hat"), F.round("n_upper", 6).alias("n_upper"), "informative", F.round(1 - F.col("n_obs") / F.round("n_hat", 6), 6).alias("dark_rate"))
 
 
