@@ -64,3 +64,34 @@ def test_places_of_many_matches(spark):
     got = sorted((r.doc_id, r.k, r.start, r.end) for r in T.tokens(docs).collect())
     assert got == [(1, k, m.start(), m.end()) for k, m in enumerate(re.finditer(r"\S+", text))]
     assert "array_append" in str(T.starts("parts", "sums", lambda start, match: F.struct(start.alias("s"), match.alias("m"))))  # a block is folded once, not summed anew for each match
+
+
+def test_the_discriminator_reads_every_row(spark):
+    """All rows of a table larger than the former sample, in the driver and by passes of the executors."""
+    import numpy as np
+
+    from certveil.operators import shift
+
+    n = 21_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.array((F.col("id") % 7 / 7.0), (F.col("id") / float(n)), F.lit(1.0)).alias("features"), ((F.col("id") > 0.6 * n) | (F.col("id") % 5 == 0)).cast("int").alias("target"))
+    data = rows.collect()
+    x, y = np.array([r.features for r in data]), np.array([r.target for r in data], float)
+    w, beta = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n, np.zeros(3)
+    for _ in range(40):
+        beta -= 0.5 * (x.T @ (w * (1 / (1 + np.exp(-x @ beta)) - y)) + 1e-3 * beta)
+    assert np.abs(shift.fit_discriminator(rows, epochs=40) - beta).max() < 1e-9
+
+
+def test_passes_of_the_executors_equal_the_driver(spark):
+    import numpy as np
+
+    from certveil.operators import shift
+
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("ab c"), (F.col("id") % 90).cast("int")), F.col("id").cast("string")).alias("text"), (F.col("id") % 3 == 0).cast("int").alias("target"), (F.col("id") % 2).cast("int").alias("fold"))
+    blocks = shift.packed(docs.repartition(3))
+    here, there = shift.descend(blocks, [0, 1], epochs=5), shift.descend(blocks, [0, 1], epochs=5, held=0)
+    assert all(np.abs(here[k] - there[k]).max() < 1e-12 and np.abs(here[k]).max() > 0 for k in (0, 1))
+    want = {r.doc_id: r.features for r in shift.featurise(docs.select("doc_id", "text")).collect()}
+    for r in blocks.collect():
+        x, y = shift._rows_of(*r[:-1])
+        assert np.array_equal(x, np.array([want[i] for i in r.ids])) and list(y) == [float(i % 3 == 0) for i in r.ids]
